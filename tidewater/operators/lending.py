@@ -92,6 +92,11 @@ def usd(amount: str, rate: str) -> Column:
     return F.floor(F.col(amount).cast("double") / F.col(rate).cast("double") * 10000 + F.lit(0.5000001)).cast("double") / 10000
 
 
+def _cents(c: Column) -> Column:
+    """Exact sum of four-decimal amounts, rounded to cents."""
+    return F.round(F.sum(c.cast("decimal(18,4)")), 2).cast("double")
+
+
 def fx_asof(rows: DataFrame, calendar: DataFrame, day: str, rate: str) -> DataFrame:
     """The rate in force on a day; the calendar is dense, so this is an equi join on (currency, day)."""
     return rows.join(calendar.select("currency", F.col("rate_date").alias(day), F.col("units_per_usd").alias(rate)), ["currency", day], "left")
@@ -268,11 +273,11 @@ def merchant_monthly(facts: DataFrame, applications: DataFrame, first_payment: D
     """
     app_month = F.trunc(business_date(F.col("created_at_utc"), p.business_tz), "month")
     apps = applications.where("is_valid").groupBy("merchant_id", app_month.alias("month")).agg(F.count("*").alias("applications"), F.count_if("is_approved").alias("approved"))
-    loans = facts.groupBy("merchant_id", F.col("cohort_month").alias("month")).agg(F.count("*").alias("loans"), F.round(F.sum("principal_usd"), 2).alias("gmv_usd"))
+    loans = facts.groupBy("merchant_id", F.col("cohort_month").alias("month")).agg(F.count("*").alias("loans"), _cents(F.col("principal_usd")).alias("gmv_usd"))
     cohort = facts.select("loan_id", "merchant_id", F.col("cohort_month").alias("month")).join(first_payment, "loan_id")
     cohort = cohort.groupBy("merchant_id", "month").agg(F.count_if("is_fpd_eligible").alias("fpd_eligible"), F.count_if("is_fpd30").alias("fpd30"))
     stock = month_ends.groupBy("merchant_id", F.trunc("month_end", "month").alias("month")).agg(
-        F.round(F.sum("outstanding_usd"), 2).alias("outstanding_usd"), F.round(F.sum(F.when(F.col("is_par30"), F.col("outstanding_usd")).otherwise(0)), 2).alias("par30_usd")
+        _cents(F.col("outstanding_usd")).alias("outstanding_usd"), _cents(F.when(F.col("is_par30"), F.col("outstanding_usd")).otherwise(0)).alias("par30_usd")
     )
     ends = facts.agg(F.min("cohort_month").alias("a"), F.greatest(F.max("cohort_month"), F.trunc(F.lit(p.snapshot_date), "month")).alias("b"))
     months = ends.select(series(F.col("a"), F.col("b"), "month").alias("month"))

@@ -151,9 +151,9 @@ from fx_loans l left join d_plan using (loan_id) left join d_calendar c on c.cur
     select min(cohort_month)::timestamp as a, greatest(max(cohort_month), date '1998-12-01')::timestamp as b from d_facts) e) y""",
     "d_mapps": """select merchant_id, cast(date_trunc('month', created_at_utc - interval 5 hour) as date) as month, count(*) as applications, count(*) filter (where is_approved) as approved
 from d_applications where is_valid group by 1, 2""",
-    "d_mloans": "select merchant_id, cohort_month as month, count(*) as loans, round(sum(principal_usd), 2) as gmv_usd from d_facts group by 1, 2",
+    "d_mloans": "select merchant_id, cohort_month as month, count(*) as loans, round(sum(principal_usd::decimal(18,4)), 2)::double as gmv_usd from d_facts group by 1, 2",
     "d_mcohort": """select merchant_id, cohort_month as month, count(*) filter (where is_fpd_eligible) as fpd_eligible, count(*) filter (where is_fpd30) as fpd30 from d_facts join d_first_payment using (loan_id) group by 1, 2""",
-    "d_mstock": """select merchant_id, cast(date_trunc('month', month_end) as date) as month, round(sum(outstanding_usd), 2) as outstanding_usd, round(sum(case when is_par30 then outstanding_usd else 0 end), 2) as par30_usd from d_series group by 1, 2""",
+    "d_mstock": """select merchant_id, cast(date_trunc('month', month_end) as date) as month, round(sum(outstanding_usd::decimal(18,4)), 2)::double as outstanding_usd, round(sum((case when is_par30 then outstanding_usd else 0 end)::decimal(18,4)), 2)::double as par30_usd from d_series group by 1, 2""",
     "d_monthly": """select g.merchant_id, g.month, v.category, coalesce(applications, 0) as applications, coalesce(approved, 0) as approved, case when applications > 0 then round(approved::double / applications, 6) end as approval_rate,
   coalesce(loans, 0) as loans, coalesce(gmv_usd, 0) as gmv_usd, coalesce(fpd_eligible, 0) as fpd_eligible, coalesce(fpd30, 0) as fpd30, case when fpd_eligible > 0 then round(fpd30::double / fpd_eligible, 6) end as fpd30_rate,
   coalesce(outstanding_usd, 0) as outstanding_usd, coalesce(par30_usd, 0) as par30_usd, case when outstanding_usd > 0 then round(par30_usd / outstanding_usd, 6) end as par30_rate,
