@@ -97,6 +97,22 @@ select cast(doc_id as varchar(20)) as id, lang as gold_reason,
   case when doc_id % 4 = 0 then 'route_to_human' when doc_id % 4 = 1 then 'auto_reply' when doc_id % 4 = 2 then 'auto_reply_and_route' else 'close_no_reply' end as gold_action,
   case when doc_id % 4 = 0 and doc_id % 3 > 0 then 'route_to_human' when doc_id % 4 < 2 then 'auto_reply' else 'auto_reply_and_route' end as pred_action
 from documents
+""",
+    "fx_labels": """
+select id, channel, received_at_utc, text, h, cast((h * 37) % 100 as double) / 100 as confidence,
+  case h % 7 when 0 then 'consulta_saldo_cuotas' when 1 then 'pago_no_aplicado' when 2 then 'saludo_incompleto' when 3 then 'hablar_con_humano' when 4 then 'fuera_de_alcance' when 5 then 'metodos_de_pago' else 'fraude_seguridad' end as reason,
+  case h % 5 when 0 then 'no_puede_pagar' when 1 then 'privacidad_habeas_data' when 2 then 'hablar_con_humano' end as second_reason,
+  case h % 3 when 0 then 'other_business_inquiry' end as out_of_scope_kind, case h % 4 when 0 then 'PSE' when 1 then 'nowhere' end as predicted_payment_method,
+  100 + h % 50 as input_tokens, h % 20 as output_tokens, (h * 3) % 90 as cached_tokens
+from (select *, length(text) * 13 + length(id) as h from fx_messages) x
+""",
+    "fx_replies": """
+select id, concat('Hola, de la cuota ', cast(h % 4 as varchar(5)), ' de tu plan te informamos que ya fue recibida y que ', case when h % 6 = 0 then 'te devolvemos' when h % 6 = 1 then 'escribe a x@y.co por' else 'revisamos' end, ' el pago ', case when h % 9 = 0 then '[nombre]' else 'hoy' end) as reply,
+  text as message, case h % 5 when 0 then null when 1 then 's1' when 2 then 's3' else 's2' end as cited, case when h % 8 = 0 then '99887123' end as document_number
+from fx_labels
+""",
+    "fx_sections": """
+select 's1' as section_id, 'cuota 1 y 2 y x@y.co' as body from region where r_regionkey = 0 union all select 's2', 'plan 3' from region where r_regionkey = 0 union all select 's3', 'nada' from region where r_regionkey = 0
 """,
 }
 
