@@ -72,7 +72,23 @@ class SuffixAutomaton:
         for end, word in enumerate([*words, -2 - template]):
             last = self._extend(last, word, (template, end))
 
+    def _split(self, at: int, word: int, old: int) -> int:
+        """A copy of ``old`` for its strings no longer than that of ``at`` with ``word``."""
+        copy = len(self.next)
+        self.next.append(dict(self.next[old]))
+        self.link.append(self.link[old])
+        self.length.append(self.length[at] + 1)
+        self.where.append(self.where[old])
+        self.link[old] = copy
+        while at >= 0 and self.next[at].get(word) == old:
+            self.next[at][word] = copy
+            at = self.link[at]
+        return copy
+
     def _extend(self, last: int, word: int, where: tuple[int, int]) -> int:
+        if word in self.next[last]:  # another template has this run
+            old = self.next[last][word]
+            return old if self.length[old] == self.length[last] + 1 else self._split(last, word, old)
         state = len(self.next)
         self.next.append({})
         self.link.append(0)
@@ -84,18 +100,7 @@ class SuffixAutomaton:
             at = self.link[at]
         if at >= 0:
             old = self.next[at][word]
-            if self.length[old] == self.length[at] + 1:
-                self.link[state] = old
-            else:
-                copy = len(self.next)
-                self.next.append(dict(self.next[old]))
-                self.link.append(self.link[old])
-                self.length.append(self.length[at] + 1)
-                self.where.append(self.where[old])
-                self.link[old] = self.link[state] = copy
-                while at >= 0 and self.next[at].get(word) == old:
-                    self.next[at][word] = copy
-                    at = self.link[at]
+            self.link[state] = old if self.length[old] == self.length[at] + 1 else self._split(at, word, old)
         return state
 
     def stream(self, words: list[int]) -> Iterator[tuple[int, int]]:
@@ -122,7 +127,7 @@ class Scanner:
         self.vocab: dict[bytes, int] = {}
         number = lambda text: [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
         self.phrases = [(number(text), label) for text, label in self.base]
-        self.texts = [(number(text), label) for text, label in self.templates]
+        self.texts = [(number(text), label) for label, text in self.templates]
         self.machine = SuffixAutomaton()
         for i, (words, _) in enumerate([*self.phrases, *self.texts]):
             self.machine.add(words, i)
