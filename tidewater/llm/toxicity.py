@@ -102,12 +102,14 @@ def contrast(toxic: list[bytes], ordinary: list[bytes], longest: int = 12) -> li
 
 
 def without_copies(lines: list[bytes], size: int = 8) -> list[bytes]:
-    """One line of each group of near copies: a line that shares half of its least-hashed long words with one before is left
+    """One line of each group of near copies: a line that shares half of its least-hashed words, long ones if it has enough, with one before is left
     out, since copies would make their own words look telling."""
     seen: dict[int, list[int]] = {}
     kept: list[bytes] = []
     for line in lines:
-        sketch = sorted(zlib.crc32(w) for w in set(line.split()) if len(w) > 6)[:size]
+        words = set(line.split())
+        rare = {w for w in words if len(w) > 6}
+        sketch = sorted(map(zlib.crc32, rare if len(rare) >= size else words))[:size]
         shared = Counter(i for x in sketch for i in seen.get(x, ()))
         if sketch and shared and shared.most_common(1)[0][1] * 2 >= len(sketch):
             continue
@@ -194,8 +196,9 @@ def fit_model(toxic: list[str], ordinary: list[str], toxic_rows: int | None = No
     total = counts.sum(axis=0)
     rate = counts[1].sum() / max(1.0, counts.sum())
     smooth = (counts[1] + rate) / (total + 1.0)
-    if total.sum():
-        model.curve = np.clip(_rising(smooth, total + 1e-3), 0.0, 1.0).tolist()
+    seen = np.flatnonzero(total)
+    if len(seen):  # gains that no labelled text has lie between those around them
+        model.curve = np.clip(np.interp(np.arange(MOST_GAIN + 1), seen, _rising(smooth[seen], total[seen])), 0.0, 1.0).tolist()
     return model
 
 
