@@ -24,8 +24,8 @@ from tidewater.sources.shared import written
 WINDOW = 4096
 #: Appended to every document.
 END_ID = 2
-SHARD_TOKENS = 2_000_000
-SHARD_DOCS = 4000
+SHARD_TOKENS = 1_000_000
+SHARD_DOCS = 2000
 #: Terms of a seed that are looked up, and neighbours fetched at a time.
 QUERY_TERMS = 24
 FETCH = 16

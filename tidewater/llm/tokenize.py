@@ -16,8 +16,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks kept in a worker's table before it is emptied, and bytes of texts looked up at once.
-CACHE = 1_500_000
-BATCH = 1 << 20
+CACHE = 1_000_000
+BATCH = 1 << 19
 _SLOTS = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
