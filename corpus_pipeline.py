@@ -10,8 +10,8 @@ from tidewater.llm import language, mixing, packing, simhash, toxicity
 from tidewater.llm.common import table
 from tidewater.sources.shared import new_path
 
-#: A text whose language is known with less than this is of none of the learned ones.
-LEAST_LANGUAGE = 0.5
+#: A text whose best language scores less than this, hardly above an even chance of four, is of none of the learned ones.
+LEAST_LANGUAGE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
