@@ -2,8 +2,8 @@
 
 The ordinary dictionary is trained on ordinary documents, on the words of theirs that would else pass for toxic; the toxic
 one has before that text what toxic documents say and ordinary ones do not. A window that compresses shorter with the toxic
-dictionary holds something of the latter, and other windows compress alike. The largest gain of a document's windows is
-calibrated on labelled documents into a probability.
+dictionary holds something of the latter, and other windows compress alike. The two largest gains of a document's windows
+are calibrated on labelled documents into a probability.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches, uniform
+from tidewater.llm.common import bound_batches, release, uniform
 
 #: Bounds of the fit: toxic and ordinary labelled documents, and characters of a document used for fitting.
 TOXIC_SAMPLE = 2000
@@ -33,7 +33,7 @@ WINDOW_WORDS = 6
 #: sizes tell single bytes.
 TAIL = bytes([3, 4, 5, 6, 7, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24])
 #: A segment of the toxic dictionary is at least this many times as frequent in toxic documents.
-ODDS = 30.0
+ODDS = 10.0
 #: Gains above this are not told apart; rounds in which the ordinary dictionary learns from its mistakes.
 MOST_GAIN = 24
 ROUNDS = 4
@@ -142,11 +142,14 @@ class Model:
         return sizes[0] - sizes[1]
 
     def gains(self, lines: list[bytes]) -> np.ndarray:
-        """Largest gain of any window of each line, 0 to MOST_GAIN."""
+        """Sum of the two largest window gains of each line, 0 to MOST_GAIN: ordinary texts may hold one odd word, hardly two."""
         parts = [windows(line) for line in lines]
-        best = np.zeros(len(lines), np.int64)
-        np.maximum.at(best, np.repeat(np.arange(len(lines)), [len(p) for p in parts]), self.window_gains([w for p in parts for w in p]))
-        return np.minimum(best, MOST_GAIN)
+        rows = np.repeat(np.arange(len(lines)), [len(p) for p in parts])
+        gains = np.maximum(self.window_gains([w for p in parts for w in p]), 0)
+        order = np.lexsort((-gains, rows))
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        top = order[place < 2]
+        return np.minimum(np.bincount(rows[top], gains[top], len(lines)).astype(np.int64), MOST_GAIN)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out, at, curve = np.zeros(len(texts)), 0, np.array(self.curve)
@@ -175,22 +178,26 @@ def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit_model(toxic: list[str], ordinary: list[str], toxic_rows: int | None = None, ordinary_rows: int | None = None) -> Model:
     """Train both dictionaries and calibrate; ``*_rows`` are the labelled rows that the samples stand for."""
     bad, good = (without_copies([normal(t) for t in texts]) for texts in (toxic, ordinary))
-    own = b"".join(s + b"\x01" for s in reversed(contrast(bad, good)))[-TOXIC_BYTES:]
+    segments = contrast(bad, good)
+    told = tuple(segments)
+    often = [Counter(w for line in lines for w in set(line.split())) for lines in (bad, good)]
+    whole = [b" " + w + b" " for w, n in sorted(often[0].items(), key=lambda x: (x[1], x[0])) if told and n > 1 + 2 * often[1][w] and (b" " + w + b" ").startswith(told)]
+    own = b"\x01".join([*[w for w in whole if w not in told], *reversed(segments), b""])[-TOXIC_BYTES:]
     model = Model(b"", own, [0.0] * (MOST_GAIN + 1))
     for _ in range(ROUNDS if own else 0):  # ordinary words that look toxic go into the ordinary dictionary
         likely: Counter = Counter()
-        for at in range(0, len(good), 200):
-            parts = [w for line in good[at : at + 200] for w in windows(line)]
+        for at in range(0, len(good), 400):  # half of them teach, the others calibrate
+            parts = [w for line in good[at : at + 400 : 2] for w in windows(line)]
             likely.update(x for w in np.flatnonzero(model.window_gains(parts) > 1) for x in parts[w][: -len(TAIL)].split())
         words = sorted(likely, key=lambda x: (-likely[x], x))[:20_000]
         looks = model.window_gains([b" " + w + b" " + TAIL for w in words])
-        hard = [b" " + w + b" " for w, gain in zip(words, looks, strict=True) if gain > 0 and w not in own][: ORDINARY_BYTES // 64]
+        hard = [b" " + w + b" " for w, gain in zip(words, looks, strict=True) if gain > 0 and not (b" " + w + b" ").startswith(told)][: ORDINARY_BYTES // 64]
         if not hard:
             break
         model = Model((b"".join(reversed(hard)) + model.shared)[-ORDINARY_BYTES:], own, model.curve)
     counts = np.full((2, MOST_GAIN + 1), 0.0)
-    for label, lines, rows in ((1, bad, toxic_rows), (0, good, ordinary_rows)):
-        each = (rows or len(lines)) / max(1, len(lines))
+    for label, lines, rows in ((1, bad, toxic_rows), (0, good[1::2] or good, ordinary_rows)):
+        each = (rows or len(bad if label else good)) / max(1, len(lines))
         for at in range(0, len(lines), 200):
             np.add.at(counts[label], model.gains(lines[at : at + 200]), each)
     total = counts.sum(axis=0)
@@ -235,5 +242,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = Model(*sent.value)
         for texts in parts:
             yield pd.Series(own.scores(list(texts)))
+        release()
 
     return docs.select(F.struct("*").alias("d"), scores(F.col(text)).alias("score"))
