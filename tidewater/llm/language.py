@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches, uniform
+from tidewater.llm.common import bound_batches, release, uniform
 
 ORDERS = (2, 3, 4)
 #: Bounds of the fit: texts of each language, landmarks of each language, characters of a text used for fitting.
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in parts:
             labels, scores = own.predict(list(texts)) if own.languages else (["und"] * len(texts), [0.0] * len(texts))
             yield pd.DataFrame({"lang_pred": labels, "score": scores})
+        release()
 
     return docs.select(F.struct("*").alias("d"), predict(F.col(text)).alias("p")).select("d", "p.lang_pred", "p.score")
 

@@ -18,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches
+from tidewater.llm.common import bound_batches, release
 from tidewater.sources.shared import written
 
 WINDOW = 4096
 #: Appended to every document.
 END_ID = 2
-SHARD_TOKENS = 1_000_000
-SHARD_DOCS = 2000
+SHARD_TOKENS = 500_000
+SHARD_DOCS = 1000
 #: Terms of a seed that are looked up, and neighbours fetched at a time.
 QUERY_TERMS = 24
 FETCH = 16
@@ -39,12 +39,14 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 
     @F.pandas_udf("binary")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         bpe, end = _tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for texts in parts:
             texts, out = list(texts), []
             for at in range(0, len(texts), 256):
                 out += [ids + end for ids in bpe.encode(texts[at : at + 256])]
             yield pd.Series(out)
+        release()
 
     return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), encode(F.col(text)).alias("ids")), "tokens")
 
@@ -64,6 +66,8 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """Documents that have each token id, counted over all documents; the last entry is their number."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _TOKENIZERS.clear()
+        release()
         totals, docs = np.zeros(1, np.int64), 0
         for part in parts:
             for ids in part["ids"]:
@@ -172,6 +176,8 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     sent = spark.sparkContext.broadcast(frequencies)
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _TOKENIZERS.clear()  # this worker has tokenized before
+        release()
         base = TaskContext.get().partitionId() << 32
         for own, ids in _shards(parts):
             rows, used = [], 0

@@ -16,9 +16,9 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks kept in a worker's table before it is emptied, and bytes of texts looked up at once.
-CACHE = 1_000_000
-BATCH = 1 << 19
-_SLOTS = 1 << 22
+CACHE = 400_000
+BATCH = 1 << 18
+_SLOTS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -84,7 +84,7 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTER
 
 class WordBpe:
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self._own = path, None
         self.table = ChunkTable()
         self.powers = self.inverse = np.zeros(0, np.uint64)
         model = json.loads(open(path, encoding="utf-8").read())
@@ -108,6 +108,13 @@ class WordBpe:
         self.space = ranks[b" " + _END.encode()]
         self.encoder = tiktoken.Encoding("words", pat_str=rf"[^{_END}]*{_END}", mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def tokenizer(self) -> Tokenizer:
+        """The tokenizer itself, loaded when a text first needs it."""
+        if self._own is None:
+            self._own = Tokenizer.from_file(self.path)
+        return self._own
+
     @staticmethod
     def _bytes() -> dict[str, int]:
         """Bytes by the printable characters that stand for them in byte-level vocabularies."""
