@@ -14,7 +14,7 @@ def typed_distinct(df: DataFrame, **types: Column) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key under ``order``, by a maximum per key: partial maxima are taken before the shuffle."""
+    """The first row of each key under ``order``; for a rank of one Spark keeps only the first of each key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
