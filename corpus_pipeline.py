@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import language, mixing, packing, simhash, toxicity
+from tidewater.llm import language, mixing, nearcopies, packing, toxicity
 from tidewater.llm.common import table
 from tidewater.sources.shared import new_path
 
@@ -27,11 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id; rows of that id stay together, so do rows without id."""
-    kept = simhash.simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("own_id"))
-    some = named.join(kept.hint("shuffle_hash"), F.col("own_id") == F.col("kept_id"), "left_semi")
-    return some.unionByName(named.where("own_id is null")).select("d.*")
+    """One row of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,121 @@
+"""Near copies by the Jaccard similarity of word shingles, found exactly with prefix filtering.
+
+Shingles stand in one order for all texts, common ones last. If two sets have a similarity of at least s, each shares a
+shingle with the other among its first n - ceil(s n) + 1, so texts that share none of these need no comparison. Every link is
+verified on the whole sets. The order changes which texts meet, never which are linked.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.llm.common import bound_batches
+from tidewater.operators.graph import connected_components
+from tidewater.sources.shared import drop_path, new_path, written
+
+#: Fixed values of the pipeline's stage: words of a shingle, least similarity in percent.
+WORDS = 5
+PERCENT = 80
+#: Bounds of the sample that common shingles are looked for in, and of their number; they only move keys.
+ORDER_SAMPLE = 20_000
+COMMON = 100_000
+COMMON_DOCS = 8
+
+
+def shingles(text: str | None, words: int = WORDS, common: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashes of a text's word shingles by value, those in the sorted ``common`` last; shorter texts are one shingle."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    width = min(words, len(tokens))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    found = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    found = np.unique(found.view(np.int64))
+    if common is None or not len(common):
+        return found
+    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+    return np.concatenate([found[~last], found[last]])
+
+
+def _shingles(words: int, sent=None):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        common = sent.value if sent is not None else None
+        return pd.Series([shingles(t, words, common) for t in texts], dtype=object)
+
+    return of
+
+
+def _common(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """Shingles that many texts of a bounded sample have."""
+    one_of = max(1, docs.count() // ORDER_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(one_of)) == 0).select(F.col(text).alias("t")).distinct()
+    counts = some.select(F.explode(_shingles(words)("t")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_DOCS)
+    return np.array(sorted(r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(COMMON).select("k").collect()), np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``a < b`` those whose sets are as similar as asked."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of texts linked by a similarity of at least ``percent``: the one with the smallest id.
+
+    Rows without id link like any other and come after those with one; rows of one id are told apart by a hash of the whole
+    row, and of fully equal rows one is kept. Texts without words are copies of each other. Equal sets are collapsed
+    before any search. Texts that meet are first compared with the smallest of their bucket; pairs within a bucket that are
+    still in different components are then all compared, so that the components are complete.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    sent = spark.sparkContext.broadcast(_common(docs, text, words))
+    mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    path = new_path(spark, "shingles")
+    each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), _shingles(words, sent)(F.col(text)).alias("s"))
+    each = written(each.select("doc_id", "mark", F.xxhash64("s").alias("id"), F.size("s").alias("n"), "s"), "shingles", path)
+
+    prefix = F.expr(f"slice(s, 1, n - cast(ceil(n * {percent} / 100.0BD) as int) + 1)")
+    keyed = each.where("n > 0").select("id", "n", F.explode(prefix).alias("k"))
+    met = keyed.groupBy("k").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("k", "x")
+    met = written(keyed.join(met, "k").distinct(), "met")
+    sets = each.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    sets = written(sets, "sets")
+    pair = [F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")]
+    links = written(_verified(met.where("id <> x").select(*pair).distinct(), sets, percent), "links")
+    found = connected_components(links)
+
+    named = met.join(found, F.col("id") == F.col("node"), "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = written(named, "named")
+    open_ = named.groupBy("k").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("k")
+    some = written(named.join(open_, "k"), "open")
+    other = some.select("k", F.col("id").alias("x"), F.col("n").alias("m"), F.col("c").alias("o"))
+    rest = some.join(other, "k").where("id < x and c <> o").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    rest = _verified(rest.select(*pair).distinct(), sets, percent)
+    found = connected_components(links.unionByName(rest))
+
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    rows = written(each.groupBy("id", "doc_id", "mark").agg(F.count("*").alias("times")), "rows")
+    rows = rows.join(found, F.col("id") == F.col("node"), "left").select("mark", "times", rank.alias("rank"), F.coalesce("component", "id").alias("c"))
+    rows = written(rows, "ranked")
+    best = rows.groupBy("c").agg(F.min("rank").alias("best"))
+    gone = rows.join(best, "c").where("rank <> best or times > 1").select("mark", (F.col("rank") == F.col("best")).alias("once"))
+    gone = written(gone, "gone")
+    drop_path(spark, path)
+
+    marked = docs.select(F.struct("*").alias("d"), mark.alias("mark"))
+    kept = marked.join(gone.select("mark"), "mark", "left_anti")
+    once = marked.join(gone.where("once").select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("d").alias("d"))
+    return kept.select("d.*").unionByName(once.select("d.*"))
