@@ -35,6 +35,7 @@ REPLICAS = 3
 COVER = 0.985
 LINKS = 12
 BLOCK = 2000
+CHUNK = 1 << 15
 
 
 @dataclass
@@ -90,8 +91,11 @@ class Centroids:
         square = (rows**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1)[None, :] - 2 * rows @ self.points.T
         return np.sqrt(np.maximum(square, 0))
 
-    def search(self, query: np.ndarray, ratio: float) -> list[int]:
-        """Lists within ``ratio`` of the nearest, by best-first walk; it ends when all that is open is farther than that."""
+    def search(self, query: np.ndarray, ratio: float, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """Lists within ``ratio`` of the nearest, by best-first walk; it ends when all that is open is farther than that.
+
+        If these lists hold fewer than ``need`` rows, going by ``held``, the nearest lists that hold as many come with them.
+        """
         away = lambda which: np.sqrt(np.maximum(((self.points[which] - query) ** 2).sum(axis=1), 0))
         start = np.arange(0, len(self.points), max(1, len(self.points) // 8))
         seen = np.zeros(len(self.points), bool)
@@ -113,7 +117,12 @@ class Centroids:
                     found[x] = dx
                     heapq.heappush(open_, (dx, x))
                     nearest = min(nearest, dx)
-        return [c for c, d in found.items() if d <= nearest * ratio]
+        lists = [c for c, d in found.items() if d <= nearest * ratio]
+        if held is None or held[lists].sum() >= need:
+            return lists
+        order = np.argsort(away(np.arange(len(self.points))), kind="stable")
+        nearer = order[: np.searchsorted(np.cumsum(held[order]), need) + 1]
+        return sorted({*lists, *nearer.tolist()})
 
 
 def _level(rows: np.ndarray, norm: float) -> np.ndarray:
@@ -128,6 +137,31 @@ def _toward(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows, np.zeros((len(rows), 1))])
 
 
+def top(scores: np.ndarray, asked: np.ndarray, vecs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best columns of each row, ties to the smaller id; -inf stays.
+
+    A matrix product may round equal vectors apart, so columns as good as the k-th within rounding are scored anew, in
+    one order of summation, before the cut.
+    """
+    if not scores.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    by_id = np.argsort(ids, kind="stable")
+    each = np.maximum.reduceat(scores[:, by_id], np.unique(ids[by_id], return_index=True)[1], axis=1)
+    last = min(k, each.shape[1]) - 1
+    kth = -np.partition(-each, last, axis=1)[:, last]
+    slack = 1e-12 * np.sqrt((asked**2).sum(axis=1) * (vecs**2).sum(axis=1).max())
+    at, column = np.nonzero((scores >= (kth - slack)[:, None]) & (scores > -np.inf))
+    score = np.concatenate([(asked[at[i : i + CHUNK]] * vecs[column[i : i + CHUNK]]).sum(axis=1) for i in range(0, max(1, len(at)), CHUNK)])
+    order = np.lexsort((ids[column], -score, at))
+    at, column, score = at[order], column[order], score[order]
+    # rows of equal ids count as one: only the best of each goes on
+    _, first = np.unique(np.stack([at, ids[column]]), axis=1, return_index=True)
+    first.sort()
+    at, column, score = at[first], column[first], score[first]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[rank < k], column[rank < k], score[rank < k]
+
+
 def exact_neighbours(rows: DataFrame, queries: list, k: int = K) -> DataFrame:
     """``query_id, vec_id, score`` of a bounded list of query rows by comparison with every row, in blocks."""
     ids, vecs = np.array([q["vec_id"] for q in queries], np.int64), np.array([q["v"] for q in queries], np.float64)
@@ -139,9 +173,8 @@ def exact_neighbours(rows: DataFrame, queries: list, k: int = K) -> DataFrame:
             own = part["vec_id"].to_numpy()
             scores = vecs @ matrix(part["v"]).T
             scores[ids[:, None] == own[None, :]] = -np.inf
-            best = np.argpartition(-scores, min(k, len(own)) - 1, axis=1)[:, :k]
-            at = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pd.DataFrame({"query_id": ids[at], "vec_id": own[best.ravel()], "score": scores[at, best.ravel()]})
+            at, best, score = top(scores, vecs, matrix(part["v"]), own, k)
+            yield pd.DataFrame({"query_id": ids[at], "vec_id": own[best], "score": score})
 
     return _best(rows.mapInPandas(compare, "query_id long, vec_id long, score double").where("score > double('-infinity')"), k)
 
@@ -180,13 +213,16 @@ def search(table: DataFrame, queries: Column, vec_id: str = "vec_id", vec: str =
         near = np.take_along_axis(away, order, axis=1)
         return pd.Series([o[d <= d[0] * BOUNDARY + 1e-12].astype(np.int32) for o, d in zip(order, near, strict=True)])
 
-    postings = written(rows.select("vec_id", "v", F.explode(lists_of("v")).alias("list")), "postings")
+    postings = written(rows.select("vec_id", "v", F.posexplode(lists_of("v")).alias("pos", "list")), "postings")
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     ratio = _ratio(rows, postings, centroids, n, k)
+    held_in = np.zeros(len(centroids.points), np.int64)  # each id once, in its nearest list, so that replicas don't count
+    for r in postings.where("pos = 0").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect():
+        held_in[r["list"]] = r["n"]
 
     @F.pandas_udf("array<int>")
     def lists_for(vecs: pd.Series) -> pd.Series:
-        return pd.Series([np.array(sent.value.search(q, ratio), np.int32) for q in _toward(matrix(vecs))])
+        return pd.Series([np.array(sent.value.search(q, ratio, held_in, k + 1), np.int32) for q in _toward(matrix(vecs))])
 
     parts = int(max(1, np.ceil(n * REPLICAS / 10_000)))
     key = F.pmod(F.xxhash64("list", "block"), F.lit(parts)).alias("part")
@@ -211,9 +247,8 @@ def search(table: DataFrame, queries: Column, vec_id: str = "vec_id", vec: str =
                 who = theirs["query_id"].to_numpy()[at]
                 scores = points[[places[q] for q in who]] @ vecs[own].T
                 scores[who[:, None] == ids[own][None, :]] = -np.inf
-                best = np.argpartition(-scores, min(k, len(own)) - 1, axis=1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (len(who), 1))
-                rows_ = np.repeat(np.arange(len(who)), best.shape[1])
-                out.append(pd.DataFrame({"query_id": who[rows_], "vec_id": ids[own][best.ravel()], "score": scores[rows_, best.ravel()]}))
+                rows_, best, score = top(scores, points[[places[q] for q in who]], vecs[own], ids[own], k)
+                out.append(pd.DataFrame({"query_id": who[rows_], "vec_id": ids[own][best], "score": score}))
         if not out:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         found = pd.concat(out).drop_duplicates(["query_id", "vec_id"])
