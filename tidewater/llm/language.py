@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bound_batches, release, uniform
+from tidewater.sources.shared import written
 
 ORDERS = (2, 3, 4)
 #: Bounds of the fit: texts of each language, landmarks of each language, characters of a text used for fitting.
@@ -168,15 +169,23 @@ def fit_model(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge:
 
 
 def labelled_sample(docs: DataFrame, text: str, lang: str, train: Column | None, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most about ``per_language`` labelled texts of each language, drawn by a hash of the text, in a fixed order."""
+    """The ``per_language`` labelled texts of each language with the smallest draws by a hash of the text, in a fixed order.
+
+    Copies count as one text, so a language has all its texts in the sample up to that number. Of a text of more than
+    FIT_CHARS characters a piece of that length stands for it, from a place drawn by another hash.
+    """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), (train if train is not None else F.lit(True)).alias("train"))
-    rows = rows.where("train and lang is not null and text is not null").where(F.length("text").between(1, FIT_CHARS))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.where("train and lang is not null and length(text) > 0").withColumn("draw", uniform(F.col("text"), seed=4))
+    draws = written(rows.select("lang", "draw").distinct(), "draws")
+    counts = {r["lang"]: r["n"] for r in draws.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    draw = uniform(F.col("text"), seed=4)
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    drawn = rows.where(draw < rate).select("lang", "text", draw.alias("draw")).distinct().collect()
+    by_lang = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("lang"))
+    few = draws.where(F.col("draw") <= by_lang({own: min(1.0, (2.0 * per_language + 100) / n) for own, n in counts.items()})).collect()
+    cuts = {own: sorted(r["draw"] for r in few if r["lang"] == own)[:per_language][-1] for own in counts}
+    start = F.floor(uniform(F.col("text"), seed=5) * F.greatest(F.length("text") - FIT_CHARS, F.lit(0))).cast("int") + 1
+    piece = F.substring(F.col("text"), start, F.lit(FIT_CHARS)).alias("text")
+    drawn = rows.where(F.col("draw") <= by_lang(cuts)).select("lang", piece, "draw").distinct().collect()
     ordered = sorted((r["lang"], r["draw"], r["text"]) for r in drawn)
     return [(lang, text) for lang, _, text in ordered]
 
