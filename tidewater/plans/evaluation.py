@@ -66,7 +66,9 @@ def _(m: Models) -> DataFrame:
 @key("stream_exact_dedup", "select substr(sha1(whole), 1, 16) as hash, 1 as n from d_tokens group by 1")
 def _(m: Models) -> DataFrame:
     messages = m.fx_messages.select("id", "text", F.col("received_at_utc").cast("timestamp").alias("received_at"))
-    kept = streams.run(streams.first_copies(streams.as_stream(m.spark, messages), "1000 days").select("id", "hash"), "firsts")
+    span = messages.agg(F.max("received_at").cast("long") - F.min("received_at").cast("long")).first()[0] or 0
+    horizon = f"{span + 86_400} seconds"  # files come in any order of time, so no row may be late and no text forgotten
+    kept = streams.run(streams.first_copies(streams.as_stream(m.spark, messages), horizon).select("id", "hash"), "firsts")
     return kept.groupBy("hash").agg(F.count("*").cast("int").alias("n"))
 
 
