@@ -25,6 +25,8 @@ PERCENT = 80
 ORDER_SAMPLE = 20_000
 COMMON = 100_000
 COMMON_DOCS = 8
+#: Bits of a filter that keeps rows without partner from being shuffled; a full one lets all through.
+BITS = 1 << 23
 
 
 def shingles(text: str | None, words: int = WORDS, common: np.ndarray | None = None) -> np.ndarray:
@@ -62,6 +64,30 @@ def _common(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return np.array(sorted(r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(COMMON).select("k").collect()), np.int64)
 
 
+def _bits(values: DataFrame):
+    """A filter of bounded size that lets every long of the one column through, and few others while it is not full."""
+    column = F.pmod(F.col(values.columns[0]), F.lit(BITS))
+    parts = values.select(F.shiftright(column, 15).alias("b"), column.bitwiseAND(F.lit((1 << 15) - 1)).alias("p"))
+    held = np.zeros(BITS, bool)
+    for r in parts.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():
+        held[r["b"] << 15 : r["b"] + 1 << 15] = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
+    sent = values.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    def passes(x: np.ndarray) -> np.ndarray:
+        at = x % BITS
+        return (sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+    return passes
+
+
+def _passing(passes):
+    @F.pandas_udf(T.BooleanType())
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(passes(x.to_numpy(np.int64)))
+
+    return of
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs ``a < b`` those whose sets are as similar as asked."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
@@ -83,16 +109,30 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(_common(docs, text, words))
     mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    of = _shingles(words, sent)
+    prefix = F.expr(f"slice(s, 1, n - cast(ceil(n * {percent} / 100.0BD) as int) + 1)")
     path = new_path(spark, "shingles")
-    each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), _shingles(words, sent)(F.col(text)).alias("s"))
-    each = written(each.select("doc_id", "mark", F.xxhash64("s").alias("id"), F.size("s").alias("n"), "s"), "shingles", path)
+    each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), of(F.col(text)).alias("s"))
+    each = each.select("doc_id", "mark", F.xxhash64("s").alias("id"), F.size("s").alias("n"), "s")
+    each = written(each.select("doc_id", "mark", "id", "n", prefix.alias("keys")), "shingles", path)
 
-    prefix = F.expr(f"slice(s, 1, n - cast(ceil(n * {percent} / 100.0BD) as int) + 1)")
-    keyed = each.where("n > 0").select("id", "n", F.explode(prefix).alias("k"))
+    keyed = each.where("n > 0").select("id", "n", F.explode("keys").alias("k"))
     met = keyed.groupBy("k").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("k", "x")
-    met = written(keyed.join(met, "k").distinct(), "met")
-    sets = each.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-    sets = written(sets, "sets")
+    met = written(met, "shared")
+    shared = _bits(met.select("k"))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def among(keys: pd.Series) -> pd.Series:
+        return pd.Series([k[shared(k)] for k in keys], dtype=object)
+
+    some = each.where("n > 0").select("id", "n", F.explode(among("keys")).alias("k"))
+    met = written(some.join(met, "k").distinct(), "met")
+    ids = written(met.select("id").distinct(), "ids")
+    firsts = each.join(ids, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark"))
+    wanted = _passing(_bits(firsts.select("mark")))
+    sets = docs.select(F.col(text).alias("t"), mark.alias("mark")).where(wanted("mark")).select(of("t").alias("s"))
+    sets = sets.select(F.xxhash64("s").alias("id"), F.size("s").alias("n"), "s").join(ids, "id", "left_semi")
+    sets = written(sets.groupBy("id").agg(F.first("n").alias("n"), F.first("s").alias("s")), "sets")
     pair = [F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")]
     links = written(_verified(met.where("id <> x").select(*pair).distinct(), sets, percent), "links")
     found = connected_components(links)
@@ -116,6 +156,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     drop_path(spark, path)
 
     marked = docs.select(F.struct("*").alias("d"), mark.alias("mark"))
-    kept = marked.join(gone.select("mark"), "mark", "left_anti")
+    maybe = _passing(_bits(gone.select("mark")))
+    kept = marked.where(~maybe("mark")).select("d.*")
+    kept = kept.unionByName(marked.where(maybe("mark")).join(gone.select("mark"), "mark", "left_anti").select("d.*"))
     once = marked.join(gone.where("once").select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("d").alias("d"))
-    return kept.select("d.*").unionByName(once.select("d.*"))
+    return kept.unionByName(once.select("d.*"))
