@@ -284,11 +284,29 @@ def test_mix(spark, odd, none):
         assert r["taken"] <= 3 * r["size"]
     assert abs(sum(t for _, t in sizes) - sum(sizes.values())) < 1e-6 * sum(sizes.values())
     assert abs(sum(taken.values()) - sum(sizes.values())) < 0.15 * sum(sizes.values())
+    docs, weights = defaultdict(list), {}
+    for r in rows:
+        docs[r["source_size"], r["target"]].append(r["size"])
+        weights[r["source_size"], r["target"]] = r["target"] / max(1, r["source_size"])
+    for own, target in targets_of(sizes).items():  # within five standard deviations of the independent draws
+        part = weights[own] % 1
+        assert abs(taken[own] - target) <= 5 * (part * (1 - part) * sum(s * s for s in docs[own])) ** 0.5 + 1
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.source_mix(spark, SF_MORE).collect()))
     assert mixing.emit(odd).columns == odd.columns and mixing.emit(none).count() == 0 and targets == {}
     assert mixing.mixed(odd).count() == len(ODD)
 
 
+def targets_of(sizes):
+    return {own: own[1] for own in sizes}
+
+
+def test_one_document_changes_no_other_draw(spark):
+    rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 3}", 1) for i in range(300)]
+    whole = {r["doc_id"]: r["draw"] for r in mixing.mixed(spark.createDataFrame(rows, DOCS)).collect()}
+    less = {r["doc_id"]: r["draw"] for r in mixing.mixed(spark.createDataFrame(rows[:-1], DOCS)).collect()}
+    assert all(whole[i] == draw for i, draw in less.items()) and len({round(d, 6) for d in whole.values()}) > 290
+
+
 def test_targets_stop_at_caps(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 890)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}

@@ -12,9 +12,6 @@ from tidewater.sources.shared import written
 MOST = 3
 WEIGHTS = (5, 2, 1)
 SEED = 7
-#: Documents of a source that share a salt, about; size classes per fourth root of a word count.
-STRATUM = 1_000
-CLASSES = 4
 
 
 def word_count(text: str = "text") -> Column:
@@ -27,7 +24,8 @@ def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int,
     Sources ordered by code point, null last, weigh ``weights`` in turn. The targets share the total of all sizes by
     weight; a target that passes ``most`` times its source's size stops there and the excess is shared again by weight.
     That is a water level: with sources ordered by cap / weight, the capped ones are a prefix, so running sums over the
-    table of sources (one row each) give the level. Sources without words get a target of zero.
+    table of sources give the level. That table has one row of five numbers for each source, summed before any shuffle; its
+    windows run in one task, which holds millions of sources. Sources without words get a target of zero.
     """
     totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -50,67 +48,51 @@ def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int,
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _place(size: Column, salts: Column, spread: Column) -> list[Column]:
-    """Size class and salt of a document: square roots are the same in every engine."""
-    return [F.floor(F.sqrt(F.sqrt(size.cast("double"))) * CLASSES).cast("int").alias("class"), F.floor(spread * salts).cast("int").alias("salt")]
+def _draw(doc_id: str, text: str, seed: int) -> Column:
+    """The seeded number of a row's id, or of its text if the id is null."""
+    return uniform(F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))), seed=seed)
 
 
-def extra_cuts(each: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """``source, class, salt, cut``: the draw up to which a stratum's documents get one copy more.
+def rates(sized: DataFrame, source: str = "source", most: int = MOST) -> DataFrame:
+    """The written table of sources: ``own, source_size, target, rate`` with rate = target / source size."""
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    return written(source_targets(sized, source, most=most).select(F.col("source").alias("own"), "source_size", "target", rate.alias("rate")), "rates")
 
-    Strata are size classes of a source, dealt by hash to salts of about STRATUM documents. Running counts over a source's
-    strata, times the fraction, give each its number of copies, so that every document has that probability and yet the
-    copies of a source fall evenly over its sizes. The cut is the draw of that rank within the stratum.
-    """
-    known = targets.select(F.col("source").alias("own"), "salts", "fraction", "start")
-    rows = each.join(known, each["source"].eqNullSafe(known["own"])).select("source", *_place(F.col("size"), F.col("salts"), F.col("spread")), "draw", "fraction", "start")
-    sizes = rows.groupBy("source", "class", "salt", "fraction", "start").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("class"), "salt").rowsBetween(Window.unboundedPreceding, 0))
-    due = lambda n: F.floor(n * F.col("fraction") + F.col("start"))
-    taken = sizes.withColumn("upto", upto).withColumn("k", due(F.col("upto")) - due(F.col("upto") - F.col("n"))).where("k > 0")
-    taken = taken.select(F.col("source").alias("own"), F.col("class").alias("c"), F.col("salt").alias("t"), "k")
-    met = rows.join(taken, rows["source"].eqNullSafe(taken["own"]) & (F.col("class") == F.col("c")) & (F.col("salt") == F.col("t")))
-    rank = F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("draw"))
-    return met.withColumn("rank", rank).where("rank = k").select("source", "class", "salt", F.col("draw").alias("cut"))
+
+def _copies(rows: DataFrame, source: Column, told: DataFrame) -> DataFrame:
+    """``rows`` with their source's rate and ``copies``: floor(rate), and one more if the draw is below the fraction."""
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return rows.join(told, source.eqNullSafe(told["own"])).withColumn("copies", copies.cast("int")).drop("own")
 
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = SEED, most: int = MOST) -> DataFrame:
-    """Each row of ``docs`` as struct ``d`` with ``size, source_size, target, rate, copies``.
-
-    The rate of a source is target / source size. A document is taken floor(rate) times, and once more if the number that a
-    seeded hash draws from its id (from its text, if the id is null) is within its stratum's cut; see extra_cuts. Its
-    probability is the fraction, reruns agree, and only sizes and draws are shuffled, never texts: targets and cuts are
-    written tables whose size is known before the join is planned, and Spark broadcasts them within its own threshold, else joins
-    by shuffle with skewed sources split. Null text counts as size zero; null source is a source. Repeated rows draw alike.
-    Empty input gives no rows.
+    """``doc_id, source, size, draw, source_size, target, rate, copies`` for each row.
+
+    A document is taken floor(rate) times and once more with a probability of the fraction, by the number that a seeded hash
+    draws from its id (from its text, if the id is null): an independent Bernoulli trial, so reruns agree and no document
+    changes another's copies but through its source's total. Texts are read once, for their sizes, and never shuffled: the table of
+    sources is written before the join is planned, so Spark broadcasts it within its own threshold. Null text counts as
+    size zero; a null source is a source. Repeated rows draw alike. Empty input gives no rows.
     """
-    key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    sized = [F.col(source).alias("source"), word_count(text).alias("size"), uniform(key, seed=seed).alias("draw"), uniform(key, seed=seed + 1).alias("spread")]
-    each = written(docs.select(*sized), "sizes")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    counts = each.groupBy(F.col("source").alias("own")).agg(F.ceil(F.count("*") / STRATUM).alias("salts"))
-    targets = source_targets(each, most=most)
-    targets = targets.join(counts, targets["source"].eqNullSafe(counts["own"])).drop("own").withColumn("rate", rate)
-    targets = written(targets.withColumns({"fraction": F.col("rate") - F.floor("rate"), "start": uniform("source", seed=seed + 2)}), "targets")
-    cuts = written(extra_cuts(each, targets, seed), "cuts").select(F.col("source").alias("cut_source"), F.col("class").alias("c"), F.col("salt").alias("t"), "cut")
-    rows = docs.select(F.struct("*").alias("d"), *[c.alias(n) for c, n in zip(sized, ("src", "size", "draw", "spread"), strict=True)])
-    rows = rows.join(targets, rows["src"].eqNullSafe(targets["source"]), "left").select("*", *_place(F.col("size"), F.col("salts"), F.col("spread")))
-    out = rows.join(cuts, rows["src"].eqNullSafe(cuts["cut_source"]) & (F.col("class") == F.col("c")) & (F.col("salt") == F.col("t")), "left")
-    copies = F.floor("rate") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)
-    return out.select("d", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns."""
-    many = mixed(docs, **options).where("copies > 0")
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), _draw(doc_id, text, seed).alias("draw"))
+    each = written(each, "sizes")
+    return _copies(each, each["source"], rates(each, most=most))
+
+
+def emit(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = SEED, most: int = MOST) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns; see mixed."""
+    told = rates(docs.select(F.col(source).alias("source"), word_count(text).alias("size")), most=most)
+    rows = docs.select(F.struct("*").alias("d"), F.col(source).alias("src"), _draw(doc_id, text, seed).alias("draw"))
+    many = _copies(rows, rows["src"], told).where("copies > 0")
     return many.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")
 
 
-_DRAW = "cast(concat('0x', substr(md5(concat('{0}|', coalesce(cast({1} as varchar), ''))), 1, 13)) as bigint)::double / 4503599627370496.0"
 ORACLE = r"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, """ + _DRAW.format(7, "doc_id") + """ as draw, """ + _DRAW.format(8, "doc_id") + """ as spread from documents),
-s as (select source, cast(sum(size) as bigint) as source_size, ceil(count(*) / 1000) as salts from d group by source),
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    cast(concat('0x', substr(md5(concat('7|', coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))))), 1, 13)) as bigint)::double / 4503599627370496.0 as draw
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (
   select *, list_value(5.0::double, 2.0::double, 1.0::double)[1 + (row_number() over (order by encode(source) asc nulls last) - 1) % 3] as weight,
     source_size::double * 3 as cap from s),
@@ -121,18 +103,9 @@ r as (
   from w),
 h as (select *, (total - spent) / open as height from r),
 l as (select min_by(height, cap / weight) as level from h where cap > height * weight),
-t as (select *, case when level is null then cap else least(cap, level * weight) end as target from h cross join l),
-q as (
-  select source, source_size, salts, target, case when source_size > 0 then least(target / source_size, 3.0) else 0.0 end as rate, """ + _DRAW.format(9, "source") + """ as start from t),
-x as (
-  select d.*, q.source_size, q.target, q.rate, q.rate - floor(q.rate) as fraction, q.start,
-    cast(floor(sqrt(sqrt(d.size::double)) * 4) as int) as class, cast(floor(d.spread * q.salts) as int) as salt
-  from d join q on d.source is not distinct from q.source),
-g as (
-  select source, class, salt, any_value(fraction) as f, any_value(start) as u, count(*) as n, sum(count(*)) over (partition by source order by class desc, salt) as upto from x group by source, class, salt),
-k as (select *, floor(upto * f + u) - floor((upto - n) * f + u) as k from g),
-y as (select source, class, salt, draw, row_number() over (partition by source, class, salt order by draw) as rank from x),
-c as (select y.source, y.class, y.salt, y.draw as cut from y join k on y.source is not distinct from k.source and y.class = k.class and y.salt = k.salt and y.rank = k.k)
-select x.doc_id, x.size, x.source_size, x.target, cast(x.size * (floor(x.rate) + case when x.draw <= c.cut then 1 else 0 end) as bigint) as taken
-from x left join c on x.source is not distinct from c.source and x.class = c.class and x.salt = c.salt
+t as (
+  select source, source_size, case when level is null then cap else least(cap, level * weight) end as target from h cross join l),
+q as (select *, case when source_size > 0 then least(target / source_size, 3.0) else 0.0 end as rate from t)
+select d.doc_id, d.size, q.source_size, q.target, cast(d.size * (floor(q.rate) + case when d.draw < q.rate - floor(q.rate) then 1 else 0 end) as bigint) as taken
+from d join q on d.source is not distinct from q.source
 """

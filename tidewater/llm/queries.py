@@ -46,7 +46,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("d.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
