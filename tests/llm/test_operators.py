@@ -386,6 +386,56 @@ def test_license_spans():
     assert scanner.scan("MIT\x00LICENSE and mit-license")["n_base"] == 2
 
 
+def test_stray_runs_break_no_chain():
+    """A template with its own first words once more anywhere inside it is still found."""
+    scanner = licenses.Scanner()
+    for text in (licenses.TEMPLATES[0][1], licenses.TEMPLATES[1][1], licenses.TEMPLATES[-7][1]):
+        words, label = [w.decode() for w in licenses.words_of(text)], next(x for x, t in licenses.TEMPLATES if t == text)
+        for at in range(3, len(words)):
+            got = scanner.scan(" ".join([*words[:at], *words[:3], *words[at:]]))
+            assert label in got["labels"] and got["score"] >= 0.9  # pieces of under three words fall out
+
+
+def _matches(part, templates):
+    for t, template in enumerate(templates):
+        for i in range(len(part)):
+            for j in range(len(template)):
+                if i and j and part[i - 1] == template[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(part) and j + n < len(template) and part[i + n] == template[j + n]:
+                    n += 1
+                if n >= licenses.LEAST_RUN:
+                    yield t, i, j, n
+
+
+def _best_cover(own):
+    """The most words of any chain, by all pairs of runs."""
+    best = {}
+    for start, j, size in sorted(own):
+        best[start, j, size] = size
+        for (a, b, n), cover in list(best.items()):
+            rest = size - max(0, a + n - start, b + n - j)
+            if a < start and b < j and start - (a + n) <= licenses.GAP and 0 < rest:
+                best[start, j, size] = max(best[start, j, size], cover + rest)
+    return max(best.values())
+
+
+def test_matches_and_chains_against_brute_force():
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(6)]
+    for _ in range(60):
+        templates = tuple((f"t{i}", " ".join(rng.choice(words, rng.integers(4, 30)))) for i in range(3))
+        scanner = licenses.Scanner((("w0 w1", "b"),), templates)
+        text = " ".join(" ".join([*t[1].split()[rng.integers(0, 3) : rng.integers(3, 30)], *rng.choice([*words, "zz"], rng.integers(0, 12))]) for t in templates)
+        codes = [scanner.vocab.get(w, -1) for w in licenses.words_of(text)]
+        streamed = list(scanner.machine.stream(codes))
+        got = sorted(scanner.matches(codes, [s for s, _ in streamed], [n for _, n in streamed]))
+        assert got == sorted(_matches(codes, [t for t, _ in scanner.texts]))
+        for t, spans in licenses.chained(got).items():
+            assert max(c for _, _, c in spans) == _best_cover([r[1:] for r in got if r[0] == t])
+
+
 # pipeline
 
 
