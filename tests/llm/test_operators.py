@@ -4,6 +4,7 @@ import json
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -343,13 +344,70 @@ def test_neighbours_recall(spark):
 def test_commits_are_idempotent(spark, tmp_path):
     path = f"file://{tmp_path}/rollup"
     rows = spark.createDataFrame([("a", "en", 5), ("a", "en", 7), (None, None, 1)], "source string, lang string, n long")
-    for _ in range(2):
-        rollups.commit(spark, path, "one", rollups.signed(rows, "t", "n", 1))
-    rollups.commit(spark, path, "two", rollups.signed(rows.where("n = 7"), "t", "n", -1).unionByName(rollups.signed(rows.where("n = 7").withColumn("n", F.lit(9).cast("long")), "t", "n", 1)))
+    one = rollups.signed(rows, "t", "n", 1)
+    revised = rollups.signed(rows.where("n = 7"), "t", "n", -1).unionByName(rollups.signed(rows.where("n = 7").withColumn("n", F.lit(9).cast("long")), "t", "n", 1))
+    assert [rollups.commit(spark, path, "one", one) for _ in range(2)] == [True, False]
+    rollups.commit(spark, path, "two", revised)
     expected = {("a", "en", "t", 2, 14), (None, None, "t", 1, 1)}
-    assert {tuple(r) for r in rollups.totals(spark, path).collect()} == expected
-    rollups.compact(spark, path, "all")
-    assert {tuple(r) for r in rollups.totals(spark, path).collect()} == expected
+    told = lambda: {tuple(r) for r in rollups.totals(spark, path).collect()}
+    assert told() == expected
+    for _ in range(2):
+        rollups.compact(spark, path)
+        assert told() == expected and not rollups.commit(spark, path, "one", one) and not rollups.commit(spark, path, "two", revised)
+        assert told() == expected
+    assert rollups.commit(spark, path, "three", one)
+    rollups.compact(spark, path)
+    assert told() == {("a", "en", "t", 4, 26), (None, None, "t", 2, 2)} and not rollups.commit(spark, path, "one", one)
+
+
+@pytest.mark.parametrize("at", ["aside", "rename", "clean"])
+def test_compaction_survives_a_crash(spark, tmp_path, monkeypatch, at):
+    """Whatever step of a compaction is the last one, totals stay, ids stay known and the next compaction ends the work."""
+    path = f"file://{tmp_path}/rollup"
+    rows = rollups.signed(spark.createDataFrame([("a", "en", 5)], "source string, lang string, n long"), "t", "n", 1)
+    for name in ("one", "two"):
+        rollups.commit(spark, path, name, rows)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    whole = rollups._rename
+    with monkeypatch.context() as m:
+        if at == "aside":
+            m.setattr(rollups, "_rename", stop)
+        elif at == "rename":
+            m.setattr(rollups, "_rename", lambda *a: whole(*a) and stop())
+        else:
+            m.setattr(rollups, "drop_path", stop)
+        with pytest.raises(KeyboardInterrupt):
+            rollups.compact(spark, path)
+    told = lambda: [tuple(r) for r in rollups.totals(spark, path).collect()]
+    assert told() == [("a", "en", "t", 2, 10)] and not rollups.commit(spark, path, "two", rows)
+    rollups.compact(spark, path)
+    assert rollups.commit(spark, path, "three", rows) and told() == [("a", "en", "t", 3, 15)]
+
+
+def test_rollup_counts_tokens(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    first = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"], r)
+    true = defaultdict(lambda: [0, 0])
+    for r in first.values():
+        bpe = r["lang"] in ("de", "es", "fr")
+        n = len(own.encode(r["text"] or "", add_special_tokens=False).ids) if bpe else len((r["text"] or "").encode().split())
+        sums = true[r["source"], r["lang"], rollups.BPE if bpe else "words-1"]
+        sums[0] += 1
+        sums[1] += n
+    assert {tuple(r)[:3]: list(r)[3:] for r in queries.token_counts(spark, SF).collect()} == dict(true)
+
+
+def test_rollup_against_sql(spark):
+    got = rollups.corpus_rollup(spark.read.parquet(f"{SF_MORE}/documents.parquet")).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF_MORE}/documents.parquet')")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(rollups.PIECES_SQL).fetchall()))
 
 
 def test_rollup_odd(odd, none):
