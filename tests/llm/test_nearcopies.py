@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from tidewater.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +50,46 @@ def test_dedup_stage_near_copies_repeated_and_unnamed_rows(spark):
         least[c] = min(least.get(c, (True, 0)), (row[0] is None, row[0] or 0))
     assert len(kept) == len(least) and {r for r in kept} <= set(rows)
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted(least.values())
+
+
+def test_similar_sets_are_those_of_plain_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
+    plain = [set(s.tolist()) for s in sets]
+    near = simhash.similar(sets, 50)
+    for i, a in enumerate(plain):
+        for j, b in enumerate(plain):
+            assert near[i, j] == (i != j and 2 * len(a & b) >= len(a | b))
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    """Of pairs of sets with a similarity of just 0.8 at most a few in a hundred share no key or differ in too many bits."""
+    rng, draws = np.random.default_rng(7), simhash.Draws.of(50_000)
+    places, missed = draws.places(), 0
+    for _ in range(150):
+        pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        a, b = (simhash.wide_bits(x, draws.bits) for x in (pool[:240], np.concatenate([pool[26:240], pool[240:267]])))
+        keys = draws.keys(np.array([a, b]), places)
+        missed += not (keys[0] == keys[1]).any() or (a[:64] != b[:64]).sum() > simhash.MOST_BITS
+    assert missed <= 8
+
+
+def test_buckets_in_pieces_give_connected_meetings():
+    """However a bucket is cut into batches, rows with near fingerprints meet, and a large bucket hangs together."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    k = np.sort(np.concatenate([rng.integers(0, 30, 200), np.full(300, 30), rng.integers(31, 60, 100)]))
+    fp = rng.integers(0, 1 << 62, len(k))
+    fp[::3] = fp[0] ^ (1 << rng.integers(0, 62, len(fp[::3])))
+    rows = pd.DataFrame({"k": k, "id": np.arange(len(k)), "fp": fp}).sort_values(["k", "fp"])
+    for size in (1000, 70, 7):
+        found = pd.concat(simhash._meetings(iter([rows.iloc[at : at + size] for at in range(0, len(rows), size)])))
+        pairs = {frozenset(p) for p in zip(found["a"], found["b"], strict=True) if p[0] != p[1]}
+        hot = rows[rows["k"] == 30]["id"].tolist()
+        assert {frozenset((hot[0], x)) for x in hot[1:]} <= pairs
+        for _, own in rows[rows["k"] != 30].groupby("k"):
+            for i in range(len(own)):
+                for j in range(i):
+                    near = int(own["fp"].iloc[i] ^ own["fp"].iloc[j]).bit_count() <= simhash.MOST_BITS
+                    assert near == (frozenset((own["id"].iloc[i], own["id"].iloc[j])) in pairs)
