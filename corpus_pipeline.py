@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import language, mixing, nearcopies, packing, toxicity
+from tidewater.llm import language, mixing, packing, simhash, toxicity
 from tidewater.llm.common import table
 from tidewater.sources.shared import new_path
 
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return nearcopies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
