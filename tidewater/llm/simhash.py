@@ -238,7 +238,7 @@ def wide_bits(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketches(draws: Draws, words: int):
-    @F.pandas_udf("id long, n int, fp long, keys array<long>, shingles binary")
+    @F.pandas_udf("id long, n int, fp long, keys array<long>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         places = draws.places()
         for texts in parts:
@@ -249,9 +249,9 @@ def _sketches(draws: Draws, words: int):
                 bits = np.array([wide_bits(s, draws.bits) for s in sets])
                 for_all.append(pd.DataFrame({
                     "id": [xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "n": [len(s) for s in sets],
-                    "fp": np.packbits(bits[:, :64], axis=1).view(np.int64).ravel(), "keys": list(draws.keys(bits, places)), "shingles": [s.tobytes() for s in sets],
+                    "fp": np.packbits(bits[:, :64], axis=1).view(np.int64).ravel(), "keys": list(draws.keys(bits, places)),
                 }).astype({"id": "uint64"}))
-            out = pd.concat(for_all) if for_all else pd.DataFrame({"id": np.zeros(0, np.uint64), "n": [], "fp": [], "keys": [], "shingles": []})
+            out = pd.concat(for_all) if for_all else pd.DataFrame({"id": np.zeros(0, np.uint64), "n": [], "fp": [], "keys": []})
             out["id"] = out["id"].to_numpy(np.uint64).view(np.int64)
             yield out
         release()
@@ -324,6 +324,14 @@ def similar(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return near
 
 
+def _sets(words: int):
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).tobytes() for t in texts], dtype=object)
+
+    return of
+
+
 def _verified(members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: texts of one coarse group that similar ones join, every pair of a group compared once, block by block.
 
@@ -382,13 +390,16 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keyed = classes.select("id", "fp", F.explode("keys").alias("k"))
     met = keyed.repartition("k").sortWithinPartitions("k", "fp").select("k", "id", "fp").mapInPandas(_meetings, "a long, b long")
     coarse = written(connected_components(met), "coarse")
-    members = coarse.join(each.select(F.col("id").alias("node"), "shingles"), "node").select("component", F.col("node").alias("id"), "shingles").dropDuplicates(["id"])
-    found = written(connected_components(_verified(members, percent)), "found")
-    rows = each.groupBy("id", "doc_id", "mark").agg(F.count("*").alias("times"))
-    rows = rows.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "mark", "times", F.coalesce("component", "id").alias("component"))
-    rows = written(rows, "rows")
+    rows = written(each.groupBy("id", "doc_id", "mark").agg(F.count("*").alias("times")), "rows")
     drop_path(spark, path)
-    return rows
+    wanted = rows.join(coarse, F.col("id") == F.col("node")).groupBy("component", "id").agg(F.min(F.struct("mark", "times")).alias("m"))
+    wanted = written(wanted.select("component", "id", "m.mark", "m.times"), "wanted")
+    members = docs.select(F.col(text).alias("t"), mark.alias("mark")).where(_filter(wanted.select("mark"))("mark"))
+    members = members.select("mark", _sets(words)("t").alias("shingles")).join(wanted, "mark").select("component", "id", "times", "shingles")
+    members = members.where("times = 1").unionByName(members.where("times > 1").dropDuplicates(["id"]))
+    found = written(connected_components(_verified(members, percent)), "found")
+    named = rows.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "mark", "times", F.coalesce("component", "id").alias("component"))
+    return written(named, "named")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
