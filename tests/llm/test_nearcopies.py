@@ -70,7 +70,7 @@ def test_pairs_at_the_threshold_share_a_key():
         pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
         a, b = (simhash.wide_bits(x, draws.bits) for x in (pool[:240], np.concatenate([pool[26:240], pool[240:267]])))
         keys = draws.keys(np.array([a, b]), places)
-        missed += not (keys[0] == keys[1]).any() or (a[:64] != b[:64]).sum() > simhash.MOST_BITS
+        missed += not (keys[0] == keys[1]).any() or (a[:128] != b[:128]).sum() > simhash.MOST_BITS
     assert missed <= 8
 
 
@@ -82,7 +82,7 @@ def test_buckets_in_pieces_give_connected_meetings():
     k = np.sort(np.concatenate([rng.integers(0, 30, 200), np.full(300, 30), rng.integers(31, 60, 100)]))
     fp = rng.integers(0, 1 << 62, len(k))
     fp[::3] = fp[0] ^ (1 << rng.integers(0, 62, len(fp[::3])))
-    rows = pd.DataFrame({"k": k, "id": np.arange(len(k)), "fp": fp}).sort_values(["k", "fp"])
+    rows = pd.DataFrame({"k": k, "id": np.arange(len(k)), "fp": fp, "more": fp[0]}).sort_values(["k", "fp"])
     for size in (1000, 70, 7):
         found = pd.concat(simhash._meetings(iter([rows.iloc[at : at + size] for at in range(0, len(rows), size)])))
         pairs = {frozenset(p) for p in zip(found["a"], found["b"], strict=True) if p[0] != p[1]}

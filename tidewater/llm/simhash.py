@@ -8,7 +8,7 @@ codeword indices, so (exact segment, codeword index) is a key on which all links
 
 Texts that are similar but not that close are found with a wider fingerprint: each of many draws of its bits is decoded to its
 nearest codeword, which several errors leave in place, and that index with a few exact bits is a key. Texts that meet on a
-key, with 64-bit fingerprints not too far apart, form coarse groups, inside which the similarity of whole shingle sets is verified
+key, with fingerprints not too far apart, form coarse groups, inside which the similarity of whole shingle sets is verified
 block by block.
 """
 
@@ -174,8 +174,8 @@ BIT_CHANGES = 0.1515
 SAME_CODEWORD = 0.1214
 #: Chance that such a pair shares no key at all.
 MISS = 0.01
-#: Bits of a 64-bit fingerprint in which such a pair may differ: over three standard deviations above its mean.
-MOST_BITS = 20
+#: Of a fingerprint's first 128 bits those in which such a pair may differ: over three standard deviations above their mean.
+MOST_BITS = 34
 #: Rows of a bucket that are compared with each other; a larger one is a coarse group as a whole. Texts compared in one block.
 NEXT_ROWS = 64
 BLOCK = 256
@@ -238,7 +238,7 @@ def wide_bits(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketches(draws: Draws, words: int):
-    @F.pandas_udf("id long, n int, fp long, keys array<long>")
+    @F.pandas_udf("id long, n int, fp long, more long, keys array<long>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         places = draws.places()
         for texts in parts:
@@ -249,9 +249,9 @@ def _sketches(draws: Draws, words: int):
                 bits = np.array([wide_bits(s, draws.bits) for s in sets])
                 for_all.append(pd.DataFrame({
                     "id": [xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "n": [len(s) for s in sets],
-                    "fp": np.packbits(bits[:, :64], axis=1).view(np.int64).ravel(), "keys": list(draws.keys(bits, places)),
+                    "fp": np.packbits(bits[:, :64], axis=1).view(np.int64).ravel(), "more": np.packbits(bits[:, 64:128], axis=1).view(np.int64).ravel(), "keys": list(draws.keys(bits, places)),
                 }).astype({"id": "uint64"}))
-            out = pd.concat(for_all) if for_all else pd.DataFrame({"id": np.zeros(0, np.uint64), "n": [], "fp": [], "keys": []})
+            out = pd.concat(for_all) if for_all else pd.DataFrame({"id": np.zeros(0, np.uint64), "n": [], "fp": [], "more": [], "keys": []})
             out["id"] = out["id"].to_numpy(np.uint64).view(np.int64)
             yield out
         release()
@@ -261,13 +261,13 @@ def _sketches(draws: Draws, words: int):
 
 def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of a bucket's rows that are near in order and in fingerprint; of buckets of more than NEXT_ROWS rows, a star."""
-    held = {c: np.zeros(0, np.int64) for c in ("k", "id", "fp")}
+    held = {c: np.zeros(0, np.int64) for c in ("k", "id", "fp", "more")}
     before, first = 0, 0  # rows of the last bucket that came before the held ones, and its first id
     for part in parts:
         if not len(part):
             continue
         now = {c: np.concatenate([held[c], part[c].to_numpy(np.int64)]) for c in held}
-        k, ids, fp, old = now["k"], now["id"], now["fp"], len(held["k"])
+        k, ids, fp, more, old = now["k"], now["id"], now["fp"].view(np.uint64), now["more"].view(np.uint64), len(held["k"])
         start = np.concatenate(([True], k[1:] != k[:-1]))
         heads = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
         place = np.arange(len(k)) - heads + np.where(heads == 0, before, 0)
@@ -278,7 +278,7 @@ def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = at[k[at] == k[at + shift]]
             if not len(at):
                 break
-            at = at[np.bitwise_count((fp[at] ^ fp[at + shift]).view(np.uint64)) <= MOST_BITS]
+            at = at[np.bitwise_count(fp[at] ^ fp[at + shift]) + np.bitwise_count(more[at] ^ more[at + shift]) <= MOST_BITS]
             a.append(ids[at])
             b.append(ids[at + shift])
         fresh = np.arange(len(k)) >= old
@@ -335,12 +335,10 @@ def _sets(words: int):
 def _verified(members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: texts of one coarse group that similar ones join, every pair of a group compared once, block by block.
 
-    A group of more than BLOCK texts is dealt to blocks, and each block meets each other in a task of its own. What a block
-    finds is given as one edge for each text that it joins, not as all pairs.
+    ``members`` has ``component, blocks, id, shingles``. A group of more than BLOCK texts is dealt to blocks, and each block meets
+    each other in a task of its own. What a block finds is given as one edge for each text that it joins, not as all pairs.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "shingles")
     keys = ["component", "p", "q"]
 
@@ -386,16 +384,17 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sketch = _sketches(Draws.of(docs.count()), words)
     each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), sketch(F.col(text)).alias("s")).select("doc_id", "mark", "s.*")
     each = written(each, "sketches", path)
-    classes = each.where("n > 0").select("id", "fp", "keys").dropDuplicates(["id"])
-    keyed = classes.select("id", "fp", F.explode("keys").alias("k"))
-    met = keyed.repartition("k").sortWithinPartitions("k", "fp").select("k", "id", "fp").mapInPandas(_meetings, "a long, b long")
+    classes = each.where("n > 0").select("id", "fp", "more", "keys").dropDuplicates(["id"])
+    keyed = classes.select(F.explode("keys").alias("k"), "id", "fp", "more")
+    met = keyed.repartition("k").sortWithinPartitions("k", "fp").mapInPandas(_meetings, "a long, b long")
     coarse = written(connected_components(met), "coarse")
     rows = written(each.groupBy("id", "doc_id", "mark").agg(F.count("*").alias("times")), "rows")
     drop_path(spark, path)
     wanted = rows.join(coarse, F.col("id") == F.col("node")).groupBy("component", "id").agg(F.min(F.struct("mark", "times")).alias("m"))
-    wanted = written(wanted.select("component", "id", "m.mark", "m.times"), "wanted")
+    sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = written(wanted.join(sizes, "component").select("component", "blocks", "id", "m.mark", "m.times"), "wanted")
     members = docs.select(F.col(text).alias("t"), mark.alias("mark")).where(_filter(wanted.select("mark"))("mark"))
-    members = members.select("mark", _sets(words)("t").alias("shingles")).join(wanted, "mark").select("component", "id", "times", "shingles")
+    members = members.select("mark", _sets(words)("t").alias("shingles")).join(wanted, "mark").select("component", "blocks", "id", "times", "shingles")
     members = members.where("times = 1").unionByName(members.where("times > 1").dropDuplicates(["id"]))
     found = written(connected_components(_verified(members, percent)), "found")
     named = rows.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "mark", "times", F.coalesce("component", "id").alias("component"))
