@@ -290,6 +290,7 @@ def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = max(heads[-1], len(k) - NEXT_ROWS)
         before, first = int(place[-1]) - (len(k) - 1 - low), int(head_id[-1])
         held = {c: now[c][low:] for c in now}
+    release()
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -324,10 +325,14 @@ def similar(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return near
 
 
-def _sets(words: int):
+def _sets(words: int, passes):
+    """Shingle sets of the texts whose mark passes; one function, so that one Python worker serves a task."""
+
     @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).tobytes() for t in texts], dtype=object)
+    def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, marks in parts:
+            yield pd.Series([shingles(t, words).tobytes() if ok else None for t, ok in zip(texts, passes(marks), strict=True)], dtype=object)
+        release()
 
     return of
 
@@ -349,6 +354,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
             joined = root != np.arange(len(root))
             if joined.any():
                 yield pd.DataFrame({"a": ids[root[joined]], "b": ids[joined]})
+        release()
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long")
 
@@ -362,7 +368,6 @@ def _filter(values: DataFrame):
         held[r["b"] << 15 : r["b"] + 1 << 15] = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
     sent = values.sparkSession.sparkContext.broadcast(np.packbits(held))
 
-    @F.pandas_udf(T.BooleanType())
     def passes(x: pd.Series) -> pd.Series:
         at = x.to_numpy(np.int64) % FILTER_BITS
         return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
@@ -393,8 +398,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     wanted = rows.join(coarse, F.col("id") == F.col("node")).groupBy("component", "id").agg(F.min(F.struct("mark", "times")).alias("m"))
     sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = written(wanted.join(sizes, "component").select("component", "blocks", "id", "m.mark", "m.times"), "wanted")
-    members = docs.select(F.col(text).alias("t"), mark.alias("mark")).where(_filter(wanted.select("mark"))("mark"))
-    members = members.select("mark", _sets(words)("t").alias("shingles")).join(wanted, "mark").select("component", "blocks", "id", "times", "shingles")
+    sets = _sets(words, _filter(wanted.select("mark")))
+    members = docs.select(F.col(text).alias("t"), mark.alias("mark")).select("mark", sets("t", "mark").alias("shingles")).where("shingles is not null").join(wanted, "mark").select("component", "blocks", "id", "times", "shingles")
     members = members.where("times = 1").unionByName(members.where("times > 1").dropDuplicates(["id"]))
     found = written(connected_components(_verified(members, percent)), "found")
     named = rows.join(found, F.col("id") == F.col("node"), "left").select("doc_id", "mark", "times", F.coalesce("component", "id").alias("component"))
@@ -415,7 +420,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     gone = rows.join(best, "component").where("rank <> best or times > 1").select("mark", (F.col("rank") == F.col("best")).alias("once"))
     gone = written(gone, "gone")
     marked = docs.select(F.struct("*").alias("d"), mark.alias("mark"))
-    maybe = _filter(gone.select("mark"))
+    maybe = F.pandas_udf(_filter(gone.select("mark")), T.BooleanType())
     kept = marked.where(~maybe("mark")).select("d.*")
     kept = kept.unionByName(marked.where(maybe("mark")).join(gone.select("mark"), "mark", "left_anti").select("d.*"))
     once = marked.join(gone.where("once").select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("d").alias("d"))
