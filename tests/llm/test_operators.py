@@ -176,6 +176,27 @@ def test_neighbours_share_words():
     assert all(n % 2 == 0 for n in shard.neighbours(0)[:9])
 
 
+def test_shards_hold_neighbours_from_the_whole_corpus(spark, monkeypatch):
+    """Sorted by content, a pool of a tenth of all documents holds more than twice the true best neighbours that file order gives."""
+    monkeypatch.setattr(packing, "LEAF_DOCS", 50)
+    docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.tokenized(docs, path).orderBy("doc_id").collect()
+    ids = [np.frombuffer(r["ids"], "<u4") for r in rows]
+    frequencies = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=50_000)
+    frequencies[-1] = len(ids)
+    whole = packing.Shard(ids, frequencies, float(np.mean([len(x) for x in ids])))
+    monkeypatch.setattr(packing, "QUERY_TERMS", 10_000)
+
+    def share(order):
+        pool = np.empty(len(ids), int)
+        pool[order] = np.arange(len(ids)) // (len(ids) // 10)
+        return np.mean([pool[n] == pool[seed] for seed in range(0, len(ids), 20) for n in whole.neighbours(seed) if n != seed])
+
+    by_leaf, by_file = share(np.argsort([r["leaf"] for r in rows], kind="stable")), share(np.arange(len(ids)))
+    assert by_leaf > 2 * by_file
+
+
 # 4
 
 

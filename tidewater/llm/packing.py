@@ -1,10 +1,12 @@
 """Lexical retrieval packing: windows filled with documents that a BM25 index finds near their seed.
 
 Documents are tokenized once into a written table. Document frequencies of token ids are counted over all of it; the table
-of them is bounded by the vocabulary. The index is sharded: each task cuts its documents into shards of a bounded number of
-tokens, holds one shard's inverted index at a time, and fills the shard's windows. A seed retrieves its best unused
-neighbours, which fill its window in order; the one that does not fit is cut, and its rest seeds the next window. The last
-window of a shard is cut into sequences whose lengths are powers of two, so nothing is padded there.
+of them is bounded by the vocabulary. The index is sharded by content: a tree of halving hyperplanes over projected BM25 vectors,
+fitted on a bounded sample, gives every document a leaf, and documents are sorted by leaf before they are cut into shards, so that a
+shard holds documents from the whole corpus that share terms. Each task holds one shard's inverted index at a time, and fills
+the shard's windows. A seed retrieves its best unused neighbours, which fill its window in order; the one that does not fit is
+cut, and its rest seeds the next window. The last window of a shard is cut into sequences whose lengths are powers of two,
+so nothing is padded there.
 """
 
 from __future__ import annotations
@@ -18,37 +20,132 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound_batches, release
+from tidewater.llm.common import bound_batches, release, uniform
 from tidewater.sources.shared import written
 
 WINDOW = 4096
 #: Appended to every document.
 END_ID = 2
-SHARD_TOKENS = 500_000
-SHARD_DOCS = 1000
-#: Terms of a seed that are looked up, and neighbours fetched at a time.
-QUERY_TERMS = 24
+SHARD_TOKENS = 2_000_000
+SHARD_DOCS = 4000
+#: Weightiest terms of a seed that other documents of the shard have, and neighbours fetched at a time.
+QUERY_TERMS = 32
 FETCH = 16
+#: Documents that the tree is fitted on, tokens of each that count there, and sampled documents below which a node is not fitted.
+SAMPLE = 6000
+SAMPLE_TOKENS = 4096
+NODE_SAMPLE = 24
+#: Documents of a leaf, about; leaves grow in number with the corpus. Dimensions of the projection.
+LEAF_DOCS = 2000
+DIMENSIONS = 32
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Leaves:
+    """A binary tree over BM25 vectors, projected at random to few dimensions.
+
+    Nodes with enough sampled documents are halved at the median along their main axis. Further levels cut along fixed random
+    axes at the mean of the last fitted node, so the number of leaves is not bound by the sample.
+    """
+
+    def __init__(self, sample: list[np.ndarray], docs: int, seed: int = 3) -> None:
+        rng = np.random.default_rng(seed)
+        self.depth = max(0, int(np.ceil(np.log2(max(1, docs / LEAF_DOCS)))))
+        self.fitted = min(self.depth, max(0, int(np.log2(max(1, len(sample) / NODE_SAMPLE)))))
+        if not self.depth:
+            return
+        here = [np.unique(x) for x in sample]
+        df = np.bincount(np.concatenate([*here, np.zeros(1, np.int64)]).astype(np.int64))
+        self.idf = np.log1p((len(sample) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(1.0, float(np.mean([len(x) for x in sample]))) if sample else 1.0
+        self.planes = rng.normal(size=(len(df), DIMENSIONS)).astype(np.float32)
+        self.axes = rng.normal(size=(self.depth, DIMENSIONS)).astype(np.float32)
+        vectors = self.vectors(sample)
+        self.normals = np.zeros((1 << self.fitted, DIMENSIONS), np.float32)
+        self.cuts = np.zeros(1 << self.fitted, np.float32)
+        self.centres = np.zeros((1 << self.fitted, DIMENSIONS), np.float32)
+        rows = {1: np.arange(len(vectors))}
+        for node in range(1, 1 << self.fitted):  # as in a heap: 2 n and 2 n + 1 below n
+            own = vectors[rows[node]]
+            if len(own) > 1:
+                self.normals[node] = np.linalg.svd(own - own.mean(axis=0), full_matrices=False)[2][0]
+            along = own @ self.normals[node]
+            self.cuts[node] = np.median(along) if len(own) else 0
+            rows[2 * node], rows[2 * node + 1] = rows[node][along <= self.cuts[node]], rows[node][along > self.cuts[node]]
+        for i in range(1 << self.fitted):
+            own = vectors[rows[(1 << self.fitted) + i]] if len(vectors) else vectors
+            self.centres[i] = own.mean(axis=0) if len(own) else 0
+
+    def vectors(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Projected BM25 vectors of length one; tokens that the sample lacks have no part."""
+        out = np.zeros((len(ids), DIMENSIONS), np.float32)
+        for i, x in enumerate(ids):
+            counts = np.bincount(x[x < len(self.idf)], minlength=1)
+            terms = np.flatnonzero(counts)
+            n = counts[terms]
+            impact = self.idf[terms] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / self.mean))
+            out[i] = impact.astype(np.float32) @ self.planes[terms] / max(1e-9, float(np.sqrt((impact**2).sum())))
+        return out
+
+    def of(self, ids: list[np.ndarray]) -> np.ndarray:
+        if not self.depth:
+            return np.zeros(len(ids), np.int64)
+        vectors, node = self.vectors(ids), np.ones(len(ids), np.int64)
+        for _ in range(self.fitted):
+            node = 2 * node + ((vectors * self.normals[node]).sum(axis=1) > self.cuts[node])
+        leaf = node - (1 << self.fitted)
+        rest = vectors - self.centres[leaf]
+        for level in range(self.fitted, self.depth):
+            leaf = 2 * leaf + (rest @ self.axes[level] > 0)
+        return leaf
+
+
+def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
+    bpe, end = _tokenizer(path), np.array([END_ID], "<u4").tobytes()
+    for at in range(0, len(texts), 256):
+        for ids in bpe.encode(texts[at : at + 256]):
+            yield ids + end
+
+
+def fit_leaves(docs: DataFrame, path: str, text: str = "text") -> Leaves:
+    """The tree, from about SAMPLE documents drawn by a hash of their text, SAMPLE_TOKENS tokens of each."""
+    n = docs.count()
+    if n <= LEAF_DOCS:
+        return Leaves([], n)
+
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([x[: 4 * SAMPLE_TOKENS] for x in _encoded(list(texts), path)])
+
+    drawn = docs.select(F.col(text).alias("t")).where(uniform(F.md5(F.coalesce(F.col("t"), F.lit(""))), seed=3) < SAMPLE / n).distinct()
+    drawn = drawn.orderBy(F.md5(F.coalesce(F.col("t"), F.lit("")))).limit(2 * SAMPLE).select(encode("t").alias("ids"))
+    return Leaves([np.frombuffer(r["ids"], "<u4") for r in drawn.collect()], n)
+
+
 def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids`` with ids as little-endian 32-bit numbers, END_ID last; null text is empty."""
+    """``doc_id, ids, leaf`` with ids as little-endian 32-bit numbers, END_ID last; null text is empty."""
     bound_batches(docs.sparkSession)
+    leaves = docs.sparkSession.sparkContext.broadcast(fit_leaves(docs, path, text))
 
-    @F.pandas_udf("binary")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, leaf long")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
-        bpe, end = _tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for texts in parts:
-            texts, out = list(texts), []
-            for at in range(0, len(texts), 256):
-                out += [ids + end for ids in bpe.encode(texts[at : at + 256])]
-            yield pd.Series(out)
+            raw = list(_encoded(list(texts), path))
+            yield pd.DataFrame({"ids": raw, "leaf": leaves.value.of([np.frombuffer(x, "<u4") for x in raw])})
         release()
 
-    return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), encode(F.col(text)).alias("ids")), "tokens")
+    return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), encode(F.col(text)).alias("t")).select("doc_id", "t.ids", "t.leaf"), "tokens")
+
+
+def by_content(tokens: DataFrame) -> DataFrame:
+    """``tokens`` sorted by leaf within partitions, in an order that reruns repeat; leaves of far more rows than others are dealt to several."""
+    large = tokens.groupBy("leaf").agg(F.ceil(F.count("*") / (4 * LEAF_DOCS)).alias("parts")).where("parts > 1")
+    large = written(large, "leaves")
+    rows = tokens.withColumn("x", F.xxhash64("ids")).join(large, "leaf", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "x"), F.coalesce("parts", F.lit(1))))
+    return rows.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "doc_id", "x").select("doc_id", "ids")
 
 
 _TOKENIZERS: dict[str, object] = {}
@@ -101,13 +198,17 @@ class Shard:
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
         self.impacts = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * self.sizes[self.rows] / mean))
         self.first = np.searchsorted(self.terms, np.arange(int(self.terms[-1]) + 2))
-        by_row = np.lexsort((-self.impacts, self.rows))
-        self.of_row, self.row_first = self.terms[by_row], np.searchsorted(self.rows[by_row], np.arange(len(ids) + 1))
+        self.by_row = np.argsort(self.rows, kind="stable")
+        self.row_first = np.searchsorted(self.rows[self.by_row], np.arange(len(ids) + 1))
         self.unused = np.ones(len(ids), bool)
 
     def neighbours(self, seed: int) -> list[int]:
-        """The best unused documents for the seed's weightiest terms."""
-        terms = self.of_row[self.row_first[seed] : self.row_first[seed + 1]][:QUERY_TERMS]
+        """The best unused documents for the seed's weightiest terms, of those that other documents here have."""
+        own = self.by_row[self.row_first[seed] : self.row_first[seed + 1]]
+        own = own[self.first[self.terms[own] + 1] - self.first[self.terms[own]] > 1]
+        if not len(own):
+            return []
+        terms = self.terms[own[np.argsort(-self.impacts[own], kind="stable")[:QUERY_TERMS]]]
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms.tolist()]
         scores = np.bincount(np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.impacts[s] for s in spans]), len(self.sizes))
         scores[~self.unused] = 0
@@ -164,8 +265,8 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """All pieces of all documents; see PIECES.
 
     Every row is packed whole, repeated rows and rows with a null id each for themselves; null and empty texts have one
-    token, END_ID. ``sequence_id`` holds the partition's number above 32 bits, so a task run again gives the same rows, and no
-    shuffle takes place after the tokens are written. Padding can only fall in sequences shorter than ``window``, whose
+    token, END_ID. ``sequence_id`` holds the partition's number above 32 bits, and rows stand in a fixed order, so a task run
+    again gives the same rows. Tokens are shuffled once, by content. Padding can only fall in sequences shorter than ``window``, whose
     lengths are powers of two.
     """
     spark = docs.sparkSession
@@ -188,7 +289,7 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             base += used
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return tokens.mapInPandas(pack, PIECES)
+    return by_content(tokens).mapInPandas(pack, PIECES)
 
 
 def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -204,5 +305,3 @@ def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarr
             size += len(x)
     if ids:
         yield own, ids
-
-
