@@ -182,7 +182,7 @@ def test_shards_hold_neighbours_from_the_whole_corpus(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.tokenized(docs, path).orderBy("doc_id").collect()
-    ids = [np.frombuffer(r["ids"], "<u4") for r in rows]
+    ids = [np.frombuffer(r["ids"], packing.id_type(path)) for r in rows]
     frequencies = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=50_000)
     frequencies[-1] = len(ids)
     whole = packing.Shard(ids, frequencies, float(np.mean([len(x) for x in ids])))

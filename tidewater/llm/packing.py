@@ -11,6 +11,7 @@ so nothing is padded there.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +43,21 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _batches(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``most`` tokens together."""
+    low = 0
+    while low < len(sizes):
+        high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), most, side="right")))
+        yield low, high
+        low = high
+
+
+def _term_counts(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, token id, times)`` of each distinct token of each document, by row."""
+    pairs, counts = np.unique((np.repeat(np.arange(len(ids)), sizes) << 32) | np.concatenate(ids).astype(np.int64), return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, counts
+
+
 class Leaves:
     """A binary tree over BM25 vectors, projected at random to few dimensions.
 
@@ -80,12 +96,16 @@ class Leaves:
     def vectors(self, ids: list[np.ndarray]) -> np.ndarray:
         """Projected BM25 vectors of length one; tokens that the sample lacks have no part."""
         out = np.zeros((len(ids), DIMENSIONS), np.float32)
-        for i, x in enumerate(ids):
-            counts = np.bincount(x[x < len(self.idf)], minlength=1)
-            terms = np.flatnonzero(counts)
-            n = counts[terms]
-            impact = self.idf[terms] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / self.mean))
-            out[i] = impact.astype(np.float32) @ self.planes[terms] / max(1e-9, float(np.sqrt((impact**2).sum())))
+        sizes = np.array([len(x) for x in ids], np.int64)
+        for low, high in _batches(sizes):
+            rows, terms, n = _term_counts(ids[low:high], sizes[low:high])
+            seen = terms < len(self.idf)
+            rows, terms, n = rows[seen], terms[seen], n[seen].astype(np.float32)
+            impact = self.idf[terms] * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[low + rows].astype(np.float32) / np.float32(self.mean)))
+            there, first = np.unique(rows, return_index=True)
+            if len(there):
+                norms = np.sqrt(np.add.reduceat(impact**2, first))
+                out[low + there] = np.add.reduceat(impact[:, None] * self.planes[terms], first, axis=0) / np.maximum(norms, 1e-9)[:, None]
         return out
 
     def of(self, ids: list[np.ndarray]) -> np.ndarray:
@@ -101,11 +121,19 @@ class Leaves:
         return leaf
 
 
-def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
+def id_type(path: str) -> str:
+    """The narrowest little-endian type that holds all ids of the tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    most = max([END_ID, *model["model"]["vocab"].values(), *[t["id"] for t in model["added_tokens"]]])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     bpe, end = _tokenizer(path), np.array([END_ID], "<u4").tobytes()
     for at in range(0, len(texts), 256):
         for ids in bpe.encode(texts[at : at + 256]):
-            yield ids + end
+            yield np.frombuffer(ids + end, "<u4")
 
 
 def fit_leaves(docs: DataFrame, path: str, text: str = "text") -> Leaves:
@@ -116,7 +144,7 @@ def fit_leaves(docs: DataFrame, path: str, text: str = "text") -> Leaves:
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([x[: 4 * SAMPLE_TOKENS] for x in _encoded(list(texts), path)])
+        return pd.Series([x[:SAMPLE_TOKENS].tobytes() for x in _encoded(list(texts), path)])
 
     drawn = docs.select(F.col(text).alias("t")).where(uniform(F.md5(F.coalesce(F.col("t"), F.lit(""))), seed=3) < SAMPLE / n).distinct()
     drawn = drawn.orderBy(F.md5(F.coalesce(F.col("t"), F.lit("")))).limit(2 * SAMPLE).select(encode("t").alias("ids"))
@@ -124,16 +152,17 @@ def fit_leaves(docs: DataFrame, path: str, text: str = "text") -> Leaves:
 
 
 def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, leaf`` with ids as little-endian 32-bit numbers, END_ID last; null text is empty."""
+    """``doc_id, ids, leaf`` with ids of the type ``id_type`` gives, END_ID last; null text is empty."""
     bound_batches(docs.sparkSession)
+    kind = id_type(path)
     leaves = docs.sparkSession.sparkContext.broadcast(fit_leaves(docs, path, text))
 
     @F.pandas_udf("ids binary, leaf long")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         for texts in parts:
-            raw = list(_encoded(list(texts), path))
-            yield pd.DataFrame({"ids": raw, "leaf": leaves.value.of([np.frombuffer(x, "<u4") for x in raw])})
+            ids = list(_encoded(list(texts), path))
+            yield pd.DataFrame({"ids": [x.astype(kind).tobytes() for x in ids], "leaf": leaves.value.of(ids)})
         release()
 
     return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), encode(F.col(text)).alias("t")).select("doc_id", "t.ids", "t.leaf"), "tokens")
@@ -159,7 +188,7 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
     """Documents that have each token id, counted over all documents; the last entry is their number."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,12 +196,14 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         release()
         totals, docs = np.zeros(1, np.int64), 0
         for part in parts:
-            for ids in part["ids"]:
-                here = np.unique(np.frombuffer(ids, "<u4"))
-                if here[-1] >= len(totals):
-                    totals = np.concatenate([totals, np.zeros(int(here[-1]) + 1 - len(totals), np.int64)])
-                totals[here] += 1
-                docs += 1
+            ids = [np.frombuffer(x, kind) for x in part["ids"]]
+            docs += len(ids)
+            sizes = np.array([len(x) for x in ids], np.int64)
+            for low, high in _batches(sizes):
+                here = np.bincount(_term_counts(ids[low:high], sizes[low:high])[1])
+                if len(here) > len(totals):
+                    here, totals = totals, here
+                totals[: len(here)] += here
         there = np.flatnonzero(totals)
         yield pd.DataFrame({"id": np.append(there, -1), "n": np.append(totals[there], docs)})
 
@@ -271,19 +302,20 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     tokens = tokenized(docs, path, doc_id, text)
-    frequencies = document_frequencies(tokens)
+    kind = id_type(path)
+    frequencies = document_frequencies(tokens, kind)
     sums = tokens.agg(F.sum(F.length("ids")).alias("n")).first()["n"]
-    mean = max(1.0, (sums or 0) / 4 / max(1, int(frequencies[-1])))
+    mean = max(1.0, (sums or 0) / np.dtype(kind).itemsize / max(1, int(frequencies[-1])))
     sent = spark.sparkContext.broadcast(frequencies)
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _TOKENIZERS.clear()  # this worker has tokenized before
         release()
         base = TaskContext.get().partitionId() << 32
-        for own, ids in _shards(parts):
+        for own, ids in _shards(parts, kind):
             rows, used = [], 0
             for d, start, length, sequence, offset in Shard(ids, sent.value, mean).pack(window):
-                crc = zlib.crc32(ids[d][start : start + length].tobytes())
+                crc = zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes())
                 rows.append((own[d], start, length, crc, len(ids[d]), base + sequence, offset))
                 used = max(used, sequence + 1)
             base += used
@@ -292,11 +324,11 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return by_content(tokens).mapInPandas(pack, PIECES)
 
 
-def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _shards(parts: Iterator[pd.DataFrame], kind: str) -> Iterator[tuple[list, list[np.ndarray]]]:
     own, ids, size = [], [], 0
     for part in parts:
         for name, raw in zip(part["doc_id"].astype("Int64"), part["ids"], strict=True):
-            x = np.frombuffer(raw, "<u4")
+            x = np.frombuffer(raw, kind)
             if ids and (size + len(x) > SHARD_TOKENS or len(ids) >= SHARD_DOCS):
                 yield own, ids
                 own, ids, size = [], [], 0
