@@ -259,8 +259,26 @@ def _sketches(draws: Draws, words: int):
     return of
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Each id of the pairs with the least id that it hangs together with: one edge an id, however many pairs there are."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    hung = label != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[label[hung]], "b": nodes[hung]})
+
+
 def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a bucket's rows that are near in order and in fingerprint; of buckets of more than NEXT_ROWS rows, a star."""
+    """Edges that join a bucket's rows near in order and in fingerprint; a bucket of more than NEXT_ROWS rows is joined as a whole."""
     held = {c: np.zeros(0, np.int64) for c in ("k", "id", "fp", "more")}
     before, first = 0, 0  # rows of the last bucket that came before the held ones, and its first id
     for part in parts:
@@ -286,7 +304,7 @@ def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         star = np.concatenate([np.flatnonzero(fresh & (place >= NEXT_ROWS)), *[np.arange(max(heads[i], i - NEXT_ROWS), i) for i in full]]).astype(np.int64)
         a.append(head_id[star])
         b.append(ids[star])
-        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        yield _forest(np.concatenate(a), np.concatenate(b))
         low = max(heads[-1], len(k) - NEXT_ROWS)
         before, first = int(place[-1]) - (len(k) - 1 - low), int(head_id[-1])
         held = {c: now[c][low:] for c in now}
