@@ -103,7 +103,7 @@ def fx_asof(rows: DataFrame, calendar: DataFrame, day: str, rate: str) -> DataFr
 
 
 def effective_payments(netted: DataFrame, loans: DataFrame, calendar: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
-    """Effective payments of known loans, in USD at the payment day, with sequence and running total per loan."""
+    """Effective payments of the given (valid) loans, in USD at the payment day, with sequence and running total per loan."""
     kept = netted.where("payment_class = 'EFFECTIVE'").join(loans.select("loan_id", "currency"), "loan_id")
     dated = fx_asof(kept.withColumn("paid_date", business_date(F.col("paid_at_utc"), p.business_tz)), calendar, "paid_date", "fx_rate")
     order = [F.col("paid_at_utc"), F.col("payment_id")]
@@ -113,7 +113,7 @@ def effective_payments(netted: DataFrame, loans: DataFrame, calendar: DataFrame,
 
 
 def fifo_allocation(payments: DataFrame, installments: DataFrame) -> DataFrame:
-    """Each payment's money laid over the plan in order: the money interval meets the debt intervals of its loan.
+    """Each payment's money laid over the plan by due date, then number: the money interval meets the debt intervals of its loan.
 
     Money and debt are running sums in exact decimals; what is paid beyond the plan stays unallocated.
     """
@@ -121,8 +121,8 @@ def fifo_allocation(payments: DataFrame, installments: DataFrame) -> DataFrame:
         "loan_id", "payment_id", "paid_at_utc", "paid_date", F.col("amount").cast(_D).alias("amount")
     )
     money = running_sum(money, ["loan_id"], [F.col("paid_at_utc"), F.col("payment_id")], "amount", "a_end").withColumn("a_start", (F.col("a_end") - F.col("amount")).cast(_D))
-    debt = installments.where("amount_due > 0").select("loan_id", "installment_number", F.col("amount_due").cast(_D).alias("amount_due"))
-    debt = running_sum(debt, ["loan_id"], [F.col("installment_number")], "amount_due", "b_end").withColumn("b_start", (F.col("b_end") - F.col("amount_due")).cast(_D))
+    debt = installments.where("amount_due > 0").select("loan_id", "installment_number", "due_date", F.col("amount_due").cast(_D).alias("amount_due"))
+    debt = running_sum(debt, ["loan_id"], [F.col("due_date"), F.col("installment_number")], "amount_due", "b_end").withColumn("b_start", (F.col("b_end") - F.col("amount_due")).cast(_D))
     met = overlap(money, debt, "loan_id")
     part = (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).cast("decimal(18,2)")
     return met.select("loan_id", "payment_id", "installment_number", "paid_at_utc", "paid_date", part.alias("allocated"), (F.col("a_end") >= F.col("b_end")).alias("completes"))

@@ -13,12 +13,17 @@ from tidewater.operators import relational as R
 from tidewater.plans.params import PARAMS
 from tidewater.sources.fixtures import view
 from tidewater.sources.oracle import NAMED, statement
+from tidewater.sources.shared import written
 
 # Spark side -------------------------------------------------------------------------------------------------------
 
 
+#: Models that several others read: each is computed once and written as a table, so its sources are read once.
+WRITTEN = ("fx_loans", "fx_installments", "applications", "loans", "calendar", "payments", "allocation", "status", "facts")
+
+
 class Models:
-    """The models of one input folder, as lazy plans; each is built once."""
+    """The models of one input folder, each built once: tables where others share them, else lazy plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
@@ -27,7 +32,8 @@ class Models:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = BUILD[name](self) if name in BUILD else view(self.spark, self.sf_dir, name)
+            made = BUILD[name](self) if name in BUILD else view(self.spark, self.sf_dir, name, lambda other: getattr(self, other))
+            self._made[name] = written(made, name) if name in WRITTEN else made
         return self._made[name]
 
 
@@ -39,20 +45,22 @@ def _cities(m: Models) -> DataFrame:
 BUILD: dict[str, Callable[[Models], DataFrame]] = {
     "applications": lambda m: L.cdc_latest_state(m.fx_cdc),
     "validated": lambda m: L.loan_validity(m.fx_loans, m.applications),
+    "loans": lambda m: m.validated.where("is_valid_loan").drop("invalid_reason", "is_valid_loan"),
+    "installments": lambda m: m.fx_installments.join(m.loans.select("loan_id"), "loan_id", "left_semi"),
     "staged": lambda m: L.staged_payments(m.fx_payments),
     "netted": lambda m: L.reversal_netting(m.staged),
     "calendar": lambda m: L.fx_daily_calendar(m.fx_rates),
-    "payments": lambda m: L.effective_payments(m.netted, m.fx_loans, m.calendar),
-    "allocation": lambda m: L.fifo_allocation(m.payments, m.fx_installments),
-    "status": lambda m: L.installment_status(m.allocation, m.fx_installments),
+    "payments": lambda m: L.effective_payments(m.netted, m.loans, m.calendar),
+    "allocation": lambda m: L.fifo_allocation(m.payments, m.installments),
+    "status": lambda m: L.installment_status(m.allocation, m.installments),
     "first_payment": lambda m: L.fpd30(m.status),
-    "snapshot": lambda m: L.delinquency_snapshot(m.status, m.payments, m.fx_loans, m.calendar),
-    "series": lambda m: L.month_end_series(m.status, m.fx_loans, m.calendar),
+    "snapshot": lambda m: L.delinquency_snapshot(m.status, m.payments, m.loans, m.calendar),
+    "series": lambda m: L.month_end_series(m.status, m.loans, m.calendar),
     "merchants": lambda m: L.scd2_from_history(m.fx_merchants),
     "cities": _cities,
     "people": lambda m: L.identity_collapse(m.fx_customers, m.cities),
     "bridge": lambda m: L.customer_bridge(m.fx_customers, m.people),
-    "facts": lambda m: L.loan_fact(m.fx_loans, m.fx_installments, m.calendar, m.merchants, m.bridge),
+    "facts": lambda m: L.loan_fact(m.loans, m.installments, m.calendar, m.merchants, m.bridge),
     "monthly": lambda m: L.merchant_monthly(m.facts, m.applications, m.first_payment, m.series, m.merchants),
 }
 
@@ -72,6 +80,8 @@ from d_order group by application_id""",
     "d_validated": """select l.*, case when a.application_id is null then 'NO_APPLICATION' when a.is_deleted then 'APPLICATION_DELETED' when not a.is_approved then 'APPLICATION_NOT_APPROVED' end as invalid_reason,
   a.application_id is not null and not a.is_deleted and a.is_approved as is_valid_loan
 from fx_loans l left join d_applications a using (application_id)""",
+    "d_loans": "select * exclude (invalid_reason, is_valid_loan) from d_validated where is_valid_loan",
+    "d_installments": "select * from fx_installments where loan_id in (select loan_id from d_loans)",
     "d_staged": """select payment_id, cast(regexp_extract(loan_ref, '([0-9]+)$', 1) as bigint) as loan_id, paid_at_utc,
   cast(case when source_system = 'legacy_v1' then amount_raw * 0.01 else amount_raw end as decimal(18,2)) as amount, source_system, status, reversed_payment_id from fx_payments""",
     "d_voids": """select reversed_payment_id as payment_id, count(*) as n, min(paid_at_utc) as first_reversed_at_utc, sum(amount) as reversed_total from d_staged
@@ -85,20 +95,20 @@ from d_staged s left join d_voids v using (payment_id)""",
   r.rate_date is not null as is_published, date_diff('day', last_value(r.rate_date ignore nulls) over w, d.rate_date) as days_stale
 from (select distinct currency from fx_rates) c cross join d_days d left join fx_rates r using (currency, rate_date)
 window w as (partition by currency order by d.rate_date rows between unbounded preceding and current row)""",
-    "d_paid": """select n.*, l.currency, cast((n.paid_at_utc - interval 5 hour) as date) as paid_date from d_netted n join fx_loans l using (loan_id) where payment_class = 'EFFECTIVE'""",
+    "d_paid": """select n.*, l.currency, cast((n.paid_at_utc - interval 5 hour) as date) as paid_date from d_netted n join d_loans l using (loan_id) where payment_class = 'EFFECTIVE'""",
     "d_payments": """select p.payment_id, p.loan_id, p.currency, p.paid_at_utc, p.paid_date, p.amount, floor(p.amount::double / c.units_per_usd::double * 10000 + 0.5000001::double) / 10000 as amount_usd,
   row_number() over w as payment_seq, sum(p.amount) over w as cumulative_paid
 from d_paid p left join d_calendar c on c.currency = p.currency and c.rate_date = p.paid_date
 window w as (partition by p.loan_id order by p.paid_at_utc, p.payment_id rows between unbounded preceding and current row)""",
     "d_money": """select *, sum(amount) over (partition by loan_id order by paid_at_utc, payment_id rows between unbounded preceding and current row) as m_end from d_payments where amount > 0""",
-    "d_debt": """select *, sum(amount_due) over (partition by loan_id order by installment_number rows between unbounded preceding and current row) as b_end from fx_installments where amount_due > 0""",
+    "d_debt": """select *, sum(amount_due) over (partition by loan_id order by due_date, installment_number rows between unbounded preceding and current row) as b_end from d_installments where amount_due > 0""",
     "d_allocation": """select m.loan_id, m.payment_id, b.installment_number, m.paid_at_utc, m.paid_date,
   cast(least(m_end, b_end) - greatest(m_end - amount, b_end - amount_due) as decimal(18,2)) as allocated, m_end >= b_end as completes
 from d_money m join d_debt b on m.loan_id = b.loan_id and m_end - amount < b_end and m_end > b_end - amount_due""",
     "d_sums": """select loan_id, installment_number, sum(allocated) filter (where paid_date <= date '1998-12-31') as paid, sum(allocated) as paid_any,
   min(paid_date) filter (where completes) as settled_date_any from d_allocation group by 1, 2""",
     "d_cut": """select i.loan_id, i.installment_number, i.due_date, i.amount_due, cast(coalesce(s.paid, 0) as decimal(18,2)) as paid, cast(coalesce(s.paid_any, 0) as decimal(18,2)) as paid_any, s.settled_date_any,
-  case when s.settled_date_any <= date '1998-12-31' then s.settled_date_any end as settled_date from fx_installments i left join d_sums s using (loan_id, installment_number)""",
+  case when s.settled_date_any <= date '1998-12-31' then s.settled_date_any end as settled_date from d_installments i left join d_sums s using (loan_id, installment_number)""",
     "d_status": """select *, amount_due - paid as remaining, settled_date is not null as is_settled, settled_date is null and paid > 0 as is_partial, due_date <= date '1998-12-31' as is_due,
   settled_date is null and due_date < date '1998-12-31' as is_overdue, greatest(date_diff('day', due_date, coalesce(settled_date, date '1998-12-31')), 0) as days_past_due from d_cut""",
     "d_first_payment": """select loan_id, due_date, days_past_due, due_date <= date '1998-12-31' - 30 as is_fpd_eligible, due_date <= date '1998-12-31' - 30 and days_past_due > 30 as is_fpd30
@@ -114,9 +124,9 @@ from d_status where installment_number = 1""",
   case when n_settled = n_installments then 'SETTLED' when n_overdue > 0 then 'DELINQUENT' else 'CURRENT' end as loan_status,
   floor(outstanding_gross::double / s.units_per_usd::double * 10000 + 0.5000001::double) / 10000 as outstanding_usd, floor(outstanding_gross::double / c.units_per_usd::double * 10000 + 0.5000001::double) / 10000 as outstanding_usd_disbursed,
   date '1998-12-31' - last_paid as days_since_payment
-from fx_loans l join d_perloan p using (loan_id) left join d_lastpaid using (loan_id)
+from d_loans l join d_perloan p using (loan_id) left join d_lastpaid using (loan_id)
   left join d_calendar s on s.currency = l.currency and s.rate_date = date '1998-12-31' left join d_calendar c on c.currency = l.currency and c.rate_date = l.disbursed_date""",
-    "d_months": """select loan_id, currency, merchant_id, last_day(cast(unnest(generate_series(date_trunc('month', disbursed_date)::timestamp, timestamp '1998-12-01', interval 1 month)) as date)) as month_end from fx_loans""",
+    "d_months": """select loan_id, currency, merchant_id, last_day(cast(unnest(generate_series(date_trunc('month', disbursed_date)::timestamp, timestamp '1998-12-01', interval 1 month)) as date)) as month_end from d_loans""",
     "d_atend": """select m.loan_id, m.currency, m.merchant_id, m.month_end, cast(coalesce(sum(amount_due) filter (where settled_date_any is null or settled_date_any > month_end), 0) as decimal(18,2)) as outstanding,
   min(due_date) filter (where (settled_date_any is null or settled_date_any > month_end) and due_date < month_end) as oldest
 from d_months m join d_status s using (loan_id) group by 1, 2, 3, 4""",
@@ -141,10 +151,10 @@ from fx_customers""",
     "d_people": """select md5(l.document_number) as person_sk, l.document_number, l.customer_id as latest_customer_id, l.country, coalesce(c.city_name, l.city) as city, l.birth_year, l.income, n_ids, customer_ids, nc > 1 or nb > 1 as has_conflict
 from d_latest l join d_ids using (document_number) left join d_cities c using (city_key)""",
     "d_bridge": "select c.customer_id, p.person_sk, p.document_number, c.customer_id = p.latest_customer_id as is_person_latest_id from fx_customers c join d_people p using (document_number)",
-    "d_plan": "select loan_id, count(*) as n_installments, sum(amount_due) as plan_total, min(due_date) as first_due, max(due_date) as last_due from fx_installments group by 1",
+    "d_plan": "select loan_id, count(*) as n_installments, sum(amount_due) as plan_total, min(due_date) as first_due, max(due_date) as last_due from d_installments group by 1",
     "d_facts": """select l.loan_id, l.application_id, l.customer_id, b.person_sk, l.merchant_id, v.merchant_sk, v.category, l.currency, l.principal, floor(l.principal::double / c.units_per_usd::double * 10000 + 0.5000001::double) / 10000 as principal_usd,
   l.disbursed_date, cast(date_trunc('month', l.disbursed_date) as date) as cohort_month, n_installments, plan_total, first_due, last_due
-from fx_loans l left join d_plan using (loan_id) left join d_calendar c on c.currency = l.currency and c.rate_date = l.disbursed_date
+from d_loans l left join d_plan using (loan_id) left join d_calendar c on c.currency = l.currency and c.rate_date = l.disbursed_date
   left join d_merchants v on v.merchant_id = l.merchant_id and l.disbursed_date between v.valid_from and v.valid_to_effective left join d_bridge b on b.customer_id = l.customer_id""",
     "d_grid": """select merchant_id, month from (select distinct merchant_id from d_merchants) x cross join (
   select cast(unnest(generate_series(a, b, interval 1 month)) as date) as month from (
@@ -189,15 +199,15 @@ key("cdc_out_of_order", "select application_id, status from d_applications where
 key("placeholder_resolution", "select application_id, customer_id, has_unresolved_customer from d_applications")(lambda m: m.applications.select("application_id", "customer_id", "has_unresolved_customer"))
 
 
-@key("scd2_point_in_time_join", "select loan_id, l.merchant_id, disbursed_date, version, category from fx_loans l left join d_merchants v on v.merchant_id = l.merchant_id and disbursed_date between valid_from and valid_to_effective")
+@key("scd2_point_in_time_join", "select loan_id, l.merchant_id, disbursed_date, version, category from d_loans l left join d_merchants v on v.merchant_id = l.merchant_id and disbursed_date between valid_from and valid_to_effective")
 def _(m: Models) -> DataFrame:
     versions = m.merchants.select("merchant_id", "version", "category", "valid_from", "valid_to_effective")
-    return R.point_in_time(m.fx_loans, versions, "merchant_id", F.col("disbursed_date")).select("loan_id", "merchant_id", "disbursed_date", "version", "category")
+    return R.point_in_time(m.loans, versions, "merchant_id", F.col("disbursed_date")).select("loan_id", "merchant_id", "disbursed_date", "version", "category")
 
 
-@key("fx_asof_join", "select loan_id, l.currency, disbursed_date, units_per_usd as rate from fx_loans l left join d_calendar c on c.currency = l.currency and c.rate_date = disbursed_date")
+@key("fx_asof_join", "select loan_id, l.currency, disbursed_date, units_per_usd as rate from d_loans l left join d_calendar c on c.currency = l.currency and c.rate_date = disbursed_date")
 def _(m: Models) -> DataFrame:
-    return L.fx_asof(m.fx_loans.select("loan_id", "currency", "disbursed_date"), m.calendar, "disbursed_date", "rate").select("loan_id", "currency", "disbursed_date", "rate")
+    return L.fx_asof(m.loans.select("loan_id", "currency", "disbursed_date"), m.calendar, "disbursed_date", "rate").select("loan_id", "currency", "disbursed_date", "rate")
 
 
 @key("interval_overlap_join", "select m.loan_id, payment_id, installment_number from d_money m join d_debt b on m.loan_id = b.loan_id and m_end - amount < b_end and m_end > b_end - amount_due")
@@ -208,7 +218,7 @@ def _(m: Models) -> DataFrame:
 @key("month_spine_join", "select loan_id, month_end from d_months")
 def _(m: Models) -> DataFrame:
     first, last = F.trunc("disbursed_date", "month"), F.trunc(F.lit(PARAMS.snapshot_date), "month")
-    return m.fx_loans.select("loan_id", R.series(first, last, "month").alias("month")).select("loan_id", F.last_day("month").alias("month_end"))
+    return m.loans.select("loan_id", R.series(first, last, "month").alias("month")).select("loan_id", F.last_day("month").alias("month_end"))
 
 
 @key("dense_grid", "select currency, rate_date from (select distinct currency from fx_rates) c cross join d_days d")
@@ -255,9 +265,9 @@ def _(m: Models) -> DataFrame:
     return m.fx_customers.groupBy("document_number").agg(F.array_join(F.sort_array(F.collect_list("customer_id")), ",").alias("ids"))
 
 
-@key("rollup_totals", "select case when grouping(currency) = 1 then 'TOTAL' else currency end as currency, count(*) as loans, sum(principal) as principal from fx_loans group by rollup(currency)")
+@key("rollup_totals", "select case when grouping(currency) = 1 then 'TOTAL' else currency end as currency, count(*) as loans, sum(principal) as principal from d_loans group by rollup(currency)")
 def _(m: Models) -> DataFrame:
-    return R.rollup_totals(m.fx_loans, "currency", [F.count("*").alias("loans"), F.sum("principal").alias("principal")])
+    return R.rollup_totals(m.loans, "currency", [F.count("*").alias("loans"), F.sum("principal").alias("principal")])
 
 
 @key("group_median", "select source_system, median(amount_raw::double) as med, median(amount_raw::double) / (select median(amount_raw::double) from fx_payments where source_system = 'core_v2' and status = 'SETTLED') as ratio from fx_payments where status = 'SETTLED' group by 1")
@@ -288,25 +298,25 @@ def _(m: Models) -> DataFrame:
     return m.payments.select("payment_id", "payment_seq", "cumulative_paid")
 
 
-_BY_MERCHANT = "(select merchant_id, sum(principal) as gmv from fx_loans group by 1)"
+_BY_MERCHANT = "(select merchant_id, sum(principal) as gmv from d_loans group by 1)"
 
 
 @key("cumulative_share", f"""select merchant_id, gmv, row_number() over (order by gmv desc, merchant_id) as rank, sum(gmv) over (order by gmv desc) as running,
   round((sum(gmv) over (order by gmv desc))::double / (sum(gmv) over ())::double, 6) as share from {_BY_MERCHANT} x""")
 def _(m: Models) -> DataFrame:
-    return R.cumulative_share(m.fx_loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), ["merchant_id"], "gmv", "merchant_id")
+    return R.cumulative_share(m.loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), ["merchant_id"], "gmv", "merchant_id")
 
 
 @key("top_k_by_measure", f"select merchant_id, gmv from {_BY_MERCHANT} x order by gmv desc, merchant_id limit 5")
 def _(m: Models) -> DataFrame:
-    return R.top_k(m.fx_loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), "gmv", 5, "merchant_id")
+    return R.top_k(m.loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), "gmv", 5, "merchant_id")
 
 
 @key("union_all_segments", """select segment, count(*) as loans, sum(principal) as principal from (
-  select 'portfolio' as segment, principal from fx_loans union all select 'cop', principal from fx_loans where currency = 'COP' union all select 'large', principal from fx_loans where principal >= 200000) x group by 1""")
+  select 'portfolio' as segment, principal from d_loans union all select 'cop', principal from d_loans where currency = 'COP' union all select 'large', principal from d_loans where principal >= 200000) x group by 1""")
 def _(m: Models) -> DataFrame:
     named = {"portfolio": F.lit(True), "cop": F.col("currency") == "COP", "large": F.col("principal") >= 200000}
-    return R.segments(m.fx_loans, named, [F.count("*").alias("loans"), F.sum("principal").alias("principal")])
+    return R.segments(m.loans, named, [F.count("*").alias("loans"), F.sum("principal").alias("principal")])
 
 
 # Answers ----------------------------------------------------------------------------------------------------------
@@ -327,12 +337,12 @@ def _(m: Models) -> DataFrame:
 
 @key("answer_cohort", """select 'fact' as source, count(*) as loans, round(sum(principal_usd), 2) as gmv_usd from d_facts where cohort_month = date '1997-03-01'
 union all select 'gold', cast(sum(loans) as bigint), round(sum(gmv_usd), 2) from d_monthly where month = date '1997-03-01'
-union all select 'utc_month', count(*), round(sum(principal_usd), 2) from d_facts f join fx_loans l using (loan_id) where date_trunc('month', l.disbursed_at_utc) = timestamp '1997-03-01'""")
+union all select 'utc_month', count(*), round(sum(principal_usd), 2) from d_facts f join d_loans l using (loan_id) where date_trunc('month', l.disbursed_at_utc) = timestamp '1997-03-01'""")
 def _(m: Models) -> DataFrame:
     month = F.lit("1997-03-01").cast("date")
     fact = m.facts.where(F.col("cohort_month") == month).agg(F.count("*").alias("loans"), F.round(F.sum("principal_usd"), 2).alias("gmv_usd"))
     gold = m.monthly.where(F.col("month") == month).agg(F.sum("loans").alias("loans"), F.round(F.sum("gmv_usd"), 2).alias("gmv_usd"))
-    at_utc = m.facts.join(m.fx_loans.select("loan_id", "disbursed_at_utc"), "loan_id").where(F.trunc(F.col("disbursed_at_utc").cast("date"), "month") == month)
+    at_utc = m.facts.join(m.loans.select("loan_id", "disbursed_at_utc"), "loan_id").where(F.trunc(F.col("disbursed_at_utc").cast("date"), "month") == month)
     at_utc = at_utc.agg(F.count("*").alias("loans"), F.round(F.sum("principal_usd"), 2).alias("gmv_usd"))
     tag = lambda df, name: df.select(F.lit(name).alias("source"), "loans", "gmv_usd")
     return tag(fact, "fact").unionByName(tag(gold, "gold")).unionByName(tag(at_utc, "utc_month"))
@@ -379,7 +389,7 @@ NAMED["d_ranked"] = f"select merchant_id, gmv, row_number() over (order by gmv d
 @key("answer_concentration", """select tier, count(*) as merchants, sum(gmv) as gmv from (select case when rank = 1 then 'top' when rank <= 20 then '2-20' else 'rest' end as tier, gmv from d_ranked union all select 'without_top', gmv from d_ranked where rank > 1) x group by 1
 union all select 'reach_50', cast(min(rank) filter (where share >= 0.5) as bigint), null from d_ranked union all select 'reach_80', cast(min(rank) filter (where share >= 0.8) as bigint), null from d_ranked""")
 def _(m: Models) -> DataFrame:
-    ranked = R.cumulative_share(m.fx_loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), ["merchant_id"], "gmv", "merchant_id")
+    ranked = R.cumulative_share(m.loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), ["merchant_id"], "gmv", "merchant_id")
     r = F.col("rank")
     tiers = R.segments(ranked, {"top": r == 1, "2-20": r.between(2, 20), "rest": r > 20, "without_top": r > 1}, [F.count("*").alias("merchants"), F.sum("gmv").alias("gmv")]).withColumnRenamed("segment", "tier")
     reach = ranked.agg(F.min(F.when(F.col("share") >= 0.5, r)).cast("bigint").alias("a"), F.min(F.when(F.col("share") >= 0.8, r)).cast("bigint").alias("b"))

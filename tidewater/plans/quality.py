@@ -34,7 +34,7 @@ key("dq_accepted_values", "select payment_id, source_system from fx_payments whe
 key("dq_relationships", "select loan_id, application_id from fx_loans where application_id not in (select application_id from d_applications)")(lambda m: Q.orphans(m.fx_loans, "application_id", m.applications, "application_id").select("loan_id", "application_id"))
 key("dq_accepted_range", "select loan_id, principal from fx_loans where principal < 2000 or principal > 400000")(lambda m: Q.out_of_range(m.fx_loans, "principal", 2000, 400000).select("loan_id", "principal"))
 key("dq_expression", "select loan_id, dpd from d_snapshot where not (dpd <= 30 or n_overdue > 1)")(lambda m: Q.not_true(m.snapshot, (F.col("dpd") <= 30) | (F.col("n_overdue") > 1)).select("loan_id", "dpd"))
-key("dq_alloc_le_installment", "select loan_id, installment_number from (select loan_id, installment_number, sum(allocated) as s from d_allocation group by 1, 2) a join fx_installments using (loan_id, installment_number) where s > amount_due + 0.005")(lambda m: Q.allocation_excess(m.allocation, m.fx_installments, ["loan_id", "installment_number"], "amount_due").select("loan_id", "installment_number"))
+key("dq_alloc_le_installment", "select loan_id, installment_number from (select loan_id, installment_number, sum(allocated) as s from d_allocation group by 1, 2) a join d_installments using (loan_id, installment_number) where s > amount_due + 0.005")(lambda m: Q.allocation_excess(m.allocation, m.installments, ["loan_id", "installment_number"], "amount_due").select("loan_id", "installment_number"))
 key("dq_alloc_le_payment", "select payment_id from (select payment_id, sum(allocated) as s from d_allocation group by 1) a join d_payments using (payment_id) where s > amount + 0.005")(lambda m: Q.allocation_excess(m.allocation, m.payments, ["payment_id"], "amount").select("payment_id"))
 key("dq_bridge_coverage", "select customer_id, 'b' as missing_in from fx_loans where customer_id not in (select customer_id from d_bridge) group by 1 union all select customer_id, 'a' from d_bridge where customer_id not in (select customer_id from fx_loans)")(lambda m: Q.not_covered(m.fx_loans, m.bridge, "customer_id"))
 key("dq_deleted_no_loans", "select loan_id from d_validated where invalid_reason = 'APPLICATION_DELETED'")(lambda m: m.validated.where("invalid_reason = 'APPLICATION_DELETED'").select("loan_id"))
@@ -53,8 +53,8 @@ key("dq_fifo_no_skip", "select loan_id, installment_number from (select *, max(p
 key("dq_calendar_complete", "select currency, count(*) as days, date_diff('day', min(rate_date), max(rate_date)) + 1 as span from d_calendar where is_published group by 1 having count(*) <> date_diff('day', min(rate_date), max(rate_date)) + 1")(
     lambda m: m.calendar.where("is_published").groupBy("currency").agg(F.count("*").alias("days"), (F.datediff(F.max("rate_date"), F.min("rate_date")) + 1).alias("span")).where("days <> span")
 )
-key("dq_paid_reconcile", """select a.loan_id, paid, planned, laid from (select loan_id, sum(amount) as paid from d_payments where amount > 0 group by 1) a join (select loan_id, sum(amount_due) as planned from fx_installments group by 1) b using (loan_id)
-left join (select loan_id, sum(allocated) as laid from d_allocation group by 1) c using (loan_id) where abs(coalesce(laid, 0) - least(paid, planned)) > 0.01""")(lambda m: Q.paid_mismatch(m.payments, m.fx_installments, m.allocation))
+key("dq_paid_reconcile", """select a.loan_id, paid, planned, laid from (select loan_id, sum(amount) as paid from d_payments where amount > 0 group by 1) a join (select loan_id, sum(amount_due) as planned from d_installments group by 1) b using (loan_id)
+left join (select loan_id, sum(allocated) as laid from d_allocation group by 1) c using (loan_id) where abs(coalesce(laid, 0) - least(paid, planned)) > 0.01""")(lambda m: Q.paid_mismatch(m.payments, m.installments, m.allocation))
 
 
 @key("dq_loan_matches_application", "select l.loan_id, l.merchant_id as loan_merchant, a.merchant_id as application_merchant from fx_loans l join d_applications a using (application_id) where l.merchant_id <> a.merchant_id or l.customer_id <> a.customer_id")
@@ -98,7 +98,7 @@ key("dq_source_cutover", "select payment_id, source_system from fx_payments wher
 key("dq_person_counts", "select (select count(*) from fx_customers) as ids, (select sum(n_ids) from d_people) as per_person, (select count(*) from d_bridge) as bridge_rows")(
     lambda m: m.fx_customers.agg(F.count("*").alias("ids")).crossJoin(m.people.agg(F.sum("n_ids").alias("per_person"))).crossJoin(m.bridge.agg(F.count("*").alias("bridge_rows")))
 )
-key("dq_snapshot_coverage", "select loan_id, 'b' as missing_in from fx_loans where loan_id not in (select loan_id from d_snapshot) union all select loan_id, 'a' from d_snapshot where loan_id not in (select loan_id from fx_loans)")(lambda m: Q.not_covered(m.fx_loans, m.snapshot, "loan_id"))
+key("dq_snapshot_coverage", "select loan_id, 'b' as missing_in from d_loans where loan_id not in (select loan_id from d_snapshot) union all select loan_id, 'a' from d_snapshot where loan_id not in (select loan_id from d_loans)")(lambda m: Q.not_covered(m.loans, m.snapshot, "loan_id"))
 
 
 @key("dq_snapshot_recompute", "select s.loan_id from d_snapshot s join (select loan_id, sum(remaining) filter (where not is_settled) as r, max(days_past_due) filter (where is_overdue) as d from d_status group by 1) t using (loan_id) where abs(coalesce(r, 0) - outstanding_net) > 0.01 or coalesce(d, 0) <> dpd")
@@ -131,7 +131,7 @@ key("dq_matrix", "select model, " + ", ".join(f"count(*) filter (where dimension
 
 @key("crosscheck_independent", "select loan_id, installment_number, cast(round(paid_any * 100) as bigint) as paid_cents from d_status where amount_due > 0")
 def _(m: Models) -> DataFrame:
-    return Q.greedy_fifo(m.payments, m.fx_installments)
+    return Q.greedy_fifo(m.payments, m.installments)
 
 
 # Profiles: long tables (metric, value), one aggregation of each input ----------------------------------------------

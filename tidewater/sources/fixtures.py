@@ -6,6 +6,7 @@ Derivations are described in FIXTURES.md.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,7 @@ from fx_installments where l_tax <= 0.06 and l_returnflag = 'R' and due_date >=
 """,
     "fx_rates": """
 select rate_date, currency, cast(base + (extract(year from rate_date)*372 + extract(month from rate_date)*31 + extract(day from rate_date)) % 97 as decimal(18,6)) as units_per_usd
-from (select distinct cast(o_orderdate as date) as rate_date from orders) d cross join (select 'COP' as currency, 4000 as base union all select 'BRL', 5) c
+from (select distinct disbursed_date as rate_date from fx_loans) d cross join (select 'COP' as currency, 4000 as base union all select 'BRL', 5) c
 where extract(day from rate_date) % 7 not in (0, 6)
 """,
     "fx_merchants": """
@@ -62,6 +63,14 @@ select event_id as event_pk, user_id*20 + event_id % 20 as application_id, case
   case when event_id % 41 = 0 then 'D' when event_type = 'signup' then 'I' else 'U' end as cdc_op,
   date_trunc('second', ts) as event_at_utc, date_trunc('second', ts) + ((event_id * 7919) % 172800) * interval '1' second as ingested_at_utc
 from events
+union all
+select 1000000000000 + application_id * 2 + step, application_id, case when step = 0 and application_id % 11 = 0 then 999999999 else customer_id end,
+  case when application_id % 29 = 5 then merchant_id + 1 else merchant_id end,
+  case when step = 0 then 'CREATED' when application_id % 13 = 3 then 'REJECTED' else 'APPROVED' end, principal,
+  case when step = 0 then 'I' when application_id % 37 = 7 then 'D' else 'U' end,
+  cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day, cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day + ((application_id * 7919) % 172800) * interval '1' second
+from fx_loans cross join (select 0 as step union all select 1) s
+where application_id % 17 <> 1
 """,
     "fx_cdc_raw": """
 select event_id, cast(application_id as varchar(20)) as application_id, cast(customer_id_raw as varchar(20)) as customer_id, status, cdc_op,
@@ -120,17 +129,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _SOURCE = re.compile(r"\b(from|join)\s+(\w+)\b", re.I)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view, as one lazy plan."""
+def view(spark: SparkSession, sf_dir: str, name: str, source: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A given table or a derived view, as one lazy plan over what ``source`` gives for the names it uses (views of their own by default)."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    source = source or (lambda other: view(spark, sf_dir, other))
     used: dict[str, DataFrame] = {}
 
     def place(match: re.Match) -> str:
-        source = match[2]
-        if source not in VIEWS and source not in TABLES:
+        other = match[2]
+        if other not in VIEWS and other not in TABLES:
             return match[0]
-        used.setdefault(source, view(spark, sf_dir, source))
-        return f"{match[1]} {{{source}}}"
+        if other not in used:
+            used[other] = source(other)
+        return f"{match[1]} {{{other}}}"
 
     return spark.sql(_SOURCE.sub(place, VIEWS[name]), **used)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from tidewater.sources.fixtures import VIEWS
 
@@ -12,7 +13,7 @@ _WORD = re.compile(r"\b\w+\b")
 
 
 def statement(final: str) -> str:
-    """``final`` with the named expressions that it uses, each before its users."""
+    """``final`` with the named expressions that it uses, each before its users; those used more than once are kept as tables."""
     order: list[str] = []
 
     def visit(sql: str) -> None:
@@ -25,4 +26,5 @@ def statement(final: str) -> str:
     visit(final)
     if not order:
         return final
-    return "with " + ",\n".join(f"{n} as (\n{NAMED[n].strip()}\n)" for n in order) + f"\n{final}"
+    used = Counter(word for sql in [final, *[NAMED[n] for n in order]] for word in _WORD.findall(sql) if word in NAMED)
+    return "with " + ",\n".join(f"{n} as {'materialized ' if used[n] > 1 else ''}(\n{NAMED[n].strip()}\n)" for n in order) + f"\n{final}"
