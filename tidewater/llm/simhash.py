@@ -179,6 +179,8 @@ MOST_BITS = 34
 #: Rows of a bucket that are compared with each other; a larger one is a coarse group as a whole. Texts compared in one block.
 NEXT_ROWS = 64
 BLOCK = 256
+#: Edges that a task holds at most.
+FOREST_ROWS = 1_000_000
 #: Bits of a filter that keeps rows which are surely kept from being shuffled; a full one lets all through.
 FILTER_BITS = 1 << 23
 
@@ -277,6 +279,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[label[hung]], "b": nodes[hung]})
 
 
+def _forests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as one forest, so that an id has one edge; of very many edges, as several."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > FOREST_ROWS:
+            held = [_forest(*(np.concatenate([p[c].to_numpy(np.int64) for p in held]) for c in ("a", "b")))]
+            size = len(held[0])
+            if 2 * size > FOREST_ROWS:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _forest(*(np.concatenate([p[c].to_numpy(np.int64) for p in held]) for c in ("a", "b")))
+    release()
+
+
 def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges that join a bucket's rows near in order and in fingerprint; a bucket of more than NEXT_ROWS rows is joined as a whole."""
     held = {c: np.zeros(0, np.int64) for c in ("k", "id", "fp", "more")}
@@ -308,7 +327,6 @@ def _meetings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = max(heads[-1], len(k) - NEXT_ROWS)
         before, first = int(place[-1]) - (len(k) - 1 - low), int(head_id[-1])
         held = {c: now[c][low:] for c in now}
-    release()
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -409,7 +427,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     each = written(each, "sketches", path)
     classes = each.where("n > 0").select("id", "fp", "more", "keys").dropDuplicates(["id"])
     keyed = classes.select(F.explode("keys").alias("k"), "id", "fp", "more")
-    met = keyed.repartition("k").sortWithinPartitions("k", "fp").mapInPandas(_meetings, "a long, b long")
+    met = keyed.repartition("k").sortWithinPartitions("k", "fp").mapInPandas(lambda parts: _forests(_meetings(parts)), "a long, b long")
+    met = met.repartition("b").mapInPandas(_forests, "a long, b long")  # the trees that an id is in become one
     coarse = written(connected_components(met), "coarse")
     rows = written(each.groupBy("id", "doc_id", "mark").agg(F.count("*").alias("times")), "rows")
     drop_path(spark, path)
