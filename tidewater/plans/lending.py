@@ -11,9 +11,9 @@ from tidewater.functions.scalar import business_date, dpd_bucket
 from tidewater.operators import lending as L
 from tidewater.operators import relational as R
 from tidewater.plans.params import PARAMS
-from tidewater.sources.fixtures import view
+from tidewater.sources.fixtures import TABLES, view
 from tidewater.sources.oracle import NAMED, statement
-from tidewater.sources.shared import written
+from tidewater.sources.shared import shared_dir, written
 
 # Spark side -------------------------------------------------------------------------------------------------------
 
@@ -37,6 +37,26 @@ class Models:
         return self._made[name]
 
 
+_BUILT: dict[tuple, Models] = {}
+
+
+def models(spark: SparkSession, sf_dir: str) -> Models:
+    """The models of a folder, materialised once a session: queries read the same tables until a given table changes."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    stamps = []
+    for name in TABLES:
+        path = fs_path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stamps += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)]
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(stamps)))
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[0] != key[0] or k[2] == sf_dir]:  # ended sessions, changed inputs
+            del _BUILT[old]
+        _BUILT[key] = Models(spark, sf_dir)
+    return _BUILT[key]
+
+
 def _cities(m: Models) -> DataFrame:
     name = F.col("n_name")
     return m.nation.select(F.regexp_replace(F.upper(name), "[^A-Z0-9]", "").alias("city_key"), F.concat(F.lit("City "), F.initcap(name)).alias("city_name"))
@@ -416,5 +436,5 @@ def _(m: Models) -> DataFrame:
     return m.status.select("loan_id", "installment_number", dpd_bucket(F.col("days_past_due")).alias("bucket"))
 
 
-QUERIES = {n: (lambda spark, sf_dir, build=build: build(Models(spark, sf_dir))) for n, (build, _) in MADE.items()}
+QUERIES = {n: (lambda spark, sf_dir, build=build: build(models(spark, sf_dir))) for n, (build, _) in MADE.items()}
 ORACLES = {n: statement(sql) for n, (_, sql) in MADE.items()}

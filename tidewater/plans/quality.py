@@ -9,7 +9,7 @@ from tidewater.functions.scalar import business_date, parse_utc_ts, value_shape
 from tidewater.operators import quality as Q
 from tidewater.operators import relational as R
 from tidewater.plans.lending import MADE as _LENDING
-from tidewater.plans.lending import Models
+from tidewater.plans.lending import Models, models
 from tidewater.plans.params import PARAMS
 from tidewater.sources.fixtures import view
 from tidewater.sources.oracle import NAMED, statement
@@ -219,6 +219,6 @@ def _(m: Models) -> DataFrame:
     return stages.withColumn("delta", C("n") - F.lag("n").over(Window.orderBy("seq"))).drop("seq")
 
 
-QUERIES = {n: (lambda spark, sf_dir, build=build: build(Models(spark, sf_dir))) for n, (build, _) in MADE.items()}
+QUERIES = {n: (lambda spark, sf_dir, build=build: build(models(spark, sf_dir))) for n, (build, _) in MADE.items()}
 ORACLES = {n: statement(sql) for n, (_, sql) in MADE.items()}
 assert not set(MADE) & set(_LENDING)
