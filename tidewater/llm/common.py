@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release() -> None:
     """Give freed memory back: Python workers live on, and what one operator leaves counts against the next."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

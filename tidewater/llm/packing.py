@@ -206,6 +206,7 @@ def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
                 totals[: len(here)] += here
         there = np.flatnonzero(totals)
         yield pd.DataFrame({"id": np.append(there, -1), "n": np.append(totals[there], docs)})
+        release()
 
     rows = tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     docs = int(rows.loc[rows["id"] < 0, "n"].sum())
@@ -320,6 +321,8 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 used = max(used, sequence + 1)
             base += used
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            del rows, own, ids
+        release()
 
     return by_content(tokens).mapInPandas(pack, PIECES)
 
