@@ -40,5 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         now = written(small.where("u <> v").distinct(), "edges", after)
         drop_path(spark, path)
         path = after
+    else:
+        raise RuntimeError(f"components are not finished after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

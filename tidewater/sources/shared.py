@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
