@@ -7,9 +7,8 @@ from verify import compare
 from tidewater.plans import evaluation, lending, messages, quality
 
 NAMES = [n for plan in (lending, quality, messages, evaluation) for n in plan.QUERIES]
-SLOW = {"stream_cdc_upsert"}
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in SLOW])
+@pytest.mark.parametrize("name", NAMES)
 def test_agrees(spark, name):
     assert compare(spark, SF, name).startswith("ok")

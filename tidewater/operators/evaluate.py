@@ -82,8 +82,8 @@ def expectation_checks(df: DataFrame, expected: dict[str, tuple[str, str]]) -> D
 def stratified_sample(df: DataFrame, label: str, n: int, least: int = 2) -> DataFrame:
     """``n`` rows: ``least`` of each class, the rest in proportion, largest remainder first; rows by hash of the id.
 
-    Quotas come from the table of classes. Only the rows that may be taken are numbered: those under a hash bound that gives
-    twice a class's quota, so a class of any size costs no window over all its rows.
+    Quotas come from the table of classes, and none is above ``n``. The first ``n`` of a class by hash are a limit that Spark
+    applies in every task before the shuffle, so a class of any size sends few rows, and each quota is filled exactly.
     """
     classes = df.groupBy(label).agg(F.count("*").alias("size")).crossJoin(df.agg(F.count("*").alias("total")))
     base = F.least(F.lit(least), F.col("size"))
@@ -92,11 +92,10 @@ def stratified_sample(df: DataFrame, label: str, n: int, least: int = 2) -> Data
     left = classes.agg((F.lit(n) - F.sum("low")).alias("left"))
     order = Window.orderBy(F.desc(F.col("want") - F.col("low")), label)
     quota = classes.crossJoin(left).withColumn("quota", F.least(F.col("size"), F.col("low") + F.when(F.row_number().over(order) <= F.col("left"), 1).otherwise(0)))
-    quota = quota.select(F.col(label).alias("_label"), "quota", "size")
+    quota = quota.select(F.col(label).alias("_label"), "quota")
     draw = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
-    rows = df.withColumn("_d", draw).join(quota, F.col(label) == F.col("_label"))
-    rows = rows.where((F.col("size") < 1000) | (F.col("_d") < F.col("quota") * 2 / F.col("size") + 0.05))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_d", "id"))).where("_r <= quota").select("id", label)
+    first = df.select("id", label, draw.alias("_d")).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_d", "id"))).where(F.col("_r") <= n)
+    return first.join(quota, F.col(label) == F.col("_label")).where("_r <= quota").select("id", label)
 
 
 def capped_sample(df: DataFrame, label: str, n: int, most: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import patterns as P
 from tidewater.functions.scalar import canonical_tokens, content_hash
 from tidewater.operators.graph import connected_components
+from tidewater.operators.relational import in_ranges
 from tidewater.sources.shared import written
 
 CONFIDENCE = 0.6
@@ -77,7 +78,11 @@ def near_duplicate_groups(messages: DataFrame, threshold: float = 0.6) -> DataFr
     classes = sets.join(numbers, "rep").join(labels, F.col("k") == F.col("node"), "left").select("tokens", F.coalesce("component", "k").alias("component"))
     rows = messages.select("id", "received_at_utc", F.array_sort(F.array_distinct(canonical_tokens(F.col("text")))).alias("tokens")).join(classes, "tokens")
     groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("received_at_utc", "id")).alias("head")).where("n > 1")
-    numbered = groups.withColumn("group_id", F.row_number().over(Window.orderBy("head")))  # one row per group
+    groups = in_ranges(written(groups, "groups"), F.unix_micros(F.col("head.received_at_utc").cast("timestamp")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = groups.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("head")) + F.col("_rows")
+    numbered = groups.join(F.broadcast(ranges), "_range").withColumn("group_id", number)
     return rows.join(numbered.select("component", "group_id"), "component").select("id", "group_id")
 
 

@@ -101,13 +101,13 @@ def greedy_fifo(payments: DataFrame, installments: DataFrame) -> DataFrame:
 
     One group is one loan: its plan and its payments.
     """
-    money = payments.where("amount > 0").select("loan_id", F.lit(1).alias("kind"), F.col("payment_seq").cast("long").alias("seq"), F.round(F.col("amount") * 100).cast("long").alias("cents"))
-    debt = installments.where("amount_due > 0").select("loan_id", F.lit(0).alias("kind"), F.col("installment_number").cast("long").alias("seq"), F.round(F.col("amount_due") * 100).cast("long").alias("cents"))
+    money = payments.where("amount > 0").select("loan_id", F.lit(1).alias("kind"), F.col("payment_seq").cast("long").alias("seq"), F.round(F.col("amount") * 100).cast("long").alias("cents"), F.lit(None).cast("string").alias("due"))
+    debt = installments.where("amount_due > 0").select("loan_id", F.lit(0).alias("kind"), F.col("installment_number").cast("long").alias("seq"), F.round(F.col("amount_due") * 100).cast("long").alias("cents"), F.col("due_date").cast("string").alias("due"))
 
     def lay(group):
         import pandas as pd
 
-        plan = group[group["kind"] == 0].sort_values("seq")
+        plan = group[group["kind"] == 0].sort_values(["due", "seq"])
         left = plan["cents"].tolist()
         at = 0
         for cents in group[group["kind"] == 1].sort_values("seq")["cents"].tolist():

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.shared import written
+
 
 def typed_distinct(df: DataFrame, **types: Column) -> DataFrame:
     """Rows after typing, once each: twins that differ only in how their text was written become one."""
@@ -83,20 +85,34 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[st
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *picks)
 
 
-def cumulative_share(df: DataFrame, keys: Sequence[str], measure: str, tie: str) -> DataFrame:
-    """Rank by measure and the running share of the total up to it; ties share a running sum, as a RANGE frame gives.
+def in_ranges(df: DataFrame, order: Column, parts: int = 64) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of ``order`` that a row is in; equal values share one, null is -1.
 
-    ``df`` is one row per key (an aggregate); the order is over that table.
+    Bounds are approximate quantiles, so ranges are about equal. With them an order over a whole table is windows within
+    ranges plus the totals of the ranges before, and no task holds the table.
     """
-    order = Window.orderBy(F.desc_nulls_last(measure), tie)
-    peers = Window.orderBy(F.desc_nulls_last(measure)).rangeBetween(Window.unboundedPreceding, 0)
-    total = df.agg(F.sum(measure).alias("_total"))
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []
+    at = sum(((order > F.lit(b)).cast("int") for b in sorted(set(bounds))), F.lit(0))
+    return df.withColumn("_range", F.coalesce(at, F.lit(-1)))
+
+
+def cumulative_share(df: DataFrame, keys: Sequence[str], measure: str, tie: str) -> DataFrame:
+    """Rank by measure and the running share of the total up to it; ties share a running sum, as a RANGE frame gives."""
+    rows = in_ranges(written(df, "measured"), F.col(measure))
+    within = Window.partitionBy("_range").orderBy(F.desc_nulls_last(measure), tie)
+    peers = Window.partitionBy("_range").orderBy(F.desc_nulls_last(measure)).rangeBetween(Window.unboundedPreceding, 0)
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    total = rows.agg(F.sum(measure).alias("_total"))
+    ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(measure).alias("_s"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_rows"), F.sum("_s").over(above).alias("_sum"))
+    own = F.sum(measure).over(peers)
     return (
-        df.crossJoin(total)
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("running", F.sum(measure).over(peers))
+        rows.join(F.broadcast(ranges), "_range")
+        .crossJoin(total)
+        .withColumn("rank", F.row_number().over(within) + F.col("_rows"))
+        .withColumn("running", F.coalesce(own + F.col("_sum"), own, F.col("_sum")).cast(total.schema[0].dataType))
         .withColumn("share", F.round(F.col("running").cast("double") / F.col("_total").cast("double"), 6))
-        .drop("_total")
+        .select(*df.columns, "rank", "running", "share")
     )
 
 

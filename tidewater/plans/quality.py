@@ -107,31 +107,76 @@ def _(m: Models) -> DataFrame:
     return m.snapshot.join(again, "loan_id").where("abs(coalesce(r, 0) - outstanding_net) > 0.01 or coalesce(d, 0) <> dpd").select("loan_id")
 
 
+#: Every check: the model it is about, dimension, severity, and for checks that report counts the rows that fail.
+CHECKS = {
+    "dq_not_null": ("merchants", "completeness", "warn", None),
+    "dq_unique": ("customers", "uniqueness", "warn", None),
+    "dq_unique_combination": ("installments", "uniqueness", "error", None),
+    "dq_accepted_values": ("payments", "validity", "warn", None),
+    "dq_relationships": ("loans", "integrity", "error", None),
+    "dq_accepted_range": ("loans", "validity", "warn", None),
+    "dq_expression": ("snapshot", "consistency", "warn", None),
+    "dq_alloc_le_installment": ("allocation", "accuracy", "error", None),
+    "dq_alloc_le_payment": ("allocation", "accuracy", "error", None),
+    "dq_bridge_coverage": ("customers", "integrity", "error", None),
+    "dq_deleted_no_loans": ("loans", "integrity", "warn", None),
+    "dq_scd2_no_overlap": ("merchants", "consistency", "error", None),
+    "dq_scd2_one_current": ("merchants", "consistency", "error", None),
+    "dq_pit_exactly_one": ("applications", "integrity", "error", None),
+    "dq_fifo_no_skip": ("installments", "accuracy", "error", None),
+    "dq_calendar_complete": ("calendar", "completeness", "warn", None),
+    "dq_paid_reconcile": ("payments", "accuracy", "error", None),
+    "dq_loan_matches_application": ("loans", "consistency", "warn", None),
+    "dq_series_matches_snapshot": ("series", "consistency", "error", None),
+    "dq_agg_reconcile": ("monthly", "accuracy", "error", "abs(gold - fact) > 1"),
+    "dq_no_reversed_in_fact": ("payments", "validity", "error", None),
+    "dq_payment_counts": ("payments", "consistency", "warn", "effective <> settled - voided"),
+    "dq_source_cutover": ("payments", "timeliness", "warn", None),
+    "dq_person_counts": ("customers", "consistency", "error", "ids <> per_person or ids <> bridge_rows"),
+    "dq_snapshot_coverage": ("snapshot", "completeness", "error", None),
+    "dq_snapshot_recompute": ("snapshot", "accuracy", "error", None),
+}
+
+
+def _failing(m: Models, name: str) -> DataFrame:
+    rows, condition = MADE[name][0](m), CHECKS[name][3]
+    return rows.where(condition) if condition else rows
+
+
+def _failing_sql(name: str) -> str:
+    condition = CHECKS[name][3]
+    return f"({MADE[name][1]}) f" + (f" where {condition}" if condition else "")
+
+
 def _checks(m: Models) -> DataFrame:
-    return Q.outcome([
-        ("category", "merchants", "completeness", "warn", Q.not_null(m.fx_merchants, "category")),
-        ("document", "customers", "uniqueness", "warn", Q.not_unique(m.fx_customers, ["document_number"])),
-        ("application", "loans", "integrity", "error", Q.orphans(m.fx_loans, "application_id", m.applications, "application_id")),
-        ("principal", "loans", "validity", "error", Q.out_of_range(m.fx_loans, "principal", 0)),
-        ("current", "merchants", "consistency", "error", m.merchants.groupBy("merchant_id").agg(F.count_if("is_current").alias("n")).where("n <> 1")),
-        ("skip", "installments", "accuracy", "error", Q.skipped_installments(m.status)),
-    ])
+    return Q.outcome([(name, *about[:3], _failing(m, name)) for name, about in CHECKS.items()])
 
 
 NAMED["d_checks"] = """select *, case when failures = 0 then 'pass' when severity = 'warn' then 'warn' else 'error' end as status from (
-  select 'category' as "check", 'merchants' as model, 'completeness' as dimension, 'warn' as severity, (select count(*) from fx_merchants where category is null) as failures
-  union all select 'document', 'customers', 'uniqueness', 'warn', (select count(*) from (select 1 from fx_customers group by document_number having count(*) > 1) a)
-  union all select 'application', 'loans', 'integrity', 'error', (select count(*) from fx_loans where application_id not in (select application_id from d_applications))
-  union all select 'principal', 'loans', 'validity', 'error', (select count(*) from fx_loans where principal < 0)
-  union all select 'current', 'merchants', 'consistency', 'error', (select count(*) from (select 1 from d_merchants group by merchant_id having count(*) filter (where is_current) <> 1) a)
-  union all select 'skip', 'installments', 'accuracy', 'error', (select count(*) from (select settled_date_any, max(paid_any) over (partition by loan_id order by installment_number rows between 1 following and unbounded following) as later from d_status) x where settled_date_any is null and later > 0)) c"""
+  """ + "\n  union all ".join(f"select '{name}' as \"check\", '{model}' as model, '{dimension}' as dimension, '{severity}' as severity, (select count(*) from {_failing_sql(name)}) as failures" for name, (model, dimension, severity, _) in CHECKS.items()) + ") c"
 key("dq_audit_rows", 'select "check", model, dimension, severity, failures, status from d_checks')(_checks)
 key("dq_matrix", "select model, " + ", ".join(f"count(*) filter (where dimension = '{d}') as {d}" for d in Q.DIMENSIONS) + " from d_checks group by 1")(lambda m: Q.matrix(_checks(m)))
 
 
-@key("crosscheck_independent", "select loan_id, installment_number, cast(round(paid_any * 100) as bigint) as paid_cents from d_status where amount_due > 0")
+@key("dq_failing_rows", "\nunion all ".join(f"select '{name}' as \"check\", '{CHECKS[name][2]}' as severity, cast(k as varchar) as failing from (select * from {_failing_sql(name)}) g(k)" for name in CHECKS))
+def _(m: Models) -> DataFrame:
+    """The rows that fail, by the first column of their check."""
+    out = None
+    for name, (_, _, severity, _) in CHECKS.items():
+        failing = _failing(m, name)
+        rows = failing.select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col(failing.columns[0]).cast("string").alias("failing"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@key("crosscheck_independent", """select loan_id, installment_number, cast(round(paid_any * 100) as bigint) as paid_cents, cast(round(paid_any * 100) as bigint) as greedy_cents, true as same
+from d_status where amount_due > 0""")
 def _(m: Models) -> DataFrame:
-    return Q.greedy_fifo(m.payments, m.installments)
+    """The set-based allocation beside one made payment by payment; a side without the row counts as not the same."""
+    ours = m.status.where("amount_due > 0").select("loan_id", "installment_number", F.round(F.col("paid_any") * 100).cast("bigint").alias("paid_cents"))
+    greedy = Q.greedy_fifo(m.payments, m.installments).withColumnRenamed("paid_cents", "greedy_cents")
+    both = ours.join(greedy, ["loan_id", "installment_number"], "full")
+    return both.withColumn("same", F.coalesce(F.col("paid_cents") == F.col("greedy_cents"), F.lit(False)))
 
 
 # Profiles: long tables (metric, value), one aggregation of each input ----------------------------------------------

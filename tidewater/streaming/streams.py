@@ -41,10 +41,11 @@ def run(stream: DataFrame, name: str = "sink") -> DataFrame:
 
 
 class Upsert:
-    """``foreachBatch`` that re-resolves the keys of a batch from all events and rewrites only the buckets they are in.
+    """``foreachBatch`` that re-resolves the keys of a batch from their events in the log.
 
-    The event log and the state are kept in buckets of the key; a batch is written under its own id first, so a batch that
-    runs again replaces itself and the result is the same.
+    The event log and the state are kept in buckets of the key, and a batch reads only the buckets that its keys are in. A
+    batch is written under its own id, so one that runs again replaces itself and the result is the same; a key's newest
+    state is that of the last batch that held it.
     """
 
     def __init__(self, spark: SparkSession, buckets: int = 8) -> None:
@@ -52,9 +53,10 @@ class Upsert:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64("application_id"), F.lit(self.buckets)).cast("int")
+        buckets = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``self.buckets``
         batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/events/batch={batch_id}")
         schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
-        log = batch.sparkSession.read.schema(schema).option("basePath", f"{self.root}/events").parquet(f"{self.root}/events")
+        log = batch.sparkSession.read.schema(schema).option("basePath", f"{self.root}/events").parquet(f"{self.root}/events").where(F.col("bucket").isin(buckets))
         touched = batch.select("application_id").distinct()
         again = log.join(touched, "application_id", "left_semi")
         state = cdc_latest_state(again).withColumn("bucket", bucket)
