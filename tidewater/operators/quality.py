@@ -99,23 +99,31 @@ def matrix(results: DataFrame) -> DataFrame:
 def greedy_fifo(payments: DataFrame, installments: DataFrame) -> DataFrame:
     """A second allocation, payment by payment in whole cents, to hold the interval one against.
 
-    One group is one loan: its plan and its payments.
+    Loans come in order, each with its plan first and then its payments; only the plan of one loan is held at a time.
     """
-    money = payments.where("amount > 0").select("loan_id", F.lit(1).alias("kind"), F.col("payment_seq").cast("long").alias("seq"), F.round(F.col("amount") * 100).cast("long").alias("cents"), F.lit(None).cast("string").alias("due"))
-    debt = installments.where("amount_due > 0").select("loan_id", F.lit(0).alias("kind"), F.col("installment_number").cast("long").alias("seq"), F.round(F.col("amount_due") * 100).cast("long").alias("cents"), F.col("due_date").cast("string").alias("due"))
+    money = payments.where("amount > 0").select("loan_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("due"), F.col("payment_seq").cast("long").alias("seq"), F.round(F.col("amount") * 100).cast("long").alias("cents"))
+    debt = installments.where("amount_due > 0").select("loan_id", F.lit(0).alias("kind"), F.col("due_date").cast("string").alias("due"), F.col("installment_number").cast("long").alias("seq"), F.round(F.col("amount_due") * 100).cast("long").alias("cents"))
 
-    def lay(group):
+    def lay(parts):
         import pandas as pd
 
-        plan = group[group["kind"] == 0].sort_values(["due", "seq"])
-        left = plan["cents"].tolist()
-        at = 0
-        for cents in group[group["kind"] == 1].sort_values("seq")["cents"].tolist():
-            while cents and at < len(left):
-                part = min(cents, left[at])
-                cents -= part
-                left[at] -= part
-                at += left[at] == 0
-        return pd.DataFrame({"loan_id": plan["loan_id"], "installment_number": plan["seq"], "paid_cents": plan["cents"].to_numpy() - left})
-
-    return money.unionByName(debt).groupBy("loan_id").applyInPandas(lay, "loan_id long, installment_number long, paid_cents long")
+        columns = ["loan_id", "installment_number", "paid_cents"]
+        loan, plan, at, out = None, [], 0, []
+        for part in parts:
+            for row_loan, kind, seq, cents in part[["loan_id", "kind", "seq", "cents"]].itertuples(index=False):
+                if row_loan != loan:
+                    out += [(loan, number, due - left) for number, due, left in plan]
+                    loan, plan, at = row_loan, [], 0
+                if kind == 0:
+                    plan.append([seq, cents, cents])
+                while kind == 1 and cents and at < len(plan):
+                    paid = min(cents, plan[at][2])
+                    cents -= paid
+                    plan[at][2] -= paid
+                    at += plan[at][2] == 0
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+        yield pd.DataFrame([(loan, number, due - left) for number, due, left in plan], columns=columns)
+
+    rows = money.unionByName(debt).where("loan_id is not null").repartition("loan_id").sortWithinPartitions("loan_id", "kind", "due", "seq")
+    return rows.mapInPandas(lay, "loan_id long, installment_number long, paid_cents long")
