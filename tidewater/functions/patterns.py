@@ -54,11 +54,49 @@ TOPICS = (
     ("reporte_centrales", r"datacr[eé]dito|cifin|centrales|report"),
     ("pago_no_aplicado", r"no (se )?(refleja|aplic)|aparece pendiente|dos veces|doble|no me lo han abonado|no aparece"),
     ("no_puede_pagar", r"no (voy a )?pod(er|r[eé]) pagar|no me alcanza|sin trabajo|sin empleo|hospital|enferm|pr[oó]rroga|la mitad"),
+    ("refinanciacion_acuerdo", r"refinanci|acuerdo|reestructur|plan de pagos"),
+    ("pago_anticipado", r"adelantar|pagar (la totalidad|todo el cr[eé]dito|todo de una)|pago anticipado|saldar|abono a capital"),
+    ("intereses_y_cargos", r"tasa de inter[eé]s|cuota de manejo|cobro (adicional|extra)|seguro q|subi[oó] un mont[oó]n|abusivo"),
     ("mora_intereses", r"mora|inter[eé]s"),
     ("fecha_de_pago", r"fecha|vence|cu[aá]ndo (me toca|se vence|es el pago)|d[ií]a me toca"),
+    ("metodos_de_pago", r"m[eé]todos? de pago|d[oó]nde (puedo )?pag|c[oó]mo (hago para )?pag|efecty|nequi|baloto|corresponsal|medios de pago|transferencia|link de pago|tarjeta de cr[eé]dito de otro"),
+    ("cuenta_y_app", r"\bapp\b|c[oó]digo|otp|bloquead|iniciar sesi[oó]n|contrase[nñ]a|sesi[oó]n|clave"),
+    ("datos_personales", r"actualizar|cambi(ar|e) (mi |el )?(n[uú]mero|correo|celular|direcci)|direcci[oó]n|datos personales|datos de contacto"),
+    ("certificados_extractos", r"certificad|extracto|paz y salvo|retenci[oó]n|tributario"),
+    ("cancelacion", r"cancelar|cerrar (mi )?(cuenta|cr[eé]dito)|cancelaci[oó]n"),
+    ("consulta_saldo_cuotas", r"saldo|cu[aá]nto debo|cu[aá]ntas cuotas|cuotas me faltan|valor de la (pr[oó]xima )?cuota|llevo pagad"),
     ("felicitacion_feedback", r"felicit|agradec|gracias|excelente|super amable|muy buena"),
+    ("informacion_general", r"horario|abiertos|festivos|n[uú]mero de la l[ií]nea|l[ií]nea de atenci[oó]n|sucursal"),
+    ("fuera_de_alcance", r"celular(es)?\b|iphone|rappi|pizzer|clima|francia|\bclaro\b|domicilio|parqueadero|seguros? de veh|hipotecari|carros"),
 )
 
+#: Signals of the message profile; a message can show several.
+SIGNALS = {
+    "credit number": r"cr[eé]dito (n[uú]mero |numero )?\d{3,}|credito \d{3,}|n[uú]mero de cr[eé]dito \d+",
+    "document number": r"documento (es )?(el )?\d{6,}|documento \d|cc \d|\b\d{10}\b",
+    "masked identifier": r"\d\.?[0-9x]*x{2,}|X{3}",
+    "amount": r"\$\s?\d|\b\d{1,3}\.\d{3}\b|\b\d{5,7}\b(?:$|[^\d ]| $| \D)|\d+ ?mil\b",
+    "transaction or reference": r"\bref(erencia)?\.? ?\w*\d|transacci[oó]n \w+",
+    "explicit date": r"\b\d{1,2} de \w+|\bel (lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo)\b|\bayer\b|\bhace \d+ d[ií]as",
+    "bank or payment rail": r"bancolombia|nequi|daviplata|efecty|baloto|pse\b|corresponsal|transferencia",
+    "several intents": r"\by de paso\b|adem[aá]s|tambi[eé]n|\bdos cosas|\btres cosas|\b1\)|\bvarias cosas|aprovecho",
+    "urgency": r"urgente|ya mismo|!!|inmediat",
+    "fraud or security": r"fraude|robaron|hackear|suplantaci|phishing|estafa|clonaron|no reconozco|perd[ií] mi celular|movimientos raros",
+    "legal threat or harassment": r"superintendencia|acoso|habeas|borren mis datos|qu[eé] datos m[ií]os",
+    "hardship": r"sin trabajo|sin empleo|hospital|enferm|no puedo pagar|no me alcanza|situaci[oó]n (econ[oó]mica )?(dif[ií]cil|complicada)|pr[oó]rroga",
+    "asks for a human": r"asesor humano|persona real|agente|humano|alguien ah[ií]|con alguien",
+    "other business": r"celular(es)?\b|iphone|rappi|pizzer|clima|francia|\bclaro\b|domicilio|parqueadero|seguros? de veh|hipotecari|carros|cuentas de ahorro",
+    "credit bureau": r"datacr[eé]dito|cifin|centrales|report",
+    "certificates": r"certificad|extracto|paz y salvo|retenci[oó]n|tributario",
+    "password": r"contrase[nñ]a|clave",
+    "address": r"direcci[oó]n",
+    "application status": r"solicitud de cr[eé]dito|estado de mi solicitud",
+    "interest or fee dispute": r"tasa de inter[eé]s|cuota de manejo|intereses (excesivos|muy altos|abusiv)|cobro (adicional|extra)|seguro q",
+    "prepayment": r"adelantar|pagar (la totalidad|todo el cr[eé]dito|todo de una)|pago anticipado|saldar|abono a capital",
+    "greeting, thanks or gibberish": r"^(hola|buenas|ok gracias|todo bien gracias.*|gracias.*|\?+|\.\.\.|asd\w*.*|ggg .*|aksjd.*|hola\?\?.*)$",
+    "mojibake": r"Ã",
+}
+
 #: Reason, policy coverage, action, queue, priority, source of a reply.
 REASONS = (
     ("consulta_saldo_cuotas", "partial", "auto_reply", "none", 3, "llm"),
@@ -97,9 +135,25 @@ GAPS = (
     ("cuenta_y_app", r"contrase[nñ]a|password|clave de (?:la |mi )?app|recuperar(?:la)? (?:la )?(?:clave|contrase[nñ]a)", "no password flow in the policy"),
     ("datos_personales", r"direcci[oó]n|ciudad de residencia|\bbarrio\b", "address changes not covered"),
     ("certificados_extractos", r"retenci[oó]n|certificado de deuda|desglose|saldo a la fecha|capital e intereses", "certificate not in the policy"),
-    ("pago_no_aplicado", r"no se refleja", "reflection delay not stated"),
 )
 
-#: Phrases that a reply must not hold, and words that tell Spanish.
-FORBIDDEN = ("condonaci", "te devolvemos", "le devolvemos", "reembolso confirmado", "borramos el historial", "eliminamos el reporte", "quitamos el reporte", "no te reportaremos", "no lo reportaremos", "numero de tu tarjeta")
-SPANISH = "de la que el en y a los del se las por un para con no una su al lo como mas pero sus le ya o este si tu te es".split()
+#: Phrases that a reply must not hold.
+FORBIDDEN = (
+    "condonaci", "te devolvemos", "le devolvemos", "reembolso confirmado", "borramos el historial", "eliminamos el reporte", "quitamos el reporte", "no te reportaremos",
+    "no lo reportaremos", "envianos tu contrase", "compartenos tu contrase", "envianos tu clave", "dinos tu codigo", "envianos el codigo", "numero de tu tarjeta",
+)
+
+#: Words that tell Spanish, and words that tell English.
+SPANISH = "de la el que en tu te para por con los las un una puedes nos si del al es se no lo tus mas desde hasta".split()
+ENGLISH = r"\b(the|please|your|you|we|thanks|hello|and|with)\b"
+
+#: What is left of a template: brackets, and words in capitals.
+PLACEHOLDER = r"[\[\]{}<>]|\bX{3,}\b|\bNOMBRE\b|\bTODO\b|\bFIXME\b|\bTBD\b"
+
+#: Numbers and ordinals in words, which count as numbers before a unit ("first" is idiom and left out).
+NUMBER_WORDS = {
+    "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "diez": "10", "quince": "15", "veinte": "20", "treinta": "30",
+    "sesenta": "60", "segunda": "2", "segundo": "2", "tercera": "3", "tercer": "3", "cuarta": "4", "cuarto": "4", "quinta": "5", "quinto": "5",
+}
+UNIT = r"(?:d[ií]as?|horas?|minutos?|semanas?|mes(?:es)?|veces|vez|intentos?|a[nñ]os?|cuotas?|pagos?)"
+WORD_NUMBER = rf"\b({'|'.join(NUMBER_WORDS)})\s+{UNIT}\b"

@@ -161,7 +161,7 @@ def topic(text: Column) -> Column:
     chain = F.when(has(text, P.TOPICS[0][1]), P.TOPICS[0][0])
     for name, pattern in P.TOPICS[1:]:
         chain = chain.when(has(text, pattern), name)
-    return chain
+    return chain.otherwise("(no keyword match)")
 
 
 # Predictions and routing ------------------------------------------------------------------------------------------
@@ -279,6 +279,27 @@ def known_gaps(df: DataFrame) -> DataFrame:
     return df.withColumn("gaps", found)
 
 
+def gap_routed(routed: DataFrame) -> DataFrame:
+    """What `route` gives, with ``gaps``: an automatic reply to a message with a gap opens a case too, and codes say so."""
+    df = known_gaps(routed).withColumn("_gap", F.size("gaps") > 0)
+    df = df.withColumn("_up", F.col("_gap") & (F.col("action") == "auto_reply") & (F.col("reply_source") != "none"))
+    general = F.when(F.col("default_queue") != "none", F.col("default_queue")).otherwise("cx_general")
+    return df.withColumns({
+        "action": F.when(F.col("_up"), "auto_reply_and_route").otherwise(F.col("action")), "queue": F.when(F.col("_up") & (F.col("queue") == "none"), general).otherwise(F.col("queue")),
+        "codes": F.concat("codes", F.array_compact(F.array(F.when(F.col("_gap"), "KNOWN_GAP"), F.when(F.col("_up"), "GAP_ROUTED")))),
+    }).drop("_gap", "_up")
+
+
+def signal_counts(df: DataFrame) -> DataFrame:
+    """``signal, n, example``: messages that show each signal and the smallest id of these, in one pass; a signal never seen has n 0."""
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
+    shown = {name: has(F.col("text"), p) for name, p in P.SIGNALS.items()} | {"capitals": capitals > 0.5 * F.greatest(letters, F.lit(1))}
+    one = df.agg(*[c for i, there in enumerate(shown.values()) for c in (F.count_if(there).alias(f"n{i}"), F.min(F.when(there, F.col("id"))).alias(f"e{i}"))])
+    rows = F.array(*[F.struct(F.lit(name).alias("signal"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("example")) for i, name in enumerate(shown)])
+    return one.select(F.inline(rows))
+
+
 def section_split(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc, section_id, heading, body`` of each part under a ``## `` heading, in order; text before the first is left out."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##[ \t]+"), 2, 1 << 30)
@@ -300,7 +321,10 @@ def reply_checks(replies: DataFrame, sections: DataFrame) -> DataFrame:
     cited = replies.select("id", F.explode("citations").alias("section_id")).join(sections.select("section_id", "body"), "section_id")
     cited = cited.groupBy("id").agg(F.concat_ws("\n", F.sort_array(F.collect_list("body"))).alias("_body"), F.collect_set("section_id").alias("_known"))
     df = replies.join(cited, "id", "left").withColumn("_body", F.coalesce("_body", F.lit("")))
-    numbers = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d[\d.,]*"), F.lit(0)), lambda x: F.regexp_replace(x, r"\D", "")))
+    digits_in = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d[\d.,]*"), F.lit(0)), lambda x: F.regexp_replace(x, r"\D", "")))
+    in_words = F.create_map(*[F.lit(x) for pair in P.NUMBER_WORDS.items() for x in pair])
+    worded = lambda c: F.transform(F.regexp_extract_all(c, F.lit("(?iuU)" + P.WORD_NUMBER), F.lit(1)), lambda x: F.element_at(in_words, F.lower(x)))
+    numbers = lambda c: F.concat(digits_in(c), worded(c))
     tokens = canonical_tokens(F.col("reply"))
     joined = F.array_join(tokens, " ")
     digits = lambda c: F.regexp_replace(c, r"\D", "")
@@ -313,9 +337,9 @@ def reply_checks(replies: DataFrame, sections: DataFrame) -> DataFrame:
         bad = bad | F.contains(joined, F.lit(phrase))
     return df.withColumns({
         "citations_ok": (F.size("citations") > 0) & (F.size(F.array_except("citations", F.coalesce("_known", F.array().cast("array<string>")))) == 0) & (F.size(F.array_except("citations", "allowed")) == 0),
-        "numbers_ok": F.size(F.array_except(numbers(F.col("reply")), F.concat(numbers(F.col("_body")), numbers(F.col("message"))))) == 0,
+        "numbers_ok": F.size(F.array_except(numbers(F.col("reply")), F.concat(digits_in(F.col("_body")), numbers(F.col("message"))))) == 0,
         "forbidden_phrases_ok": ~bad, "no_document_echo_ok": ~F.coalesce(echo, F.lit(False)) & ~F.col("reply").rlike(P.CARD),
-        "length_ok": words.between(8, 160), "language_ok": spanish >= 3, "no_placeholders_ok": ~F.col("reply").rlike(r"\[[^\]]+\]|\{[^}]+\}|<[A-Za-z_ ]+>"),
+        "length_ok": words.between(8, 160), "language_ok": (spanish >= 3) & ~has(F.col("reply"), P.ENGLISH), "no_placeholders_ok": ~F.col("reply").rlike(P.PLACEHOLDER),
         "contact_details_ok": F.forall(contacts, lambda c: F.contains(F.col("_body"), F.rtrim(c, F.lit(".,;")))),
     }).drop("_body", "_known")
 

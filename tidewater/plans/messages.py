@@ -148,15 +148,31 @@ key("entity_merge", "select l.id, coalesce(e.payment_method, case when contains(
     lambda m: M.merge_entities(M.entities(m.fx_labels)).select("id", "payment_method", "amount")
 )
 key("pii_scan", f"select id, document_number is not null or regexp_matches(text, {_q(P.CARD)}) as pii from d_extracted")(lambda m: M.entities(m.fx_messages).select("id", M.pii_present(F.col("text"), F.col("document_number")).alias("pii")))
-NAMED["d_topics"] = "select id, case " + " ".join(f"when {_has('text', p)} then {_q(n)}" for n, p in P.TOPICS) + " end as topic from fx_messages"
+NAMED["d_topics"] = "select id, case " + " ".join(f"when {_has('text', p)} then {_q(n)}" for n, p in P.TOPICS) + " else '(no keyword match)' end as topic from fx_messages"
 key("keyword_bucketing", "select topic, count(*) as n, min(id) as example from d_topics group by 1")(lambda m: m.fx_messages.select("id", M.topic(F.col("text")).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("example")))
-key("message_profile", """select channel, count(*) as n, min(length(text)) as shortest, median(length(text)) as median, max(length(text)) as longest,
-  round(count(*) filter (where text = upper(text))::double / count(*), 6) as capitals from fx_messages group by 1""")(
+key("message_profile", """select channel, count(*) as n, min(length(text)) as shortest, median(length(text)) as median, quantile_disc(length(text), 0.9) as p90, max(length(text)) as longest,
+  round(count(*) filter (where length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 1))::double / count(*), 6) as capitals from fx_messages group by 1""")(
     lambda m: m.fx_messages.withColumn("w", F.length("text")).groupBy("channel").agg(
-        F.count("*").alias("n"), F.min("w").alias("shortest"), F.median("w").alias("median"), F.max("w").alias("longest"), F.round(F.count_if(F.col("text") == F.upper("text")) / F.count("*"), 6).alias("capitals")
+        F.count("*").alias("n"), F.min("w").alias("shortest"), F.median("w").alias("median"), F.expr("percentile_disc(0.9) within group (order by w)").cast("bigint").alias("p90"), F.max("w").alias("longest"),
+        F.round(F.count_if(F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) > 0.5 * F.greatest(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.lit(1))) / F.count("*"), 6).alias("capitals")
     )
 )
 
+key("signal_counts", " union all ".join(
+    f"select {_q(n)} as signal, count(*) as n, min(id) as example from fx_messages where {test}"
+    for n, test in [*((n, _has("text", p)) for n, p in P.SIGNALS.items()), ("capitals", r"length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1)")]
+))(lambda m: M.signal_counts(m.fx_messages))
+key("message_shapes", """select 'channel' as measure, channel as value, count(*) as n from fx_messages group by 2
+union all select 'timestamp', regexp_replace(cast(received_at_utc as varchar), '[0-9]', '9', 'g'), count(*) from fx_messages group by 2""")(
+    lambda m: m.fx_messages.select(F.inline(F.array(
+        F.struct(F.lit("channel").alias("measure"), F.col("channel").alias("value")),
+        F.struct(F.lit("timestamp").alias("measure"), F.regexp_replace(F.col("received_at_utc").cast("string"), "[0-9]", "9").alias("value")),
+    ))).groupBy("measure", "value").agg(F.count("*").alias("n"))
+)
+key("busiest_day", "select cast(received_at_utc as date) as day, count(*) as n from fx_messages group by 1 order by n desc, day limit 1")(
+    lambda m: m.fx_messages.groupBy(F.to_date("received_at_utc").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "day").limit(1)
+)
+
 # Predictions, routing, replies ------------------------------------------------------------------------------------
 
 
@@ -199,7 +215,11 @@ key("route_decision", "select id, final_reason, override, action, queue from d_r
 key("priority_calc", "select id, priority, sla_hours from d_routed")(lambda m: M.route(_final(m)).select("id", "priority", "sla_hours"))
 key("reply_source_resolution", "select id, template, reply_source from d_routed")(lambda m: M.route(_final(m)).select("id", "template", "reply_source"))
 NAMED["d_gaps"] = "select id, final_reason, list_filter([" + ", ".join(f"case when final_reason = {_q(r)} and {_has('text', p)} then {_q(g)} end" for r, p, g in P.GAPS) + "], lambda x: x is not null) as gaps from d_final"
-key("known_gap_detection", "select id, array_to_string(gaps, ';') as gaps from d_gaps")(lambda m: M.known_gaps(_final(m)).select("id", F.array_join("gaps", ";").alias("gaps")))
+key("known_gap_detection", """select id, array_to_string(gaps, ';') as gaps, case when up then 'auto_reply_and_route' else action end as action, case when up and queue = 'none' then general else queue end as queue,
+  concat_ws(',', override, case when lost then 'NO_REPLY_SOURCE' end, case when len(gaps) > 0 then 'KNOWN_GAP' end, case when up then 'GAP_ROUTED' end) as codes
+from (select r.* exclude (act), g.gaps, len(g.gaps) > 0 and r.action = 'auto_reply' and r.reply_source <> 'none' as up from d_routed r join d_gaps g using (id)) x""")(
+    lambda m: M.gap_routed(M.route(_final(m))).select("id", F.array_join("gaps", ";").alias("gaps"), "action", "queue", F.array_join("codes", ",").alias("codes"))
+)
 key("gap_details", "select final_reason, count(*) as n, count(distinct gap) as kinds from (select final_reason, unnest(gaps) as gap from d_gaps) x group by 1")(
     lambda m: M.known_gaps(_final(m)).select("final_reason", F.explode("gaps").alias("gap")).groupBy("final_reason").agg(F.count("*").alias("n"), F.countDistinct("gap").alias("kinds"))
 )
@@ -210,14 +230,16 @@ def _checked(m: Models) -> DataFrame:
     return M.reply_checks(replies, m.fx_sections)
 
 
-_NUM = r"list_transform(regexp_extract_all({0}, '\d[\d.,]*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
+_DIGITS = r"list_transform(regexp_extract_all({0}, '\d[\d.,]*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
+_WORDED = "list_transform(regexp_extract_all({0}, " + _q("(?i)" + P.WORD_NUMBER).replace("{", "{{").replace("}", "}}") + ", 1), lambda x: case lower(x) " + " ".join(f"when '{w}' then '{n}'" for w, n in P.NUMBER_WORDS.items()) + " end)"
+_NUM = f"({_DIGITS} || {_WORDED})"
 NAMED["d_checked"] = f"""select r.id, cited in ('s1', 's2') is true as citations_ok,
-  len(list_filter({_NUM.format('reply')}, lambda x: not list_contains({_NUM.format("coalesce(body, '')")} || {_NUM.format('message')}, x))) = 0 as numbers_ok,
+  len(list_filter({_NUM.format('reply')}, lambda x: not list_contains({_DIGITS.format("coalesce(body, '')")} || {_NUM.format('message')}, x))) = 0 as numbers_ok,
   not ({' or '.join(f"contains(array_to_string(regexp_extract_all(strip_accents(lower(reply)), '[a-z0-9]+'), ' '), {_q(p)})" for p in P.FORBIDDEN)}) as forbidden_phrases_ok,
   not coalesce(contains(regexp_replace(reply, '[^0-9]', '', 'g'), document_number), false) and not regexp_matches(reply, {_q(P.CARD)}) as no_document_echo_ok,
   len(list_filter(string_split_regex(reply, '\\s+'), lambda x: x <> '')) between 8 and 160 as length_ok,
-  len(list_filter(regexp_extract_all(strip_accents(lower(reply)), '[a-z0-9]+'), lambda x: x in ({', '.join(map(_q, P.SPANISH))}))) >= 3 as language_ok,
-  not regexp_matches(reply, '\\[[^\\]]+\\]') as no_placeholders_ok, not contains(reply, '@') or contains(coalesce(body, ''), 'x@y.co') as contact_details_ok
+  len(list_filter(regexp_extract_all(strip_accents(lower(reply)), '[a-z0-9]+'), lambda x: x in ({', '.join(map(_q, P.SPANISH))}))) >= 3 and not {_has('reply', P.ENGLISH)} as language_ok,
+  not regexp_matches(reply, {_q(P.PLACEHOLDER)}) as no_placeholders_ok, not contains(reply, '@') or contains(coalesce(body, ''), 'x@y.co') as contact_details_ok
 from fx_replies r left join fx_sections s on s.section_id = r.cited"""
 key("reply_policy_checks", "select * from d_checked")(lambda m: _checked(m).select("id", *[f"{c}_ok" for c in M.CHECKS]))
 key("reply_outcome", "select id, array_to_string(list_filter([" + ", ".join(f"case when not {c}_ok then 'VERIFIER_{c.upper()}' end" for c in M.CHECKS) + "], lambda x: x is not null), ',') as codes, case when " + " and ".join(f"{c}_ok" for c in M.CHECKS) + " then 'auto_reply' else 'route_to_human' end as final_action from d_checked")(
