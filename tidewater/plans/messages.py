@@ -114,11 +114,13 @@ def _(m: Models) -> DataFrame:
     return read.select("id", F.coalesce(gold, "pre_label").alias("label"), gold.isNull().alias("from_pre_label"))
 
 
-@key("section_split", r"""select doc_id as doc, concat(doc_id, '.', generate_subscripts(parts, 1) - 1) as section_id, trim(unnest(parts)) as heading, '' as body
-from (select doc_id, string_split(text, chr(10)) as parts from documents) x""")
+@key("section_split", r"""select doc, concat(doc, '.', place) as section_id, trim(regexp_extract(part, '^([^\n]*)', 1)) as heading, trim(regexp_replace(part, '^[^\n]*\n?', '')) as body
+from (select doc_id as doc, generate_subscripts(parts, 1) - 1 as place, unnest(parts) as part from (
+  select doc_id, string_split_regex(concat('intro', chr(10), '## ', regexp_replace(text, '\n([A-Ma-m])', chr(10) || '## \1', 'g')), '\n##[ \t]+')[2:] as parts from documents) x) y""")
 def _(m: Models) -> DataFrame:
-    marked = m.documents.select("doc_id", F.concat(F.lit("intro\n## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("text"))
-    return M.section_split(marked, "doc_id", "text")
+    """Whole texts with every line that starts with a letter up to m as a heading; the lines after it are its body."""
+    headed = F.regexp_replace("text", r"\n([A-Ma-m])", "\n## $1")
+    return M.section_split(m.documents.select("doc_id", F.concat(F.lit("intro\n## "), headed).alias("text")), "doc_id", "text")
 
 
 # Duplicates -------------------------------------------------------------------------------------------------------
