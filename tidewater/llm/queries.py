@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, language, licenses, mixing, nndescent, packing, rollups, simhash, toxicity, urlfilter
-from tidewater.llm.common import id_remainder, table
+from tidewater.llm import alignment, ann, chunked, language, licenses, mixing, nndescent, packing, periodic, rollups, simhash, toxicity, urlfilter
+from tidewater.llm.common import WORD, id_remainder, table
 
 
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,42 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("d.doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word", "s.base_labels", "s.labels", "s.score")
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunked.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    ids = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select("d.doc_id", ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("d.doc_id", *found.columns[1:])
+
+
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where of each tenth document by crc32 the words from a place on repeat; a null id has none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    planted = F.expr("concat_ws(' ', transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])))")
+    marked = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when((F.col("h") % 10 == 0) & F.col("text").rlike(WORD), words))
+    marked = marked.withColumn("a", a).withColumn("p", p)
+    return marked.select("doc_id", F.when(F.col("w").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_run(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    best = F.expr("aggregate(slice(runs, 2, greatest(size(runs), 1)), runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("d.doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), listed.alias("listed"), "collapsed")
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_simhash_dedup": simhash_dedup,
@@ -74,6 +110,9 @@ QUERIES = {
     "op8_ann": nearest_vectors,
     "op9_token_counts": token_counts,
     "op10_license_scan": license_scan,
+    "op11_bpe_round_trip": bpe_round_trip,
+    "op12_token_alignment": token_alignment,
+    "op13_periodic_runs": periodic_runs,
 }
 
 ORACLES = {"op1_url_filters": urlfilter.ORACLE, "op7_source_mix": mixing.ORACLE}
