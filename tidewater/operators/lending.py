@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import business_date, clean_text, dpd_bucket, normalize_key, op_rank, parse_number, scale_minor_units, surrogate_key, trailing_id
-from tidewater.operators.relational import dense_grid, forward_fill, overlap, point_in_time, running_sum, series
+from tidewater.operators.relational import dense_grid, forward_fill, point_in_time, running_sum, series, swept
 from tidewater.plans.params import PARAMS, EngineParams
 
 OPEN_END = datetime.date(9999, 12, 31)
@@ -113,19 +113,18 @@ def effective_payments(netted: DataFrame, loans: DataFrame, calendar: DataFrame,
 
 
 def fifo_allocation(payments: DataFrame, installments: DataFrame) -> DataFrame:
-    """Each payment's money laid over the plan by due date, then number: the money interval meets the debt intervals of its loan.
+    """Each payment's money laid over the plan by due date, then number; what is paid beyond the plan stays unallocated.
 
-    Money and debt are running sums in exact decimals; what is paid beyond the plan stays unallocated.
+    Money and debt are running sums in exact decimals, each in its own order within a loan; a sweep over the ends of both gives each
+    payment's share of each installment, in rows linear in payments and installments.
     """
-    money = payments.where("amount > 0").select(
-        "loan_id", "payment_id", "paid_at_utc", "paid_date", F.col("amount").cast(_D).alias("amount")
-    )
-    money = running_sum(money, ["loan_id"], [F.col("paid_at_utc"), F.col("payment_id")], "amount", "a_end").withColumn("a_start", (F.col("a_end") - F.col("amount")).cast(_D))
-    debt = installments.where("amount_due > 0").select("loan_id", "installment_number", "due_date", F.col("amount_due").cast(_D).alias("amount_due"))
-    debt = running_sum(debt, ["loan_id"], [F.col("due_date"), F.col("installment_number")], "amount_due", "b_end").withColumn("b_start", (F.col("b_end") - F.col("amount_due")).cast(_D))
-    met = overlap(money, debt, "loan_id")
-    part = (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).cast("decimal(18,2)")
-    return met.select("loan_id", "payment_id", "installment_number", "paid_at_utc", "paid_date", part.alias("allocated"), (F.col("a_end") >= F.col("b_end")).alias("completes"))
+    money = payments.where("amount > 0").select("loan_id", F.lit(0).alias("side"), F.col("paid_at_utc").cast("timestamp_ntz").alias("at"), F.col("payment_id").cast("long").alias("id"), F.col("amount").cast(_D).alias("amount"), F.struct("payment_id", "paid_at_utc", "paid_date").alias("money"))
+    debt = installments.where("amount_due > 0").select("loan_id", F.lit(1).alias("side"), F.col("due_date").cast("timestamp_ntz").alias("at"), F.col("installment_number").cast("long").alias("id"), F.col("amount_due").cast(_D).alias("amount"), F.struct("installment_number").alias("debt"))
+    both = money.unionByName(debt, allowMissingColumns=True).repartition("loan_id")  # both windows, and the sweep, need no other shuffle
+    placed = running_sum(both, ["loan_id", "side"], [F.col("at"), F.col("id")], "amount", "position")
+    met = swept(placed, "loan_id", "position", ["money", "debt"])
+    part = (F.col("position") - F.col("below")).cast("decimal(18,2)")
+    return met.select("loan_id", "money.payment_id", "debt.installment_number", "money.paid_at_utc", "money.paid_date", part.alias("allocated"), (F.col("money_position") >= F.col("debt_position")).alias("completes"))
 
 
 def installment_status(allocation: DataFrame, installments: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
@@ -184,19 +183,38 @@ def delinquency_snapshot(status: DataFrame, payments: DataFrame, loans: DataFram
 def month_end_series(status: DataFrame, loans: DataFrame, calendar: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
     """Loan by month end, from the month of disbursement to the snapshot, rebuilt from settlement days without re-allocation.
 
-    Month ends are made per loan, so no loan meets a month before it began, and installments meet months by ``loan_id``.
+    Each installment sends signed events to the months in which something changes: its amount opens with the loan and closes in the month it is
+    settled. Ordered by due date it is the oldest overdue one from the month after which all earlier ones are settled, or it is due, to the month it
+    is settled itself; those spans never overlap, so each sends its due date at the start and nothing at the end. Sums and the last
+    state so far over a loan's months give the series: rows are installments plus months, not their product. Loans without a plan have none.
     """
-    months = loans.select("loan_id", "currency", "merchant_id", series(F.trunc("disbursed_date", "month"), F.trunc(F.lit(p.snapshot_date), "month"), "month").alias("month"))
-    ends = months.withColumn("month_end", F.last_day("month"))
-    met = ends.join(status.select("loan_id", "due_date", "amount_due", "settled_date_any"), "loan_id")
-    open_ = F.col("settled_date_any").isNull() | (F.col("settled_date_any") > F.col("month_end"))
-    over = open_ & (F.col("due_date") < F.col("month_end"))
-    per = met.groupBy("loan_id", "currency", "merchant_id", "month_end").agg(
-        F.coalesce(F.sum(F.when(open_, F.col("amount_due"))), F.lit(0)).cast("decimal(18,2)").alias("outstanding"),
-        F.min(F.when(over, F.col("due_date"))).alias("oldest_overdue"),
-    )
+    first, last = F.trunc("disbursed_date", "month"), F.trunc(F.lit(p.snapshot_date), "month")
+    spans = loans.select("loan_id", "currency", "merchant_id", first.alias("first"))
+    never = F.lit(OPEN_END)
+    plan = status.join(spans.select("loan_id", "first"), "loan_id")
+    plan = plan.select(
+        "loan_id", "first", "due_date", "amount_due", F.coalesce(F.trunc("settled_date_any", "month"), never).alias("closes"),
+        F.greatest("first", F.trunc(F.date_add("due_date", 1), "month")).alias("late"), "installment_number",
+    )
+    earlier = Window.partitionBy("loan_id").orderBy(F.asc_nulls_last("due_date"), "installment_number").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumns({"starts": F.greatest("late", F.max("closes").over(earlier)), "closes": F.greatest("first", "closes")})
+    zero = F.lit(0).cast("decimal(18,2)")
+    event = lambda month, amount, n, due, ends: F.struct(month.alias("month"), amount.cast("decimal(18,2)").alias("amount"), F.lit(n).alias("n"), due.cast("date").alias("due"), F.lit(ends).alias("ends"))
+    oldest = F.col("due_date").isNotNull() & (F.col("starts") < F.col("closes"))
+    events = plan.select("loan_id", F.explode(F.array_compact(F.array(
+        event(F.col("first"), F.col("amount_due"), 1, F.lit(None), False), event(F.col("closes"), -F.col("amount_due"), 0, F.lit(None), False),
+        F.when(oldest, event(F.col("starts"), zero, 0, F.col("due_date"), False)), F.when(oldest, event(F.col("closes"), zero, 0, F.lit(None), True)),
+    ))).alias("e")).select("loan_id", "e.*").where(F.col("month") <= last)
+    spine = spans.select("loan_id", "currency", "merchant_id", series(F.col("first"), last, "month").alias("month"))
+    rows = spine.unionByName(events, allowMissingColumns=True).groupBy("loan_id", "month").agg(
+        F.max("currency").alias("currency"), F.max("merchant_id").alias("merchant_id"), F.coalesce(F.sum("amount"), zero).alias("change"), F.coalesce(F.sum("n"), F.lit(0)).alias("opened"),
+        F.max("due").alias("due"), F.coalesce(F.bool_or("ends"), F.lit(False)).alias("ends"),
+    )
+    so_far = Window.partitionBy("loan_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last(F.when(F.col("due").isNotNull() | F.col("ends"), F.struct("due")), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"outstanding": F.sum("change").over(so_far).cast("decimal(18,2)"), "planned": F.sum("opened").over(so_far), "oldest_overdue": state["due"], "month_end": F.last_day("month")})
     dpd = F.coalesce(F.datediff("month_end", "oldest_overdue"), F.lit(0))
-    rated = fx_asof(per, calendar, "month_end", "rate")
+    rated = fx_asof(rows.where("planned > 0"), calendar, "month_end", "rate")
     return rated.select("loan_id", "merchant_id", "month_end", "outstanding", dpd.alias("dpd"), (dpd > 30).alias("is_par30"), usd("outstanding", "rate").alias("outstanding_usd"))
 
 

@@ -53,11 +53,41 @@ def dense_grid(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     return rows.crossJoin(calendar)
 
 
+def swept(rows: DataFrame, key: str, position: str, sides: Sequence[str]) -> DataFrame:
+    """Where intervals of two sides meet, by a sweep line: the overlap join of intervals that follow each other from zero without gaps.
+
+    ``rows`` are the ends of the intervals of both sides at ``position``, each with a payload in the column of its side and null in the other.
+    Going down a key's ends, the last one seen of each side is the interval that the piece below it belongs to. So every pair that
+    overlaps comes out once, with ``below`` and ``position`` as its piece and ``<side>_position`` as the ends of its intervals, and no other pair is ever made: rows stay
+    linear in the input. What only one side covers is left out. One window by key, no join.
+    """
+    down = Window.partitionBy(key).orderBy(F.desc(position))
+    seen = down.rowsBetween(Window.unboundedPreceding, 0)
+    below = F.coalesce(F.lead(position).over(down), F.lit(0).cast(rows.schema[position].dataType))
+    last = {s: F.last(F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("p"), F.col(position).alias("at"))), ignorenulls=True).over(seen) for s in sides}
+    met = rows.select(key, position, below.alias("below"), *[c.alias(f"_{s}") for s, c in last.items()])
+    met = met.where(F.col("below") < F.col(position))
+    for s in sides:
+        met = met.where(F.col(f"_{s}").isNotNull())
+    return met.select(key, position, "below", *[F.col(f"_{s}.p").alias(s) for s in sides], *[F.col(f"_{s}.at").alias(f"{s}_position") for s in sides])
+
+
 def overlapping_versions(versions: DataFrame, key: str, sk: str) -> DataFrame:
-    """Pairs of versions of a key whose validity overlaps."""
-    a = versions.select(key, F.col(sk).alias("sk_a"), F.col("valid_from").alias("from_a"), F.col("valid_to_effective").alias("to_a"))
-    b = versions.select(key, F.col(sk).alias("sk_b"), F.col("valid_from").alias("from_b"), F.col("valid_to_effective").alias("to_b"))
-    return a.join(b, key).where("sk_a < sk_b and from_a <= to_b and from_b <= to_a")
+    """Pairs of versions of a key whose validity overlaps.
+
+    By start, then name, a version overlaps an earlier one only if it starts no later than the latest end before it. Versions between two that
+    do not form a stretch with a number; only those of a stretch with more than one are paired, so versions without overlap cost one window
+    and no pairs, and a key's stretches meet by key and number.
+    """
+    order = Window.partitionBy(key).orderBy("valid_from", sk)
+    before = F.max("valid_to_effective").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("valid_from") > before, F.lit(True))
+    rows = versions.select(key, F.col(sk).alias("_sk"), "valid_from", "valid_to_effective", opens.cast("int").alias("_opens"))
+    rows = rows.withColumn("_stretch", F.sum("_opens").over(Window.partitionBy(key).orderBy("valid_from", "_sk").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_size", F.count("*").over(Window.partitionBy(key, "_stretch"))).where("_size > 1")
+    a = rows.select(key, "_stretch", F.col("_sk").alias("sk_a"), F.col("valid_from").alias("from_a"), F.col("valid_to_effective").alias("to_a"))
+    b = rows.select(key, "_stretch", F.col("_sk").alias("sk_b"), F.col("valid_from").alias("from_b"), F.col("valid_to_effective").alias("to_b"))
+    return a.join(b, [key, "_stretch"]).where("sk_a < sk_b and from_a <= to_b and from_b <= to_a").drop("_stretch")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str], tolerance: float = 0.005) -> DataFrame:
@@ -77,12 +107,69 @@ def rollup_totals(df: DataFrame, key: str, aggregates: Sequence[Column], total:
     return rows.withColumn(key, F.when(F.col("_g") == 1, total).otherwise(F.coalesce(F.col(key).cast("string"), F.lit("(null)")))).drop("_g")
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+#: Values of one group that a task may order; groups of more are narrowed first. Pieces a range is cut into each time, and groups sent to all tasks.
+HELD = 100_000
+PIECES = 64
+SENT_GROUPS = 10_000
+
+
+def at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], held: int = HELD, sent: int = SENT_GROUPS) -> DataFrame:
+    """``keys, n, max`` and, for each name, the value at that rank of its group, from one; ``ranks`` are columns over ``n``. Nulls do not count.
+
+    Selection by counting ranges, so no task orders a group: each target keeps the range of values that holds its rank and the number
+    of rows below. While a range has more than ``held`` rows and more than one value, it is cut at approximate quantiles, the rows strictly between two cuts
+    and those equal to a cut are counted apart, and the piece with the rank is kept; each turn leaves about a PIECES-th.
+    Counts are summed in every task before the shuffle. Only ranges of at most ``held`` rows are ordered. Ranges are sent to all tasks if there are at most
+    ``sent`` of them, else rows are joined to them by group.
+    """
+    rows = written(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), "ranked")
+    kind = rows.schema["_v"].dataType
+    groups = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("max")), "groups")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    targets = groups.select(*keys, wanted.alias("t"), F.col("_low").alias("low"), F.col("max").alias("high"), F.col("n").alias("inside")).select(*keys, "t.*", "low", "high", "inside", F.lit(0).cast("long").alias("below"))
+    few = groups.count() * len(ranks) <= sent
+    same = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in keys]
+
+    def met(to: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for c in same:
+            on = on & c
+        t = F.broadcast(to.alias("_t")) if few else to.alias("_t")
+        return rows.alias("_r").join(t, on & F.col("_v").between(F.col("low"), F.col("high"))).select(*[f"_t.{c}" for c in to.columns], "_v")
+
+    while True:
+        targets = written(targets, "targets")
+        wide = targets.where((F.col("inside") > held) & (F.col("low") < F.col("high")))
+        if wide.isEmpty():
+            break
+        cuts = F.percentile_approx("_v", [i / PIECES for i in range(PIECES + 1)], 10_000)
+        cut = written(met(wide).groupBy(*keys, "name", "rank", "below").agg(F.array_distinct(cuts).alias("cuts"), F.min("_v").alias("low"), F.max("_v").alias("high")), "cuts")
+        piece = F.expr("size(filter(cuts, c -> c < _v)) + size(filter(cuts, c -> c <= _v))")
+        counted = met(cut).groupBy(*keys, "name", "rank", "below", piece.alias("_p")).agg(F.count("*").alias("inside"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        up = Window.partitionBy(*keys, "name").orderBy("_p")
+        before = F.coalesce(F.sum("inside").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("below")
+        narrowed = counted.withColumn("below", before).where("below < rank and rank <= below + inside")
+        targets = targets.where((F.col("inside") <= held) | (F.col("low") == F.col("high"))).unionByName(narrowed.select(*targets.columns))
+    single = targets.where("low = high").select(*keys, "name", F.col("low").cast(kind).alias("_v"))
+    ordered = met(targets.where("low < high")).withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "name").orderBy("_v")) + F.col("below"))
+    found = single.unionByName(ordered.where("_at = rank").select(*keys, "name", "_v"))
+    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return groups.alias("g").join(found.alias("f"), on).select(*[f"g.{k}" for k in keys], "g.n", "g.max", *[f"f.{n}" for n in ranks])
+
+
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], held: int = HELD) -> DataFrame:
     """Nearest-rank percentiles: the value at rank ceil(share * n), counting from one; ``max`` at share 1."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    picks = [F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.col("_n") * s)), F.col(value))).alias(n) for n, s in shares.items()]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *picks)
+    ranks = {f"_{name}": F.greatest(F.lit(1), F.ceil(F.col("n") * share)) for name, share in shares.items()}
+    return at_ranks(df, keys, value, ranks, held).select(*keys, "n", *[F.col(f"_{name}").alias(name) for name in shares])
+
+
+def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "med", held: int = HELD) -> DataFrame:
+    """Exact median of each group: the mean of the middle value, or of the middle two."""
+    found = at_ranks(df, keys, value, {"_a": F.floor((F.col("n") + 1) / 2), "_b": F.floor(F.col("n") / 2) + 1}, held)
+    return found.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))
 
 
 def in_ranges(df: DataFrame, order: Column, parts: int = 64) -> DataFrame:

@@ -293,8 +293,9 @@ def _(m: Models) -> DataFrame:
 @key("group_median", "select source_system, median(amount_raw::double) as med, median(amount_raw::double) / (select median(amount_raw::double) from fx_payments where source_system = 'core_v2' and status = 'SETTLED') as ratio from fx_payments where status = 'SETTLED' group by 1")
 def _(m: Models) -> DataFrame:
     settled = m.fx_payments.where("status = 'SETTLED'").withColumn("a", F.col("amount_raw").cast("double"))
-    base = settled.where("source_system = 'core_v2'").agg(F.median("a").alias("b"))
-    return settled.groupBy("source_system").agg(F.median("a").alias("med")).crossJoin(base).select("source_system", "med", (F.col("med") / F.col("b")).alias("ratio"))
+    medians = R.median(settled, ["source_system"], "a")
+    base = medians.where("source_system = 'core_v2'").select(F.col("med").alias("b"))
+    return medians.join(base, how="left").select("source_system", "med", (F.col("med") / F.col("b")).alias("ratio"))
 
 
 @key("latency_percentiles", """select event_type, count(*) as n, max(value) filter (where r = greatest(1, ceil(0.5 * c))) as p50, max(value) filter (where r = greatest(1, ceil(0.95 * c))) as p95, max(value) as max
