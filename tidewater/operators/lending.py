@@ -18,35 +18,46 @@ OPEN_END = datetime.date(9999, 12, 31)
 _D = "decimal(38,2)"
 
 
+def cdc_partials(events: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
+    """What a set of events tells of each application, in a form that adds up: maxima by each competing order, and counts."""
+    real = F.when(F.col("customer_id_raw") != p.placeholder_id, F.col("customer_id_raw"))
+    rank = op_rank(F.col("cdc_op"))
+    told = ["status", "merchant_id", "requested_amount"]
+    by_event = F.struct("event_at_utc", "ingested_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk", *told)
+    by_ingest = F.struct("ingested_at_utc", "event_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk", *told)
+    decided = F.when((F.col("cdc_op") != "D") & F.col("status").isin("APPROVED", "REJECTED"), F.col("event_at_utc"))
+    return events.groupBy("application_id").agg(
+        F.max(by_event).alias("by_event"), F.max(by_ingest).alias("by_ingest"), F.max(real).alias("customer_id"), F.min("event_at_utc").alias("created_at_utc"),
+        F.max(decided).alias("decided_at_utc"), F.bool_or(F.col("cdc_op") == "D").alias("is_deleted"), F.count("*").alias("n_events"),
+    )
+
+
+def cdc_merged(partials: DataFrame) -> DataFrame:
+    """Partials of several sets of events as those of all of them."""
+    return partials.groupBy("application_id").agg(
+        *[F.max(c).alias(c) for c in ("by_event", "by_ingest", "customer_id")], F.min("created_at_utc").alias("created_at_utc"), F.max("decided_at_utc").alias("decided_at_utc"),
+        F.bool_or("is_deleted").alias("is_deleted"), F.sum("n_events").alias("n_events"),
+    )
+
+
+def cdc_resolved(partials: DataFrame) -> DataFrame:
+    """Final state of each application."""
+    status = F.col("by_event.status")
+    return partials.select(
+        "application_id", "customer_id", F.col("by_event.merchant_id").alias("merchant_id"), status.alias("status"), F.col("by_event.requested_amount").alias("requested_amount"),
+        "created_at_utc", "decided_at_utc", "is_deleted", "n_events", (~F.col("is_deleted")).alias("is_valid"),
+        (~F.col("is_deleted") & (status == "APPROVED")).alias("is_approved"), (status != F.col("by_ingest.status")).alias("is_out_of_order"),
+        F.col("customer_id").isNull().alias("has_unresolved_customer"),
+    )
+
+
 def cdc_latest_state(events: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
     """Final state per application: event time, then ingest time, then op I < U < D, then a real customer before the placeholder.
 
     One aggregation by key: each competing order is a maximum over a struct, so no self-join and no window is needed. Any
     delete invalidates the application; a state that differs under ingest order marks it out of order.
     """
-    real = F.when(F.col("customer_id_raw") != p.placeholder_id, F.col("customer_id_raw"))
-    rank = op_rank(F.col("cdc_op"))
-    by_event = F.struct("event_at_utc", "ingested_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk")
-    by_ingest = F.struct("ingested_at_utc", "event_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk")
-    decided = F.when((F.col("cdc_op") != "D") & F.col("status").isin("APPROVED", "REJECTED"), F.col("event_at_utc"))
-    state = events.groupBy("application_id").agg(
-        F.max_by("status", by_event).alias("status"),
-        F.max_by("status", by_ingest).alias("ingest_status"),
-        F.max_by("merchant_id", by_event).alias("merchant_id"),
-        F.max_by("requested_amount", by_event).alias("requested_amount"),
-        F.max(real).alias("customer_id"),
-        F.min("event_at_utc").alias("created_at_utc"),
-        F.max(decided).alias("decided_at_utc"),
-        F.bool_or(F.col("cdc_op") == "D").alias("is_deleted"),
-        F.count("*").alias("n_events"),
-    )
-    return state.select(
-        "application_id", "customer_id", "merchant_id", "status", "requested_amount", "created_at_utc", "decided_at_utc", "is_deleted", "n_events",
-        (~F.col("is_deleted")).alias("is_valid"),
-        (~F.col("is_deleted") & (F.col("status") == "APPROVED")).alias("is_approved"),
-        (F.col("status") != F.col("ingest_status")).alias("is_out_of_order"),
-        F.col("customer_id").isNull().alias("has_unresolved_customer"),
-    )
+    return cdc_resolved(cdc_partials(events, p))
 
 
 def loan_validity(loans: DataFrame, applications: DataFrame) -> DataFrame:

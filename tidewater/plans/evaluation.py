@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import evaluate as E
-from tidewater.plans.lending import Models
+from tidewater.plans.lending import Models, models
 from tidewater.plans.messages import MADE as _MESSAGES  # noqa: F401  its named expressions are used below
 from tidewater.sources.oracle import NAMED, statement
 from tidewater.streaming import streams
@@ -75,20 +75,17 @@ def _(m: Models) -> DataFrame:
 @key("stream_cdc_upsert", "select application_id, status, customer_id, is_deleted, is_out_of_order, n_events from d_applications")
 def _(m: Models) -> DataFrame:
     upsert = streams.Upsert(m.spark)
-    stream = streams.as_stream(m.spark, m.fx_cdc)
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{upsert.root}/position").trigger(availableNow=True).start().awaitTermination()
+    streams.drain(streams.as_stream(m.spark, m.fx_cdc), upsert)
     return upsert.state().select("application_id", "status", "customer_id", "is_deleted", "is_out_of_order", "n_events")
 
 
 @key("incremental_fifo", "select loan_id, payment_id, installment_number, allocated from d_allocation")
 def _(m: Models) -> DataFrame:
-    """Late payments (every seventh loan's last) come in after a first allocation without them."""
-    from tidewater.operators.lending import fifo_allocation
+    """Payments as a stream of files in random order; a loan's payments come in several batches."""
+    laid = streams.FifoStream(m.spark, m.installments)
+    streams.drain(streams.as_stream(m.spark, m.payments.select("loan_id", "payment_id", "paid_at_utc", "paid_date", "amount")), laid)
+    return laid.allocation().select("loan_id", "payment_id", "installment_number", "allocated")
 
-    late = m.payments.where("loan_id % 7 = 0 and payment_seq > 1")
-    before = fifo_allocation(m.payments.where("not (loan_id % 7 = 0 and payment_seq > 1)"), m.fx_installments)
-    return streams.incremental_fifo(m.payments, m.fx_installments, before, late).select("loan_id", "payment_id", "installment_number", "allocated")
 
-
-QUERIES = {n: (lambda spark, sf_dir, build=build: build(Models(spark, sf_dir))) for n, (build, _) in MADE.items()}
+QUERIES = {n: (lambda spark, sf_dir, build=build: build(models(spark, sf_dir))) for n, (build, _) in MADE.items()}
 ORACLES = {n: statement(sql) for n, (_, sql) in MADE.items()}

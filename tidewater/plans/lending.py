@@ -13,7 +13,7 @@ from tidewater.operators import relational as R
 from tidewater.plans.params import PARAMS
 from tidewater.sources.fixtures import TABLES, view
 from tidewater.sources.oracle import NAMED, statement
-from tidewater.sources.shared import shared_dir, written
+from tidewater.sources.shared import drop_path, exists, new_path, shared_dir, written
 
 # Spark side -------------------------------------------------------------------------------------------------------
 
@@ -26,33 +26,57 @@ class Models:
     """The models of one input folder, each built once: tables where others share them, else lazy plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made, self._paths = spark, sf_dir, {}, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
             made = BUILD[name](self) if name in BUILD else view(self.spark, self.sf_dir, name, lambda other: getattr(self, other))
-            self._made[name] = written(made, name) if name in WRITTEN else made
+            if name in WRITTEN:
+                self._paths[name] = new_path(self.spark, name)
+                made = written(made, name, self._paths[name])
+            self._made[name] = made
         return self._made[name]
 
+    def _whole(self) -> bool:
+        """Whether all tables that were written are still there."""
+        return all(exists(self.spark, p) for p in self._paths.values())
+
+    def _drop(self) -> None:
+        for path in self._paths.values():
+            drop_path(self.spark, path)
+
 
 _BUILT: dict[tuple, Models] = {}
 
 
-def models(spark: SparkSession, sf_dir: str) -> Models:
-    """The models of a folder, materialised once a session: queries read the same tables until a given table changes."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    stamps = []
+def _stamps(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, time and size of every file of the given tables."""
+    out = []
     for name in TABLES:
-        path = fs_path(f"{sf_dir}/{name}.parquet")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            stamps += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)]
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(stamps)))
+        files = fs.listFiles(path, True) if fs.exists(path) else None
+        while files and files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return tuple(sorted(out))
+
+
+def models(spark: SparkSession, sf_dir: str) -> Models:
+    """The models of a folder, materialised once a session: queries read the same tables until a given table changes or theirs are gone.
+
+    Tables of inputs that have changed are deleted.
+    """
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, _stamps(spark, sf_dir))
+    if key in _BUILT and not _BUILT[key]._whole():
+        _BUILT.pop(key)._drop()
     if key not in _BUILT:
         for old in [k for k in _BUILT if k[0] != key[0] or k[2] == sf_dir]:  # ended sessions, changed inputs
-            del _BUILT[old]
+            gone = _BUILT.pop(old)
+            if old[0] == key[0]:
+                gone._drop()
         _BUILT[key] = Models(spark, sf_dir)
     return _BUILT[key]
 

@@ -40,3 +40,25 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What stands in a folder, sorted; nothing if there is none."""
+    fs, target = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a whole written table its name in one step; false if the name is taken."""
+    fs, end = _file_system(spark, target)
+    return not fs.exists(end) and fs.rename(_file_system(spark, source)[1], end)

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from tidewater.functions.scalar import canonical_tokens, content_hash
 from tidewater.operators import messages as M
-from tidewater.operators.lending import cdc_latest_state, fifo_allocation
-from tidewater.sources.shared import new_path
+from tidewater.operators.lending import cdc_merged, cdc_partials, cdc_resolved, fifo_allocation
+from tidewater.sources.shared import names, new_path
+from tidewater.streaming.store import BucketStore
 
 
 def annotate(messages: DataFrame) -> DataFrame:
@@ -41,37 +42,72 @@ def run(stream: DataFrame, name: str = "sink") -> DataFrame:
 
 
 class Upsert:
-    """``foreachBatch`` that re-resolves the keys of a batch from their events in the log.
+    """``foreachBatch`` that keeps the resolved state of each application over a stream of events in any order.
 
-    The event log and the state are kept in buckets of the key, and a batch reads only the buckets that its keys are in. A
-    batch is written under its own id, so one that runs again replaces itself and the result is the same; a key's newest
-    state is that of the last batch that held it.
+    The store holds one row of partials for each application: what its events so far tell in each competing order, so a batch is reduced to
+    partials and merged into those of the buckets it touches, and no event is kept or read again. An event may come as late as it likes unless ``lookback``
+    (an interval) is given: then one older than the newest event of earlier batches less the lookback is put into ``late`` and not applied.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 8) -> None:
-        self.spark, self.buckets, self.root = spark, buckets, new_path(spark, "upsert")
+    def __init__(self, spark: SparkSession, buckets: int = 8, lookback: str | None = None, root: str | None = None) -> None:
+        self.spark, self.lookback = spark, lookback
+        self.events = T._parse_datatype_string(
+            "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz"
+        )
+        schemas = {"partials": cdc_partials(spark.createDataFrame([], self.events)).schema}
+        self.store = BucketStore(spark, "application_id", schemas, buckets, root)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64("application_id"), F.lit(self.buckets)).cast("int")
-        buckets = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``self.buckets``
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/events/batch={batch_id}")
-        schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
-        log = batch.sparkSession.read.schema(schema).option("basePath", f"{self.root}/events").parquet(f"{self.root}/events").where(F.col("bucket").isin(buckets))
-        touched = batch.select("application_id").distinct()
-        again = log.join(touched, "application_id", "left_semi")
-        state = cdc_latest_state(again).withColumn("bucket", bucket)
-        state.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/state/batch={batch_id}")
+        if self.store.known(batch_id):
+            return
+        batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.events])
+        if self.lookback and (newest := self.store.read("partials").agg(F.max("by_event.event_at_utc")).first()[0]):
+            late = F.col("event_at_utc") < F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {self.lookback}")
+            batch.where(late).write.mode("overwrite").parquet(f"{self.store.root}/late/batch={batch_id}")
+            batch = batch.where(~F.coalesce(late, F.lit(False)))
+        touched = self.store.touched(batch)
+        merged = cdc_merged(self.store.read("partials", touched).unionByName(cdc_partials(batch)))
+        self.store.commit(batch_id, {"partials": merged}, touched)
+
+    def late(self) -> DataFrame:
+        """Events that came too late to be applied."""
+        folder = f"{self.store.root}/late"
+        return self.spark.read.schema(self.events).parquet(f"{folder}/*") if names(self.spark, folder) else self.spark.createDataFrame([], self.events)
 
     def state(self) -> DataFrame:
-        """The newest state of each key: that of the last batch that touched it."""
-        rows = self.spark.read.option("basePath", f"{self.root}/state").parquet(f"{self.root}/state")
-        columns = [c for c in rows.columns if c not in ("bucket", "batch")]
-        newest = rows.groupBy("application_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
-        return newest.select("s.*")
-
-
-def incremental_fifo(payments: DataFrame, installments: DataFrame, before: DataFrame, changed: DataFrame) -> DataFrame:
-    """The allocation after some loans' payments changed: those loans are laid out anew, all others kept."""
-    loans = changed.select("loan_id").distinct()
-    again = fifo_allocation(payments.join(loans, "loan_id", "left_semi"), installments.join(loans, "loan_id", "left_semi"))
-    return before.join(loans, "loan_id", "left_anti").unionByName(again)
+        return cdc_resolved(self.store.read("partials"))
+
+
+class FifoStream:
+    """``foreachBatch`` that keeps the allocation of payments over a stream of them, in any order of files.
+
+    Plan, payments so far and allocation stand in the same buckets of loans. A batch lays out anew the loans it has payments of, from the buckets they
+    are in; other loans of those buckets are carried over and other buckets are not read. A payment that comes again under its id counts once.
+    """
+
+    def __init__(self, spark: SparkSession, installments: DataFrame, buckets: int = 8, root: str | None = None) -> None:
+        self.spark = spark
+        self.money = T._parse_datatype_string("loan_id long, payment_id long, paid_at_utc timestamp_ntz, paid_date date, amount decimal(18,2)")
+        plan = T._parse_datatype_string("loan_id long, installment_number int, due_date date, amount_due decimal(18,2)")
+        laid = fifo_allocation(spark.createDataFrame([], self.money), spark.createDataFrame([], plan)).schema
+        self.store = BucketStore(spark, "loan_id", {"plan": plan, "payments": self.money, "allocation": laid}, buckets, root)
+        self.store.commit(-1, {"plan": installments}, list(range(buckets)))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.store.known(batch_id):
+            return
+        batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.money])
+        touched = self.store.touched(batch)
+        loans = batch.select("loan_id").distinct()
+        payments = self.store.read("payments", touched).unionByName(batch).dropDuplicates(["loan_id", "payment_id"])
+        again = fifo_allocation(payments.join(loans, "loan_id", "left_semi"), self.store.read("plan", touched).join(loans, "loan_id", "left_semi"))
+        kept = self.store.read("allocation", touched).join(loans, "loan_id", "left_anti")
+        self.store.commit(batch_id, {"payments": payments, "allocation": kept.unionByName(again)}, touched)
+
+    def allocation(self) -> DataFrame:
+        return self.store.read("allocation")
+
+
+def drain(stream: DataFrame, each) -> None:
+    """Send a stream's batches to ``each`` until its input ends."""
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{each.store.root}-position").trigger(availableNow=True).start().awaitTermination()
