@@ -100,3 +100,27 @@ def test_overlaps_by_running_maximum(spark):
     found = relational.overlapping_versions(spark.createDataFrame(rows, "k int, sk string, valid_from date, valid_to_effective date"), "k", "sk")
     expected = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3])
     assert sorted((r["k"], r["sk_a"], r["sk_b"]) for r in found.collect()) == expected and len(expected) > 20
+
+
+def test_layers_meet_by_loan_without_a_shuffle(spark):
+    """Over tables in buckets of the loan, FIFO, status and snapshot deal no rows anew and the series once; sides of any size, so no broadcast either."""
+    from tidewater.plans import lending as plans
+
+    m = plans.models(spark, "/root/testdata/sf0.001")
+    written = {n: getattr(m, n) for n in plans.BY_LOAN}
+    assert {spark.catalog.getTable(str(n)).tableType for n in [t.name for t in spark.catalog.listTables()] if n.startswith("tidewater_")} == {"EXTERNAL"}
+    few = lending.fx_daily_calendar(spark.createDataFrame([(dt.date(1998, 1, 1), "COP", D(1))], "rate_date date, currency string, units_per_usd decimal(18,6)")).limit(1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = {
+            "fifo": lending.fifo_allocation(written["payments"], written["fx_installments"]),
+            "status": lending.installment_status(written["allocation"], written["fx_installments"]),
+            "installments": written["fx_installments"].join(written["loans"].select("loan_id"), "loan_id", "left_semi"),
+            "first payments": lending.fpd30(written["status"]),
+        }
+        counts = {n: _plan_of(df).count("Exchange hashpartitioning") for n, df in made.items()}
+        rated = {"series": lending.month_end_series(written["status"], written["loans"], few), "snapshot": lending.delinquency_snapshot(written["status"], written["payments"], written["loans"], few)}
+        by_loan = {n: _plan_of(df).count("Exchange hashpartitioning(loan_id") for n, df in rated.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counts == dict.fromkeys(made, 0) and by_loan == {"series": 1, "snapshot": 0}

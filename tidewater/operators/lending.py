@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import business_date, clean_text, dpd_bucket, normalize_key, op_rank, parse_number, scale_minor_units, surrogate_key, trailing_id
-from tidewater.operators.relational import dense_grid, forward_fill, point_in_time, running_sum, series, swept
+from tidewater.operators.relational import as_rows, dense_grid, forward_fill, point_in_time, running_sum, series, swept
 from tidewater.plans.params import PARAMS, EngineParams
 
 OPEN_END = datetime.date(9999, 12, 31)
@@ -129,26 +129,42 @@ def fifo_allocation(payments: DataFrame, installments: DataFrame) -> DataFrame:
     Money and debt are running sums in exact decimals, each in its own order within a loan; a sweep over the ends of both gives each
     payment's share of each installment, in rows linear in payments and installments.
     """
-    money = payments.where("amount > 0").select("loan_id", F.lit(0).alias("side"), F.col("paid_at_utc").cast("timestamp_ntz").alias("at"), F.col("payment_id").cast("long").alias("id"), F.col("amount").cast(_D).alias("amount"), F.struct("payment_id", "paid_at_utc", "paid_date").alias("money"))
-    debt = installments.where("amount_due > 0").select("loan_id", F.lit(1).alias("side"), F.col("due_date").cast("timestamp_ntz").alias("at"), F.col("installment_number").cast("long").alias("id"), F.col("amount_due").cast(_D).alias("amount"), F.struct("installment_number").alias("debt"))
-    both = money.unionByName(debt, allowMissingColumns=True).repartition("loan_id")  # both windows, and the sweep, need no other shuffle
-    placed = running_sum(both, ["loan_id", "side"], [F.col("at"), F.col("id")], "amount", "position")
+    no_money, no_debt = F.lit(None).cast("struct<payment_id:long,paid_at_utc:timestamp_ntz,paid_date:date>"), F.lit(None).cast("int")
+    paid = F.struct(F.col("payment_id").cast("long").alias("payment_id"), F.col("paid_at_utc").cast("timestamp_ntz").alias("paid_at_utc"), F.col("paid_date").alias("paid_date"))
+    money = as_rows(
+        payments.where("amount > 0"), "loan_id", side=F.lit(0), at=F.col("paid_at_utc").cast("timestamp_ntz"), id=F.col("payment_id").cast("long"),
+        paid=F.col("amount").cast(_D), owed=F.lit(None).cast(_D), money=paid, debt=no_debt,
+    )
+    debt = as_rows(
+        installments.where("amount_due > 0"), "loan_id", side=F.lit(1), at=F.col("due_date").cast("timestamp_ntz"), id=F.col("installment_number").cast("long"),
+        paid=F.lit(None).cast(_D), owed=F.col("amount_due").cast(_D), money=no_money, debt=F.col("installment_number").cast("int"),
+    )
+    so_far = Window.partitionBy("loan_id").orderBy("side", "at", "id").rowsBetween(Window.unboundedPreceding, 0)  # money before debt; each adds up its own
+    placed = money.unionByName(debt).withColumns({"_paid": F.sum("paid").over(so_far), "_owed": F.sum("owed").over(so_far)})
+    placed = placed.withColumn("position", F.when(F.col("side") == 0, F.col("_paid")).otherwise(F.col("_owed")).cast(_D))
     met = swept(placed, "loan_id", "position", ["money", "debt"])
     part = (F.col("position") - F.col("below")).cast("decimal(18,2)")
-    return met.select("loan_id", "money.payment_id", "debt.installment_number", "money.paid_at_utc", "money.paid_date", part.alias("allocated"), (F.col("money_position") >= F.col("debt_position")).alias("completes"))
+    return met.select("loan_id", "money.payment_id", F.col("debt").alias("installment_number"), "money.paid_at_utc", "money.paid_date", part.alias("allocated"), (F.col("money_position") >= F.col("debt_position")).alias("completes"))
 
 
 def installment_status(allocation: DataFrame, installments: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
-    """Paid, remaining, settled, due, overdue and days past due as of the snapshot; ``_any`` columns ignore the cut."""
-    cut = F.col("paid_date") <= F.lit(p.snapshot_date)
-    paid = allocation.groupBy("loan_id", "installment_number").agg(
-        F.coalesce(F.sum(F.when(cut, F.col("allocated"))), F.lit(0)).cast("decimal(18,2)").alias("paid"),
-        F.sum("allocated").cast("decimal(18,2)").alias("paid_any"),
-        F.min(F.when(F.col("completes"), F.col("paid_date"))).alias("settled_date_any"),
-    )
-    rows = installments.select("loan_id", "installment_number", "due_date", "amount_due").join(paid, ["loan_id", "installment_number"], "left")
-    zero = F.lit(0).cast("decimal(18,2)")
-    rows = rows.withColumns({"paid": F.coalesce("paid", zero), "paid_any": F.coalesce("paid_any", zero)})
+    """Paid, remaining, settled, due, overdue and days past due as of the snapshot; ``_any`` columns ignore the cut.
+
+    Plan and allocation meet in one aggregation by installment, so tables in buckets of the loan need neither join nor shuffle.
+    """
+    cut, zero = F.col("paid_date") <= F.lit(p.snapshot_date), F.lit(0).cast("decimal(18,2)")
+    none = lambda kind: F.lit(None).cast(kind)
+    plan = as_rows(installments, "loan_id", installment_number=F.col("installment_number").cast("int"), due_date=F.col("due_date"), amount_due=F.col("amount_due").cast("decimal(18,2)"), planned=F.lit(1),
+                   paid_date=none("date"), allocated=none("decimal(18,2)"), completes=none("boolean"))
+    laid = as_rows(allocation, "loan_id", installment_number=F.col("installment_number").cast("int"), due_date=none("date"), amount_due=none("decimal(18,2)"), planned=none("int"),
+                   paid_date=F.col("paid_date"), allocated=F.col("allocated"), completes=F.col("completes"))
+    parts = plan.unionByName(laid)
+    rows = parts.groupBy("loan_id", "installment_number").agg(
+        F.max("due_date").alias("due_date"), F.max("amount_due").alias("amount_due"), F.count("planned").alias("planned"),
+        F.coalesce(F.sum(F.when(cut, F.col("allocated"))), zero).cast("decimal(18,2)").alias("paid"),
+        F.coalesce(F.sum("allocated"), zero).cast("decimal(18,2)").alias("paid_any"), F.min(F.when(F.col("completes"), F.col("paid_date"))).alias("settled_date_any"),
+    )
+    rows = rows.where("planned > 0").drop("planned")
     rows = rows.withColumn("settled_date", F.when(F.col("settled_date_any") <= F.lit(p.snapshot_date), F.col("settled_date_any")))
     settled = F.col("settled_date").isNotNull()
     rows = rows.withColumns({
@@ -210,14 +226,23 @@ def month_end_series(status: DataFrame, loans: DataFrame, calendar: DataFrame, p
     earlier = Window.partitionBy("loan_id").orderBy(F.asc_nulls_last("due_date"), "installment_number").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumns({"starts": F.greatest("late", F.max("closes").over(earlier)), "closes": F.greatest("first", "closes")})
     zero = F.lit(0).cast("decimal(18,2)")
-    event = lambda month, amount, n, due, ends: F.struct(month.alias("month"), amount.cast("decimal(18,2)").alias("amount"), F.lit(n).alias("n"), due.cast("date").alias("due"), F.lit(ends).alias("ends"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(month: Column, amount: Column = zero, n: int = 0, due: Column | None = None, ends: bool = False, currency: Column | None = None, merchant: Column | None = None) -> Column:
+        """One row of the series: a month with what changes in it, or with the loan's own columns."""
+        return F.struct(
+            month.alias("month"), amount.cast("decimal(18,2)").alias("amount"), F.lit(n).alias("n"), (none("date") if due is None else due).alias("due"), F.lit(ends).alias("ends"),
+            (none("string") if currency is None else currency).alias("currency"), (none("long") if merchant is None else merchant.cast("long")).alias("merchant_id"),
+        )
+
     oldest = F.col("due_date").isNotNull() & (F.col("starts") < F.col("closes"))
-    events = plan.select("loan_id", F.explode(F.array_compact(F.array(
-        event(F.col("first"), F.col("amount_due"), 1, F.lit(None), False), event(F.col("closes"), -F.col("amount_due"), 0, F.lit(None), False),
-        F.when(oldest, event(F.col("starts"), zero, 0, F.col("due_date"), False)), F.when(oldest, event(F.col("closes"), zero, 0, F.lit(None), True)),
-    ))).alias("e")).select("loan_id", "e.*").where(F.col("month") <= last)
-    spine = spans.select("loan_id", "currency", "merchant_id", series(F.col("first"), last, "month").alias("month"))
-    rows = spine.unionByName(events, allowMissingColumns=True).groupBy("loan_id", "month").agg(
+    events = plan.select("loan_id", F.inline(F.filter(F.array(
+        row(F.col("first"), F.col("amount_due"), 1), row(F.col("closes"), -F.col("amount_due")),
+        row(F.when(oldest, F.col("starts")), due=F.col("due_date")), row(F.when(oldest, F.col("closes")), ends=True),
+    ), lambda e: e["month"] <= last)))
+    months = F.when(F.col("first") <= last, F.sequence("first", last, F.expr("interval 1 month")))
+    spine = spans.select("loan_id", F.inline(F.transform(months, lambda m: row(m, currency=F.col("currency"), merchant=F.col("merchant_id")))))
+    rows = spine.unionByName(events).repartition("loan_id").groupBy("loan_id", "month").agg(
         F.max("currency").alias("currency"), F.max("merchant_id").alias("merchant_id"), F.coalesce(F.sum("amount"), zero).alias("change"), F.coalesce(F.sum("n"), F.lit(0)).alias("opened"),
         F.max("due").alias("due"), F.coalesce(F.bool_or("ends"), F.lit(False)).alias("ends"),
     )

@@ -15,6 +15,11 @@ def typed_distinct(df: DataFrame, **types: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in types.items()]).distinct()
 
 
+def as_rows(df: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """``key`` and the given columns, made by a generator: a union of such rows stays dealt by the key if its sides are, which Spark doesn't see past a projection."""
+    return df.select(key, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key under ``order``; for a rank of one Spark keeps only the first of each key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -13,13 +13,15 @@ from tidewater.operators import relational as R
 from tidewater.plans.params import PARAMS
 from tidewater.sources.fixtures import TABLES, view
 from tidewater.sources.oracle import NAMED, statement
-from tidewater.sources.shared import drop_path, exists, new_path, shared_dir, written
+from tidewater.sources.shared import drop_path, exists, new_path, shared_dir, written, written_in_buckets
 
 # Spark side -------------------------------------------------------------------------------------------------------
 
 
 #: Models that several others read: each is computed once and written as a table, so its sources are read once.
-WRITTEN = ("fx_loans", "fx_installments", "applications", "loans", "calendar", "payments", "allocation", "status", "facts")
+WRITTEN = ("applications", "calendar")
+#: Those that meet by loan: tables in buckets of it, so that what is built on them needs no other shuffle by loan.
+BY_LOAN = ("fx_loans", "fx_installments", "loans", "payments", "allocation", "status", "facts")
 
 
 class Models:
@@ -33,9 +35,9 @@ class Models:
             raise AttributeError(name)
         if name not in self._made:
             made = BUILD[name](self) if name in BUILD else view(self.spark, self.sf_dir, name, lambda other: getattr(self, other))
-            if name in WRITTEN:
+            if name in (*WRITTEN, *BY_LOAN):
                 self._paths[name] = new_path(self.spark, name)
-                made = written(made, name, self._paths[name])
+                made = written_in_buckets(made, name, "loan_id", self._paths[name]) if name in BY_LOAN else written(made, name, self._paths[name])
             self._made[name] = made
         return self._made[name]
 

@@ -6,6 +6,7 @@ executors that made it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,6 +38,20 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, name: str, key: str, path: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder in buckets of ``key``, sorted by it within each, with its size and number of rows in the catalog.
+
+    There are as many buckets as shuffle partitions, one file each, so tables of one session that share a key are joined, grouped and windowed by it
+    without another shuffle. Rows that are dealt by the key already are not dealt again.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), "tidewater_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    spark.sql(f"analyze table {table} compute statistics")
+    return spark.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
