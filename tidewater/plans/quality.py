@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from tidewater.operators import relational as R
 from tidewater.plans.lending import MADE as _LENDING
 from tidewater.plans.lending import Models, models
 from tidewater.plans.params import PARAMS
-from tidewater.sources.fixtures import view
 from tidewater.sources.oracle import NAMED, statement
 
 MADE: dict = {}
@@ -29,13 +30,14 @@ def key(name: str, sql: str):
 
 key("dq_not_null", "select merchant_id, valid_from from fx_merchants where category is null")(lambda m: Q.not_null(m.fx_merchants, "category").select("merchant_id", "valid_from"))
 key("dq_unique", "select document_number, count(*) as n from fx_customers group by 1 having count(*) > 1")(lambda m: Q.not_unique(m.fx_customers, ["document_number"]))
-key("dq_unique_combination", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")(lambda m: Q.not_unique(view(m.spark, m.sf_dir, "orders").sparkSession.read.parquet(f"{m.sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]))
+key("dq_unique_combination", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")(lambda m: Q.not_unique(m.lineitem, ["l_orderkey", "l_linenumber"]))
 key("dq_accepted_values", "select payment_id, source_system from fx_payments where source_system not in ('core_v2')")(lambda m: Q.not_accepted(m.fx_payments, "source_system", ["core_v2"]).select("payment_id", "source_system"))
 key("dq_relationships", "select loan_id, application_id from fx_loans where application_id not in (select application_id from d_applications)")(lambda m: Q.orphans(m.fx_loans, "application_id", m.applications, "application_id").select("loan_id", "application_id"))
 key("dq_accepted_range", "select loan_id, principal from fx_loans where principal < 2000 or principal > 400000")(lambda m: Q.out_of_range(m.fx_loans, "principal", 2000, 400000).select("loan_id", "principal"))
 key("dq_expression", "select loan_id, dpd from d_snapshot where not (dpd <= 30 or n_overdue > 1)")(lambda m: Q.not_true(m.snapshot, (F.col("dpd") <= 30) | (F.col("n_overdue") > 1)).select("loan_id", "dpd"))
 key("dq_alloc_le_installment", "select loan_id, installment_number from (select loan_id, installment_number, sum(allocated) as s from d_allocation group by 1, 2) a join d_installments using (loan_id, installment_number) where s > amount_due + 0.005")(lambda m: Q.allocation_excess(m.allocation, m.installments, ["loan_id", "installment_number"], "amount_due").select("loan_id", "installment_number"))
-key("dq_alloc_le_payment", "select payment_id from (select payment_id, sum(allocated) as s from d_allocation group by 1) a join d_payments using (payment_id) where s > amount + 0.005")(lambda m: Q.allocation_excess(m.allocation, m.payments, ["payment_id"], "amount").select("payment_id"))
+key("dq_alloc_le_payment", """select payment_id from (select payment_id, allocated, cast(null as decimal(18,2)) as amount from d_allocation union all select payment_id, null, amount from d_payments) x
+group by payment_id having sum(allocated) > max(amount) + 0.005""")(lambda m: Q.allocation_excess(m.allocation, m.payments, ["payment_id"], "amount").select("payment_id"))
 key("dq_bridge_coverage", "select customer_id, 'b' as missing_in from fx_loans where customer_id not in (select customer_id from d_bridge) group by 1 union all select customer_id, 'a' from d_bridge where customer_id not in (select customer_id from fx_loans)")(lambda m: Q.not_covered(m.fx_loans, m.bridge, "customer_id"))
 key("dq_deleted_no_loans", "select loan_id from d_validated where invalid_reason = 'APPLICATION_DELETED'")(lambda m: m.validated.where("invalid_reason = 'APPLICATION_DELETED'").select("loan_id"))
 key("dq_scd2_no_overlap", "select a.merchant_id from d_merchants a join d_merchants b on a.merchant_id = b.merchant_id and a.merchant_sk < b.merchant_sk and a.valid_from <= b.valid_to_effective and b.valid_from <= a.valid_to_effective")(lambda m: R.overlapping_versions(m.merchants, "merchant_id", "merchant_sk").select("merchant_id"))
@@ -169,6 +171,56 @@ def _(m: Models) -> DataFrame:
     return out
 
 
+class Seeded:
+    """The models with faults put into some: what the checks that find nothing in sound models are tried on."""
+
+    def __init__(self, m: Models) -> None:
+        self._m = m
+
+    def __getattr__(self, name: str) -> DataFrame:
+        model = getattr(self._m, name)
+        return SEEDS[name][0](model) if name in SEEDS else model
+
+
+def _where(condition: str, **values: str):
+    return lambda df: df.withColumns({c: F.when(F.expr(condition), F.expr(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+#: Faults by model, for both sides: too much allocated, customers out of the bridge, versions that overlap or are all current, first installments open again, amounts below zero, wrong days.
+SEEDS = {
+    "allocation": (_where("loan_id % 40 = 3", allocated="allocated * 3"), "select * replace (case when loan_id % 40 = 3 then allocated * 3 else allocated end as allocated) from d_allocation"),
+    "bridge": (lambda df: df.where("customer_id % 30 <> 2"), "select * from d_bridge where customer_id % 30 <> 2"),
+    "merchants": (
+        _where("merchant_id % 8 = 0", valid_to_effective="date'2020-01-01'", is_current="true"),
+        "select * replace (case when merchant_id % 8 = 0 then date '2020-01-01' else valid_to_effective end as valid_to_effective, merchant_id % 8 = 0 or is_current as is_current) from d_merchants",
+    ),
+    "status": (_where("loan_id % 9 = 1 and installment_number = 1", settled_date_any="null"), "select * replace (case when loan_id % 9 = 1 and installment_number = 1 then null else settled_date_any end as settled_date_any) from d_status"),
+    "payments": (_where("payment_id % 97 = 0", amount="-amount"), "select * replace (case when payment_id % 97 = 0 then -amount else amount end as amount) from d_payments"),
+    "snapshot": (_where("loan_id % 21 = 0", dpd="dpd + 1"), "select * replace (case when loan_id % 21 = 0 then dpd + 1 else dpd end as dpd) from d_snapshot"),
+}
+NAMED |= {f"s_{name}": sql for name, (_, sql) in SEEDS.items()}
+SEEDED_CHECKS = (
+    "dq_alloc_le_installment", "dq_alloc_le_payment", "dq_bridge_coverage", "dq_scd2_no_overlap", "dq_scd2_one_current", "dq_fifo_no_skip", "dq_paid_reconcile",
+    "dq_no_reversed_in_fact", "dq_snapshot_recompute",
+)
+
+
+def _seeded_sql(name: str) -> str:
+    sql = re.sub(r"\bd_(\w+)", lambda w: f"s_{w[1]}" if w[1] in SEEDS else w[0], MADE[name][1])
+    return f"select '{name}' as \"check\", cast(k as varchar) as failing from (select * from ({sql}) f) g(k)"
+
+
+@key("dq_seeded_violations", "\nunion all ".join(map(_seeded_sql, SEEDED_CHECKS)))
+def _(m: Models) -> DataFrame:
+    """Rows that the checks find in models with seeded faults, by the first column of the check."""
+    out = None
+    for name in SEEDED_CHECKS:
+        failing = MADE[name][0](Seeded(m))
+        rows = failing.select(F.lit(name).alias("check"), F.col(failing.columns[0]).cast("string").alias("failing"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @key("crosscheck_independent", """select loan_id, installment_number, cast(round(paid_any * 100) as bigint) as paid_cents, cast(round(paid_any * 100) as bigint) as greedy_cents, true as same
 from d_status where amount_due > 0""")
 def _(m: Models) -> DataFrame:
