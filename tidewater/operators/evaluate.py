@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.relational import nearest_rank
+from tidewater.sources.shared import written
 
 AUTO = ("auto_reply", "auto_reply_and_route")
 
@@ -98,6 +99,34 @@ def stratified_sample(df: DataFrame, label: str, n: int, least: int = 2) -> Data
     return first.join(quota, F.col(label) == F.col("_label")).where("_r <= quota").select("id", label)
 
 
+def hard_first_sample(df: DataFrame, label: str, hard: Column, n: int, least: int = 2) -> DataFrame:
+    """``id, label, tier`` of ``n`` rows: hard ones first, then ``least`` of each class, then always one of the class that is furthest below its share.
+
+    A class's deficit is its share of ``n`` less what it has, and falls by one with each row it gets; so the rows filled in one by one are the ``n`` largest deficits of
+    all classes' next, second next and further rows, ties to the greater label. Within a tier and class the order is by hash of the id. Every tier is a limit that Spark
+    applies before the shuffle, so a class or a hard tier of any size sends few rows.
+    """
+    draw = F.substring(F.md5(F.col("id").cast("string")), 1, 13)
+    rows = df.select("id", F.coalesce(F.col(label), F.lit("(null)")).alias("label"), F.coalesce(hard, F.lit(False)).alias("hard"), draw.alias("_d"))
+    first = rows.where("hard").orderBy("_d", "id").limit(n)
+    first = written(first.select("id", "label", F.lit("hard").alias("tier")), "hard")
+    have = first.groupBy("label").agg(F.count("*").alias("have"))
+    rest = rows.join(F.broadcast(first.select("id")), "id", "left_anti")  # n rows at most
+    pools = rest.groupBy("label").agg(F.count("*").alias("pool"))
+    classes = rows.groupBy("label").agg(F.count("*").alias("size")).join(have, "label", "left").join(pools, "label", "left").na.fill(0).crossJoin(rows.agg(F.count("*").alias("total")))
+    classes = written(classes.withColumn("low", F.least(F.col("pool"), F.greatest(F.lit(0), least - F.col("have")))), "classes")
+    left = n - (first.count() + (classes.agg(F.sum("low")).first()[0] or 0))
+    unit = F.explode(F.when(F.col("pool") > F.col("low"), F.sequence(F.lit(1), F.least(F.col("pool") - F.col("low"), F.lit(n))))).alias("j")
+    units = classes.select("label", (F.col("size") / F.col("total") * n - F.col("have") - F.col("low")).alias("deficit"), unit)
+    filled = units.orderBy(F.desc(F.col("deficit") - F.col("j")), F.desc("label")).limit(max(left, 0)).groupBy("label").agg(F.count("*").alias("more"))
+    quota = classes.join(filled, "label", "left").select(F.col("label").alias("_label"), "low", (F.col("low") + F.coalesce("more", F.lit(0))).alias("quota"))
+    drawn = rest.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_d", "id"))).where(F.col("_r") <= n)
+    drawn = drawn.join(quota, F.col("label") == F.col("_label")).where("_r <= quota")
+    tiered = drawn.select("id", "label", F.when(F.col("_r") <= F.col("low"), "least").otherwise("fill").alias("tier"))
+    rank = F.when(F.col("tier") == "hard", 0).when(F.col("tier") == "least", 1).otherwise(2)
+    return first.unionByName(tiered).orderBy(rank, "label", "id").limit(n)
+
+
 def capped_sample(df: DataFrame, label: str, n: int, most: int) -> DataFrame:
     """The first ``n`` by id with at most ``most`` of each class."""
     rows = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("id"))).where(f"_r <= {most}").drop("_r")

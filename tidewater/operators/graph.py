@@ -9,7 +9,7 @@ from tidewater.sources.shared import drop_path, new_path, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node that has an edge; the component is its smallest node.
+    """``(node, component)`` for every node that has an edge; the component is its smallest node; nodes are of any type that has an order.
 
     Alternating large-star and small-star rounds: each node hands its larger, then its smaller neighbours to the
     smallest one it knows. Edges shrink to stars in a logarithmic number of rounds, no neighbour list is ever collected,
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     path, seen = new_path(spark, "edges"), None
     now = written(now, "edges", path)
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1000003)).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v"), F.lit(1000003)))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark

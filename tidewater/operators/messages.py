@@ -49,20 +49,56 @@ def token_classes(messages: DataFrame) -> DataFrame:
     return rows.groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
 
 
-def near_duplicate_pairs(messages: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """``a, b, jaccard`` between representatives of token sets, exact: a prefix-filter join.
+#: Rows of one bucket that are paired in one place; larger buckets are dealt to pairs of blocks of about so many. Large buckets sent to all tasks.
+BLOCK = 500
+SENT_BUCKETS = 10_000
+#: Bands of minima, and minima in each: sets at similarity s meet in one with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.6.
+BANDS, ROWS = 32, 3
 
-    With tokens ordered from the rarest, two sets at the threshold share one of their first n - ceil(threshold * n) + 1
-    tokens. Only these meet, then sizes and the exact similarity decide. Equal sets are collapsed before.
+
+def met_in_buckets(rows: DataFrame, threshold: float, block: int = BLOCK, sent: int = SENT_BUCKETS) -> DataFrame:
+    """Pairs ``a < b`` of sets of one bucket whose sizes allow the threshold; ``rows`` are ``rep, n, bucket``.
+
+    A bucket of more than ``block`` rows is dealt to blocks by hash, and each pair of blocks meets by itself, so no task pairs a whole hot bucket;
+    none is capped. The numbers of blocks of large buckets go to all tasks if there are few, else they are joined.
+    """
+    large = written(rows.groupBy("bucket").agg(F.count("*").alias("_size")).where(F.col("_size") > block), "large-buckets")
+    told = F.broadcast(large) if large.count() <= sent else large
+    blocks = F.coalesce(F.ceil(F.col("_size") / block).cast("int"), F.lit(1))
+    dealt = rows.join(told, "bucket", "left").withColumn("_k", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least(F.col("_own"), j).alias("i"), F.greatest(F.col("_own"), j).alias("j")))
+    dealt = dealt.select("rep", "n", "bucket", "_own", F.explode(cells).alias("c")).select("rep", "n", "bucket", "_own", "c.*")
+    left = dealt.where("_own = i").select("bucket", "i", "j", F.col("rep").alias("x"), F.col("n").alias("nx"))
+    right = dealt.where("_own = j").select("bucket", "i", "j", F.col("rep").alias("y"), F.col("n").alias("ny"))
+    met = left.join(right, ["bucket", "i", "j"]).where(F.when(F.col("i") == F.col("j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    met = met.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """``rep, n, bucket`` by the first n - ceil(threshold * n) + 1 tokens of each set, rarest first: sets at the threshold share one."""
+    counts = sets.select(F.explode("tokens").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    ranked = sets.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("bucket")).join(counts, "bucket")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "bucket"))
+    return ranked.withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "n", "bucket")
+
+
+def minhash_buckets(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``rep, n, bucket`` by bands of minima of hashes of the tokens; a few buckets a set however long it is, but pairs may miss all of them."""
+    minimum = lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(i))))
+    keys = [F.xxhash64(F.lit(b), *[minimum(b * rows + r) for r in range(rows)]) for b in range(bands)]
+    return sets.select("rep", F.size("tokens").alias("n"), F.explode(F.array_distinct(F.array(*keys))).alias("bucket"))
+
+
+def near_duplicate_pairs(messages: DataFrame, threshold: float = 0.6, method: str = "exact", block: int = BLOCK) -> DataFrame:
+    """``a, b, jaccard`` between representatives of token sets; equal sets are collapsed before.
+
+    Sets that share a bucket meet, then sizes and the exact similarity decide. Buckets are those of a prefix filter, which loses no pair, or with
+    ``method="minhash"`` bands of minima.
     """
     sets = written(token_classes(messages), "token-sets")
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = sets.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(counts, "token")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
-    prefix = ranked.withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "n", "token")
-    prefix = written(prefix, "prefixes")
-    met = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "token").join(prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "token"), "token")
-    met = met.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    buckets = written(prefix_buckets(sets, threshold) if method == "exact" else minhash_buckets(sets), "buckets")
+    met = met_in_buckets(buckets, threshold, block)
     full = met.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return full.select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(f"jaccard >= {threshold}")
@@ -71,11 +107,8 @@ def near_duplicate_pairs(messages: DataFrame, threshold: float = 0.6) -> DataFra
 def near_duplicate_groups(messages: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``id, group_id`` of messages in groups of two or more, numbered by their first message in (time, id) order."""
     sets = token_classes(messages)
-    pairs = near_duplicate_pairs(messages, threshold)
-    numbers = sets.select("rep", F.xxhash64("rep").alias("k"))
-    edges = pairs.join(numbers.select(F.col("rep").alias("a"), F.col("k").alias("x")), "a").join(numbers.select(F.col("rep").alias("b"), F.col("k").alias("y")), "b")
-    labels = connected_components(edges, "x", "y")
-    classes = sets.join(numbers, "rep").join(labels, F.col("k") == F.col("node"), "left").select("tokens", F.coalesce("component", "k").alias("component"))
+    labels = connected_components(near_duplicate_pairs(messages, threshold))
+    classes = sets.join(labels, F.col("rep") == F.col("node"), "left").select("tokens", F.coalesce("component", "rep").alias("component"))
     rows = messages.select("id", "received_at_utc", F.array_sort(F.array_distinct(canonical_tokens(F.col("text")))).alias("tokens")).join(classes, "tokens")
     groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("received_at_utc", "id")).alias("head")).where("n > 1")
     groups = in_ranges(written(groups, "groups"), F.unix_micros(F.col("head.received_at_utc").cast("timestamp")))

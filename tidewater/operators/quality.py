@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.sources.shared import drop_path, make_folder, names, new_path, rename
 
 DIMENSIONS = ("completeness", "uniqueness", "validity", "consistency", "integrity", "accuracy", "timeliness")
 
@@ -80,6 +84,80 @@ def paid_mismatch(payments: DataFrame, installments: DataFrame, allocation: Data
     return rows.where(F.abs(F.coalesce("laid", F.lit(0)) - F.col("expected")) > 0.01).select("loan_id", "paid", "planned", "laid")
 
 
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column, or its JSON where its type has no order."""
+    return F.to_json(F.struct(f"`{column}`")) if "map<" in dict(df.dtypes)[column] or dict(df.dtypes)[column] == "variant" else F.col(f"`{column}`")
+
+
+def twin_differences(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, n, differing``: keys held by rows that differ, and the columns in which they do, for any schema; null is a value of its own.
+
+    Per column least and greatest value and number of nulls, summed up in every task: no row is paired with another and a hot key meets in partial results.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    each = [F.when((F.min(_comparable(df, c)) != F.max(_comparable(df, c))) | ((F.count(f"`{c}`") > 0) & (F.count(f"`{c}`") < F.count("*"))), F.lit(c)) for c in rest]
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array_compact(F.array(*each) if each else F.array().cast("array<string>")).alias("differing"))
+    return found.where(F.size("differing") > 0)
+
+
+def counted_list(df: DataFrame, groups: Sequence[str], separator: str = ", ") -> DataFrame:
+    """One row with one text ``listed``, ``a/b=n`` for each group in the order of its columns; for categories, as all groups meet in the list."""
+    name = F.concat_ws("/", *[F.coalesce(F.col(g).cast("string"), F.lit("(null)")) for g in groups])
+    counted = df.groupBy(*groups).agg(F.count("*").alias("n")).select(F.struct(*groups).alias("g"), F.concat(name, F.lit("="), F.col("n")).alias("t"))
+    return counted.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "t"))), lambda x: x["t"]), separator).alias("listed"))
+
+
+class AuditSink:
+    """Failing rows of checks, whole and of any schema, kept by run and check in the shared folder.
+
+    A run is written aside and named by one rename under its next version; the last version stands, so a rerun replaces its run and readers never see half of one.
+    Older versions go after that.
+    """
+
+    ROWS = "check string, severity string, seq long, row string"
+
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        self.spark, self.root = spark, root or new_path(spark, "audit")
+
+    def _versions(self, run: str) -> list[str]:
+        return [n for n in names(self.spark, f"{self.root}/run={run}") if n.startswith("v")]
+
+    def write(self, run: str, failing: dict[str, tuple[str, DataFrame]]) -> None:
+        """Store ``check: (severity, failing rows)`` as the run; checks that find nothing leave no rows."""
+        rows = None
+        for check, (severity, df) in failing.items():
+            whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+            part = df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.monotonically_increasing_id().alias("seq"), whole.alias("row"))
+            rows = part if rows is None else rows.unionByName(part)
+        rows = self.spark.createDataFrame([], self.ROWS) if rows is None else rows
+        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
+        rows.write.partitionBy("check").parquet(aside)
+        old = self._versions(run)
+        version = f"v{int(old[-1][1:]) + 1 if old else 0:09d}"
+        make_folder(self.spark, f"{self.root}/run={run}")
+        if not rename(self.spark, aside, f"{self.root}/run={run}/{version}"):
+            raise RuntimeError("the same run was written at the same time")
+        for name in old:
+            drop_path(self.spark, f"{self.root}/run={run}/{name}")
+
+    def runs(self) -> list[str]:
+        return [n[4:] for n in names(self.spark, self.root) if n.startswith("run=") and self._versions(n[4:])]
+
+    def read(self, run: str | None = None) -> DataFrame:
+        """``run, check, severity, seq, row`` of one run or of all; each ``row`` is the JSON of a failing row."""
+        out = self.spark.createDataFrame([], "run string, " + self.ROWS)
+        for name in self.runs() if run is None else [run]:
+            for version in self._versions(name)[-1:]:
+                base = f"{self.root}/run={name}/{version}"
+                out = out.unionByName(self.spark.read.schema(self.ROWS).parquet(base).withColumn("run", F.lit(name)))
+        return out
+
+    def rows(self, run: str, check: str, schema: T.StructType) -> DataFrame:
+        """The failing rows of one check as they were."""
+        found = self.read(run).where(F.col("check") == check)
+        return found.select(F.from_json("row", schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("r")).select("r.*")
+
+
 def outcome(checks: Sequence[tuple[str, str, str, str, DataFrame]]) -> DataFrame:
     """``check, model, dimension, severity, failures, status`` of ``(name, model, dimension, severity, failing rows)``, as one plan."""
     rows = None

@@ -77,3 +77,8 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     """Give a whole written table its name in one step; false if the name is taken."""
     fs, end = _file_system(spark, target)
     return not fs.exists(end) and fs.rename(_file_system(spark, source)[1], end)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target)
