@@ -56,11 +56,11 @@ def test_double_reversal_takes_out_once(spark):
 def test_cdc_twins_and_order(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     rows = [
-        (1, 7, 999999999, 1, "CREATED", D(5), "I", t(1), t(9)), (2, 7, 42, 1, "APPROVED", D(5), "U", t(2), t(3)),
-        (3, 8, 999999999, 1, "REJECTED", D(5), "U", t(1), t(1)), (4, 8, 43, 2, "APPROVED", D(5), "U", t(1), t(1)),
-        (5, 9, 999999999, 1, "APPROVED", D(5), "D", t(1), t(1)),
+        (1, 7, 999999999, 1, "CREATED", D(5), "I", t(1), t(9), "COP"), (2, 7, 42, 1, "APPROVED", D(5), "U", t(2), t(3), "COP"),
+        (3, 8, 999999999, 1, "REJECTED", D(5), "U", t(1), t(1), "COP"), (4, 8, 43, 2, "APPROVED", D(5), "U", t(1), t(1), "COP"),
+        (5, 9, 999999999, 1, "APPROVED", D(5), "D", t(1), t(1), "COP"),
     ]
-    df = spark.createDataFrame(rows, "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz")
+    df = spark.createDataFrame(rows, "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz, currency string")
     got = {r["application_id"]: r for r in lending.cdc_latest_state(df).collect()}
     assert got[7]["status"] == "APPROVED" and got[7]["is_out_of_order"] and got[7]["customer_id"] == 42
     assert got[8]["status"] == "APPROVED" and not got[8]["is_out_of_order"]
@@ -75,8 +75,8 @@ def test_fx_weekend(spark):
 
 def test_scd2_categories(spark):
     d = dt.date
-    rows = [(1, "A", None, d(1995, 1, 1)), (2, "B", "X", d(1995, 1, 1)), (2, "B2", None, d(1996, 1, 1))]
-    df = spark.createDataFrame(rows, "merchant_id long, merchant_name string, category string, valid_from date")
+    rows = [(1, "A", None, d(1995, 1, 1), "CO"), (2, "B", "X", d(1995, 1, 1), "CO"), (2, "B2", None, d(1996, 1, 1), "CO")]
+    df = spark.createDataFrame(rows, "merchant_id long, merchant_name string, category string, valid_from date, country string")
     got = {(r["merchant_id"], r["version"]): r for r in lending.scd2_from_history(df).collect()}
     assert got[1, 1]["category_origin"] == "UNKNOWN" and got[2, 2]["category_origin"] == "CARRIED_FORWARD"
     assert got[2, 1]["valid_to"] == d(1995, 12, 31) and got[2, 1]["current_name"] == "B2"

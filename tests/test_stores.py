@@ -12,14 +12,14 @@ from tidewater.plans import lending as plans
 from tidewater.sources import shared
 from tidewater.streaming import store, streams
 
-EVENTS = "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz"
+EVENTS = "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz, currency string"
 
 
 @pytest.fixture(scope="module")
 def events(spark):
     draw = random.Random(8)
     at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=draw.randrange(400))
-    rows = [(i, draw.randrange(60), draw.choice([999999999, 5, 6]), draw.choice([1, 2]), draw.choice(["CREATED", "APPROVED", "REJECTED"]), D(i), draw.choice("IUUUUUD"), at(), at()) for i in range(400)]
+    rows = [(i, draw.randrange(60), draw.choice([999999999, 5, 6]), draw.choice([1, 2]), draw.choice(["CREATED", "APPROVED", "REJECTED"]), D(i), draw.choice("IUUUUUD"), at(), at(), draw.choice(["COP", "BRL"])) for i in range(400)]
     return spark.createDataFrame(rows, EVENTS).repartition(1).cache()
 
 

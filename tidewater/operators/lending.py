@@ -22,7 +22,7 @@ def cdc_partials(events: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
     """What a set of events tells of each application, in a form that adds up: maxima by each competing order, and counts."""
     real = F.when(F.col("customer_id_raw") != p.placeholder_id, F.col("customer_id_raw"))
     rank = op_rank(F.col("cdc_op"))
-    told = ["status", "merchant_id", "requested_amount"]
+    told = ["status", "merchant_id", "requested_amount", "currency"]
     by_event = F.struct("event_at_utc", "ingested_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk", *told)
     by_ingest = F.struct("ingested_at_utc", "event_at_utc", rank.alias("r"), real.isNotNull().alias("real"), "event_pk", *told)
     decided = F.when((F.col("cdc_op") != "D") & F.col("status").isin("APPROVED", "REJECTED"), F.col("event_at_utc"))
@@ -44,7 +44,7 @@ def cdc_resolved(partials: DataFrame) -> DataFrame:
     """Final state of each application."""
     status = F.col("by_event.status")
     return partials.select(
-        "application_id", "customer_id", F.col("by_event.merchant_id").alias("merchant_id"), status.alias("status"), F.col("by_event.requested_amount").alias("requested_amount"),
+        "application_id", "customer_id", F.col("by_event.merchant_id").alias("merchant_id"), status.alias("status"), F.col("by_event.requested_amount").alias("requested_amount"), F.col("by_event.currency").alias("currency"),
         "created_at_utc", "decided_at_utc", "is_deleted", "n_events", (~F.col("is_deleted")).alias("is_valid"),
         (~F.col("is_deleted") & (status == "APPROVED")).alias("is_approved"), (status != F.col("by_ingest.status")).alias("is_out_of_order"),
         F.col("customer_id").isNull().alias("has_unresolved_customer"),
@@ -103,9 +103,9 @@ def usd(amount: str, rate: str) -> Column:
     return F.floor(F.col(amount).cast("double") / F.col(rate).cast("double") * 10000 + F.lit(0.5000001)).cast("double") / 10000
 
 
-def _cents(c: Column) -> Column:
-    """Exact sum of four-decimal amounts, rounded to cents."""
-    return F.round(F.sum(c.cast("decimal(18,4)")), 2).cast("double")
+def _exact(c: Column) -> Column:
+    """Exact sum of four-decimal amounts."""
+    return F.sum(c.cast("decimal(18,4)")).cast("double")
 
 
 def fx_asof(rows: DataFrame, calendar: DataFrame, day: str, rate: str) -> DataFrame:
@@ -267,7 +267,7 @@ def scd2_from_history(history: DataFrame) -> DataFrame:
     before = F.lag("category_filled").over(w)
     origin = F.when(F.col("category").isNotNull(), "OBSERVED").when(F.col("carried").isNotNull(), "CARRIED_FORWARD").otherwise("UNKNOWN")
     return rows.select(
-        surrogate_key(F.col("merchant_id"), F.col("valid_from")).alias("merchant_sk"), "merchant_id", "merchant_name", "current_name", "valid_from", "valid_to",
+        surrogate_key(F.col("merchant_id"), F.col("valid_from")).alias("merchant_sk"), "merchant_id", "merchant_name", "current_name", "country", "valid_from", "valid_to",
         F.coalesce("valid_to", F.lit(OPEN_END)).alias("valid_to_effective"), F.col("valid_to").isNull().alias("is_current"), "version", "n_versions",
         F.col("category_filled").alias("category"), origin.alias("category_origin"), before.alias("previous_category"),
         F.coalesce(before != F.col("category_filled"), F.lit(False)).alias("is_category_change"),
@@ -320,34 +320,43 @@ def loan_fact(loans: DataFrame, installments: DataFrame, calendar: DataFrame, me
     )
 
 
-def merchant_monthly(facts: DataFrame, applications: DataFrame, first_payment: DataFrame, month_ends: DataFrame, merchants: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
-    """Dense merchant by month with applications, loans, GMV, FPD30 of the cohort, PAR30 stock and the category at month end.
+def merchant_monthly(facts: DataFrame, applications: DataFrame, first_payment: DataFrame, snapshot: DataFrame, month_ends: DataFrame, merchants: DataFrame, p: EngineParams = PARAMS) -> DataFrame:
+    """Dense merchant by month, from the first month with activity in which the merchant exists.
 
-    Each measure is aggregated to (merchant, month) before it meets the grid.
+    Applications (also deleted ones), loans and GMV count in their month; FPD30 and PAR30 of the cohort as of the snapshot stand in the month of disbursement; balances and PAR30
+    stock, and the category, at the month end. Each measure is aggregated to (merchant, month) before it meets the grid; amounts are exact sums.
     """
     app_month = F.trunc(business_date(F.col("created_at_utc"), p.business_tz), "month")
-    apps = applications.where("is_valid").groupBy("merchant_id", app_month.alias("month")).agg(F.count("*").alias("applications"), F.count_if("is_approved").alias("approved"))
-    loans = facts.groupBy("merchant_id", F.col("cohort_month").alias("month")).agg(F.count("*").alias("loans"), _cents(F.col("principal_usd")).alias("gmv_usd"))
-    cohort = facts.select("loan_id", "merchant_id", F.col("cohort_month").alias("month")).join(first_payment, "loan_id")
-    cohort = cohort.groupBy("merchant_id", "month").agg(F.count_if("is_fpd_eligible").alias("fpd_eligible"), F.count_if("is_fpd30").alias("fpd30"))
+    dated = applications.withColumn("month", app_month)
+    apps = dated.groupBy("merchant_id", "month").agg(F.count_if("is_valid").alias("applications"), F.count_if("is_approved").alias("approved"), F.count_if("is_deleted").alias("deleted"))
+    due = lambda c: F.when(F.col("is_par30"), F.col(c)).otherwise(0)
+    cohort = facts.select("loan_id", "merchant_id", "principal_usd", F.col("cohort_month").alias("month"))
+    cohort = cohort.join(first_payment.select("loan_id", "is_fpd_eligible", "is_fpd30"), "loan_id", "left").join(snapshot.select("loan_id", "outstanding_usd", "is_par30"), "loan_id", "left")
+    cohort = cohort.groupBy("merchant_id", "month").agg(
+        F.count("*").alias("loans"), _exact(F.col("principal_usd")).alias("gmv_usd"), F.count_if("is_fpd_eligible").alias("fpd_eligible"), F.count_if("is_fpd30").alias("fpd30"),
+        _exact(F.col("outstanding_usd")).alias("cohort_outstanding_usd"), _exact(due("outstanding_usd")).alias("cohort_par30_usd"),
+    )
     stock = month_ends.groupBy("merchant_id", F.trunc("month_end", "month").alias("month")).agg(
-        _cents(F.col("outstanding_usd")).alias("outstanding_usd"), _cents(F.when(F.col("is_par30"), F.col("outstanding_usd")).otherwise(0)).alias("par30_usd")
-    )
+        F.count_if(F.col("outstanding") > 0).alias("loans_with_balance"), F.count_if("is_par30").alias("loans_par30"),
+        _exact(F.col("outstanding_usd")).alias("outstanding_usd"), _exact(due("outstanding_usd")).alias("par30_usd"),
+    )
     ends = facts.agg(F.min("cohort_month").alias("a"), F.greatest(F.max("cohort_month"), F.trunc(F.lit(p.snapshot_date), "month")).alias("b"))
+    ends = ends.crossJoin(dated.where("is_valid").agg(F.min("month").alias("c"))).select(F.least("a", "c").alias("a"), "b")
     months = ends.select(series(F.col("a"), F.col("b"), "month").alias("month"))
-    grid = dense_grid(merchants.select("merchant_id").distinct(), months)
-    for measure in (apps, loans, cohort, stock):
+    grid = dense_grid(merchants.groupBy("merchant_id").agg(F.min("valid_from").alias("_since")), months).withColumn("month_end", F.last_day("month")).where("month_end >= _since").drop("_since")
+    for measure in (apps, cohort, stock):
         grid = grid.join(measure, ["merchant_id", "month"], "left")
-    versions = merchants.select("merchant_id", "category", "valid_from", "valid_to_effective")
-    grid = point_in_time(grid.withColumn("month_end", F.last_day("month")), versions, "merchant_id", F.col("month_end")).drop("valid_from", "valid_to_effective")
-    at_start = versions.withColumnRenamed("category", "category_start")
+    versions = merchants.select("merchant_id", "category", "country", F.col("current_name").alias("merchant_name"), "valid_from", "valid_to_effective")
+    grid = point_in_time(grid, versions, "merchant_id", F.col("month_end")).drop("valid_from", "valid_to_effective")
+    at_start = merchants.select("merchant_id", F.col("category").alias("category_start"), "valid_from", "valid_to_effective")
     grid = point_in_time(grid, at_start, "merchant_id", F.col("month")).drop("valid_from", "valid_to_effective")
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("applications", "approved", "loans", "fpd_eligible", "fpd30")}
-    money = {c: F.coalesce(c, F.lit(0.0)) for c in ("gmv_usd", "outstanding_usd", "par30_usd")}
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("applications", "approved", "deleted", "loans", "fpd_eligible", "fpd30", "loans_with_balance", "loans_par30")}
+    money = {c: F.coalesce(c, F.lit(0.0)) for c in ("gmv_usd", "outstanding_usd", "par30_usd", "cohort_outstanding_usd", "cohort_par30_usd")}
     grid = grid.withColumns(n | money)
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a).cast("double") / F.col(b).cast("double"), 6))
     return grid.select(
-        "merchant_id", "month", "category", "applications", "approved", share("approved", "applications").alias("approval_rate"), "loans", "gmv_usd",
-        "fpd_eligible", "fpd30", share("fpd30", "fpd_eligible").alias("fpd30_rate"), "outstanding_usd", "par30_usd", share("par30_usd", "outstanding_usd").alias("par30_rate"),
-        F.coalesce(F.col("category") != F.col("category_start"), F.lit(False)).alias("is_category_change"), ((F.col("applications") > 0) | (F.col("loans") > 0)).alias("is_active"),
+        "merchant_id", "month", "merchant_name", "country", "category", "category_start", "applications", "approved", "deleted", share("approved", "applications").alias("approval_rate"), "loans", "gmv_usd",
+        "fpd_eligible", "fpd30", share("fpd30", "fpd_eligible").alias("fpd30_rate"), "loans_with_balance", "loans_par30", "outstanding_usd", "par30_usd", share("par30_usd", "outstanding_usd").alias("par30_rate"),
+        "cohort_outstanding_usd", "cohort_par30_usd", share("cohort_par30_usd", "cohort_outstanding_usd").alias("par30_cohort_rate"),
+        F.coalesce(F.col("category") != F.col("category_start"), F.lit(False)).alias("is_category_change"), (F.col("applications") + F.col("loans") + F.col("loans_with_balance") > 0).alias("is_active"),
     )

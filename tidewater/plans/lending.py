@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import business_date, dpd_bucket
@@ -107,7 +107,7 @@ BUILD: dict[str, Callable[[Models], DataFrame]] = {
     "people": lambda m: L.identity_collapse(m.fx_customers, m.cities),
     "bridge": lambda m: L.customer_bridge(m.fx_customers, m.people),
     "facts": lambda m: L.loan_fact(m.loans, m.installments, m.calendar, m.merchants, m.bridge),
-    "monthly": lambda m: L.merchant_monthly(m.facts, m.applications, m.first_payment, m.series, m.merchants),
+    "monthly": lambda m: L.merchant_monthly(m.facts, m.applications, m.first_payment, m.snapshot, m.series, m.merchants),
 }
 
 # DuckDB side ------------------------------------------------------------------------------------------------------
@@ -118,7 +118,7 @@ NAMED |= {
     "d_order": """select *, row_number() over (partition by application_id order by event_at_utc desc, ingested_at_utc desc, r desc, is_real desc, event_pk desc) as ev,
   row_number() over (partition by application_id order by ingested_at_utc desc, event_at_utc desc, r desc, is_real desc, event_pk desc) as ing from d_rank""",
     "d_applications": """select application_id, max(real_id) as customer_id, max(case when ev = 1 then merchant_id end) as merchant_id, max(case when ev = 1 then status end) as status,
-  max(case when ev = 1 then requested_amount end) as requested_amount, min(event_at_utc) as created_at_utc,
+  max(case when ev = 1 then requested_amount end) as requested_amount, max(case when ev = 1 then currency end) as currency, min(event_at_utc) as created_at_utc,
   max(case when cdc_op <> 'D' and status in ('APPROVED', 'REJECTED') then event_at_utc end) as decided_at_utc, bool_or(cdc_op = 'D') as is_deleted, count(*) as n_events,
   not bool_or(cdc_op = 'D') as is_valid, not bool_or(cdc_op = 'D') and max(case when ev = 1 then status end) = 'APPROVED' as is_approved,
   max(case when ev = 1 then status end) <> max(case when ing = 1 then status end) as is_out_of_order, max(real_id) is null as has_unresolved_customer
@@ -183,7 +183,7 @@ from d_atend a left join d_calendar c on c.currency = a.currency and c.rate_date
   last_value(category ignore nulls) over (partition by merchant_id order by valid_from rows between unbounded preceding and current row) as carried,
   last_value(merchant_name) over (partition by merchant_id order by valid_from rows between unbounded preceding and unbounded following) as current_name
 from fx_merchants window w as (partition by merchant_id order by valid_from)""",
-    "d_merchants": """select md5(concat(merchant_id, '-', valid_from)) as merchant_sk, merchant_id, merchant_name, current_name, valid_from, valid_to, coalesce(valid_to, date '9999-12-31') as valid_to_effective,
+    "d_merchants": """select md5(concat(merchant_id, '-', valid_from)) as merchant_sk, merchant_id, merchant_name, current_name, country, valid_from, valid_to, coalesce(valid_to, date '9999-12-31') as valid_to_effective,
   valid_to is null as is_current, version, n_versions, coalesce(carried, 'UNKNOWN') as category,
   case when category is not null then 'OBSERVED' when carried is not null then 'CARRIED_FORWARD' else 'UNKNOWN' end as category_origin,
   lag(coalesce(carried, 'UNKNOWN')) over w as previous_category, coalesce(lag(coalesce(carried, 'UNKNOWN')) over w <> coalesce(carried, 'UNKNOWN'), false) as is_category_change
@@ -202,19 +202,25 @@ from d_latest l join d_ids using (document_number) left join d_cities c using (c
   l.disbursed_date, cast(date_trunc('month', l.disbursed_date) as date) as cohort_month, n_installments, plan_total, first_due, last_due
 from d_loans l left join d_plan using (loan_id) left join d_calendar c on c.currency = l.currency and c.rate_date = l.disbursed_date
   left join d_merchants v on v.merchant_id = l.merchant_id and l.disbursed_date between v.valid_from and v.valid_to_effective left join d_bridge b on b.customer_id = l.customer_id""",
-    "d_grid": """select merchant_id, month from (select distinct merchant_id from d_merchants) x cross join (
-  select cast(unnest(generate_series(a, b, interval 1 month)) as date) as month from (
-    select min(cohort_month)::timestamp as a, greatest(max(cohort_month), date '1998-12-01')::timestamp as b from d_facts) e) y""",
-    "d_mapps": """select merchant_id, cast(date_trunc('month', created_at_utc - interval 5 hour) as date) as month, count(*) as applications, count(*) filter (where is_approved) as approved
-from d_applications where is_valid group by 1, 2""",
-    "d_mloans": "select merchant_id, cohort_month as month, count(*) as loans, round(sum(principal_usd::decimal(18,4)), 2)::double as gmv_usd from d_facts group by 1, 2",
-    "d_mcohort": """select merchant_id, cohort_month as month, count(*) filter (where is_fpd_eligible) as fpd_eligible, count(*) filter (where is_fpd30) as fpd30 from d_facts join d_first_payment using (loan_id) group by 1, 2""",
-    "d_mstock": """select merchant_id, cast(date_trunc('month', month_end) as date) as month, round(sum(outstanding_usd::decimal(18,4)), 2)::double as outstanding_usd, round(sum((case when is_par30 then outstanding_usd else 0 end)::decimal(18,4)), 2)::double as par30_usd from d_series group by 1, 2""",
-    "d_monthly": """select g.merchant_id, g.month, v.category, coalesce(applications, 0) as applications, coalesce(approved, 0) as approved, case when applications > 0 then round(approved::double / applications, 6) end as approval_rate,
+    "d_grid": """select merchant_id, month from (select merchant_id, min(valid_from) as since from d_merchants group by 1) x cross join (
+  select cast(unnest(generate_series(least(a, c), b, interval 1 month)) as date) as month from (
+    select min(cohort_month)::timestamp as a, greatest(max(cohort_month), date '1998-12-01')::timestamp as b from d_facts) e,
+    (select date_trunc('month', min(created_at_utc) filter (where is_valid) - interval 5 hour) as c from d_applications) f) y where last_day(month) >= since""",
+    "d_mapps": """select merchant_id, cast(date_trunc('month', created_at_utc - interval 5 hour) as date) as month, count(*) filter (where is_valid) as applications, count(*) filter (where is_approved) as approved,
+  count(*) filter (where is_deleted) as deleted from d_applications group by 1, 2""",
+    "d_mcohort": """select f.merchant_id, cohort_month as month, count(*) as loans, sum(principal_usd::decimal(18,4))::double as gmv_usd, count(*) filter (where is_fpd_eligible) as fpd_eligible, count(*) filter (where is_fpd30) as fpd30,
+  sum(outstanding_usd::decimal(18,4))::double as cohort_outstanding_usd, sum((case when is_par30 then outstanding_usd else 0 end)::decimal(18,4))::double as cohort_par30_usd
+from d_facts f left join d_first_payment using (loan_id) left join (select loan_id, outstanding_usd, is_par30 from d_snapshot) s using (loan_id) group by 1, 2""",
+    "d_mstock": """select merchant_id, cast(date_trunc('month', month_end) as date) as month, count(*) filter (where outstanding > 0) as loans_with_balance, count(*) filter (where is_par30) as loans_par30,
+  sum(outstanding_usd::decimal(18,4))::double as outstanding_usd, sum((case when is_par30 then outstanding_usd else 0 end)::decimal(18,4))::double as par30_usd from d_series group by 1, 2""",
+    "d_monthly": """select g.merchant_id, g.month, v.current_name as merchant_name, v.country, v.category, u.category as category_start, coalesce(applications, 0) as applications, coalesce(approved, 0) as approved, coalesce(deleted, 0) as deleted,
+  case when applications > 0 then round(approved::double / applications, 6) end as approval_rate,
   coalesce(loans, 0) as loans, coalesce(gmv_usd, 0) as gmv_usd, coalesce(fpd_eligible, 0) as fpd_eligible, coalesce(fpd30, 0) as fpd30, case when fpd_eligible > 0 then round(fpd30::double / fpd_eligible, 6) end as fpd30_rate,
+  coalesce(loans_with_balance, 0) as loans_with_balance, coalesce(loans_par30, 0) as loans_par30,
   coalesce(outstanding_usd, 0) as outstanding_usd, coalesce(par30_usd, 0) as par30_usd, case when outstanding_usd > 0 then round(par30_usd / outstanding_usd, 6) end as par30_rate,
-  coalesce(v.category <> u.category, false) as is_category_change, coalesce(applications, 0) > 0 or coalesce(loans, 0) > 0 as is_active
-from d_grid g left join d_mapps using (merchant_id, month) left join d_mloans using (merchant_id, month) left join d_mcohort using (merchant_id, month) left join d_mstock using (merchant_id, month)
+  coalesce(cohort_outstanding_usd, 0) as cohort_outstanding_usd, coalesce(cohort_par30_usd, 0) as cohort_par30_usd, case when cohort_outstanding_usd > 0 then round(cohort_par30_usd / cohort_outstanding_usd, 6) end as par30_cohort_rate,
+  coalesce(v.category <> u.category, false) as is_category_change, coalesce(applications, 0) + coalesce(loans, 0) + coalesce(loans_with_balance, 0) > 0 as is_active
+from d_grid g left join d_mapps using (merchant_id, month) left join d_mcohort using (merchant_id, month) left join d_mstock using (merchant_id, month)
   left join d_merchants v on v.merchant_id = g.merchant_id and last_day(g.month) between v.valid_from and v.valid_to_effective
   left join d_merchants u on u.merchant_id = g.merchant_id and g.month between u.valid_from and u.valid_to_effective""",
 }
@@ -417,37 +423,74 @@ def _(m: Models) -> DataFrame:
     return rows.select(F.col("dpd_bucket").alias("bucket"), "loans", F.round("o", 2).alias("outstanding_usd"), F.round(100 * F.col("o") / F.col("t"), 4).alias("share"), F.round(100 * F.col("p") / F.col("t"), 4).alias("par30"))
 
 
-@key("answer_top_merchants", """select m.merchant_id, loans, gmv_usd, round(gmv_usd / (select sum(principal_usd) from d_facts), 6) as share, eligible, fpd30, par30_loans from (
-  select merchant_id, count(*) as loans, round(sum(principal_usd), 2) as gmv_usd from d_facts group by 1 order by gmv_usd desc, merchant_id limit 5) m
-left join (select merchant_id, count(*) filter (where is_fpd_eligible) as eligible, count(*) filter (where is_fpd30) as fpd30 from d_facts join d_first_payment using (loan_id) group by 1) f using (merchant_id)
-left join (select merchant_id, count(*) filter (where is_par30) as par30_loans from d_snapshot group by 1) s using (merchant_id)""")
+NAMED["d_permerchant"] = """select merchant_id, max(merchant_name) as merchant_name, max(country) as country, sum(applications) as applications, sum(approved) as approved, sum(loans) as loans, sum(gmv_usd::decimal(38,4)) as gmv,
+  sum(fpd_eligible) as eligible, sum(fpd30) as fpd30, sum(outstanding_usd::decimal(38,4)) filter (where month = date '1998-12-01') as outstanding, sum(par30_usd::decimal(38,4)) filter (where month = date '1998-12-01') as par30 from d_monthly group by 1"""
+
+
+def _per_merchant(m: Models) -> DataFrame:
+    """Sums over the months of each merchant, stock at the snapshot month."""
+    month = F.trunc(F.lit(PARAMS.snapshot_date), "month")
+    at_end = lambda c: F.sum(F.when(F.col("month") == month, F.col(c).cast("decimal(24,4)")))
+    return m.monthly.groupBy("merchant_id").agg(
+        F.max("merchant_name").alias("merchant_name"), F.max("country").alias("country"), F.sum("applications").alias("applications"), F.sum("approved").alias("approved"), F.sum("loans").alias("loans"),
+        F.sum(F.col("gmv_usd").cast("decimal(24,4)")).alias("gmv"), F.sum("fpd_eligible").alias("eligible"), F.sum("fpd30").alias("fpd30"), at_end("outstanding_usd").alias("outstanding"), at_end("par30_usd").alias("par30"),
+    )
+
+
+def _percent(a: str, b: str) -> Column:
+    return F.when(F.col(b) > 0, F.round(F.lit(100.0) * F.col(a).cast("double") / F.col(b).cast("double"), 4))
+
+
+@key("answer_top_merchants", """select row_number() over (order by gmv desc, p.merchant_id) as rank, p.merchant_id, p.merchant_name, p.country, d.category, d.n_versions, p.loans::bigint as loans, round(gmv::double, 2) as gmv_usd,
+  round(100.0::double * gmv::double / (select sum(gmv) from d_permerchant)::double, 4) as share, case when applications > 0 then round(100.0::double * approved::double / applications::double, 4) end as approval_rate,
+  case when eligible > 0 then round(100.0::double * fpd30::double / eligible::double, 4) end as fpd30_rate, round(outstanding::double, 2) as outstanding_usd, case when outstanding > 0 then round(100.0::double * par30::double / outstanding::double, 4) end as par30_rate
+from d_permerchant p join d_merchants d on d.merchant_id = p.merchant_id and d.is_current order by gmv desc, p.merchant_id limit 5""")
 def _(m: Models) -> DataFrame:
-    sums = m.facts.groupBy("merchant_id").agg(F.count("*").alias("loans"), F.round(F.sum("principal_usd"), 2).alias("gmv_usd"))
-    top = R.top_k(sums, "gmv_usd", 5, "merchant_id").crossJoin(m.facts.agg(F.sum("principal_usd").alias("t")))
-    first = m.facts.select("loan_id", "merchant_id").join(m.first_payment, "loan_id").groupBy("merchant_id").agg(F.count_if("is_fpd_eligible").alias("eligible"), F.count_if("is_fpd30").alias("fpd30"))
-    stock = m.snapshot.groupBy("merchant_id").agg(F.count_if("is_par30").alias("par30_loans"))
-    rows = top.join(first, "merchant_id", "left").join(stock, "merchant_id", "left")
-    return rows.select("merchant_id", "loans", "gmv_usd", F.round(F.col("gmv_usd") / F.col("t"), 6).alias("share"), "eligible", "fpd30", "par30_loans")
+    per = _per_merchant(m)
+    current = m.merchants.where("is_current").select("merchant_id", "category", "n_versions")
+    top = R.top_k(per, "gmv", 5, "merchant_id").crossJoin(per.agg(F.sum("gmv").alias("total"))).join(current, "merchant_id")
+    rank = F.row_number().over(Window.orderBy(F.desc("gmv"), "merchant_id"))  # five rows
+    return top.select(
+        rank.alias("rank"), "merchant_id", "merchant_name", "country", "category", "n_versions", "loans", F.round(F.col("gmv").cast("double"), 2).alias("gmv_usd"), _percent("gmv", "total").alias("share"),
+        _percent("approved", "applications").alias("approval_rate"), _percent("fpd30", "eligible").alias("fpd30_rate"), F.round(F.col("outstanding").cast("double"), 2).alias("outstanding_usd"), _percent("par30", "outstanding").alias("par30_rate"),
+    )
 
 
-NAMED["d_ranked"] = f"select merchant_id, gmv, row_number() over (order by gmv desc, merchant_id) as rank, (sum(gmv) over (order by gmv desc))::double / (sum(gmv) over ())::double as share from {_BY_MERCHANT} x"
+NAMED["d_ranked"] = "select *, row_number() over (order by gmv desc, merchant_id) as rank, (sum(gmv) over (order by gmv desc))::double / (sum(gmv) over ())::double as share from d_permerchant"
 
 
-@key("answer_concentration", """select tier, count(*) as merchants, sum(gmv) as gmv from (select case when rank = 1 then 'top' when rank <= 20 then '2-20' else 'rest' end as tier, gmv from d_ranked union all select 'without_top', gmv from d_ranked where rank > 1) x group by 1
-union all select 'reach_50', cast(min(rank) filter (where share >= 0.5) as bigint), null from d_ranked union all select 'reach_80', cast(min(rank) filter (where share >= 0.8) as bigint), null from d_ranked""")
+@key("answer_concentration", """select segment, count(*) as merchants, round(sum(gmv)::double, 2) as gmv_usd, round(100.0::double * sum(gmv)::double / (select sum(gmv) from d_permerchant)::double, 4) as gmv_share,
+  case when sum(eligible) > 0 then round(100.0::double * sum(fpd30)::double / sum(eligible)::double, 4) end as fpd30_rate, round(sum(outstanding)::double, 2) as outstanding_usd,
+  case when sum(outstanding) > 0 then round(100.0::double * sum(par30)::double / sum(outstanding)::double, 4) end as par30_rate,
+  (select min(rank) from d_ranked where share >= 0.5) as reach_50, (select min(rank) from d_ranked where share >= 0.8) as reach_80
+from (select unnest(list_filter(['portfolio', case when rank = 1 then 'top' when rank <= 5 then '2-5' when rank <= 20 then '6-20' else 'rest' end, case when rank > 1 then 'without_top' end, concat('country ', country)], lambda x: x is not null)) as segment, r.* from d_ranked r) x group by 1""")
 def _(m: Models) -> DataFrame:
-    ranked = R.cumulative_share(m.loans.groupBy("merchant_id").agg(F.sum("principal").alias("gmv")), ["merchant_id"], "gmv", "merchant_id")
+    ranked = written(R.cumulative_share(_per_merchant(m), ["merchant_id"], "gmv", "merchant_id"), "ranked")
     r = F.col("rank")
-    tiers = R.segments(ranked, {"top": r == 1, "2-20": r.between(2, 20), "rest": r > 20, "without_top": r > 1}, [F.count("*").alias("merchants"), F.sum("gmv").alias("gmv")]).withColumnRenamed("segment", "tier")
-    reach = ranked.agg(F.min(F.when(F.col("share") >= 0.5, r)).cast("bigint").alias("a"), F.min(F.when(F.col("share") >= 0.8, r)).cast("bigint").alias("b"))
-    reach = reach.selectExpr("stack(2, 'reach_50', a, 'reach_80', b) as (tier, merchants)").withColumn("gmv", F.lit(None).cast("decimal(28,2)"))
-    return tiers.unionByName(reach)
+    named = {"portfolio": F.lit(True), "top": r == 1, "2-5": r.between(2, 5), "6-20": r.between(6, 20), "rest": r > 20, "without_top": r > 1}
+    sums = [F.count("*").alias("merchants"), *[F.sum(c).alias(c) for c in ("gmv", "eligible", "fpd30", "outstanding", "par30")]]
+    rows = R.segments(ranked, named, sums).unionByName(ranked.withColumn("segment", F.concat(F.lit("country "), F.coalesce("country", F.lit("")))).groupBy("segment").agg(*sums))
+    reach = lambda share, name: F.min(F.when(F.col("share") >= share, r)).alias(name)
+    rows = rows.crossJoin(ranked.agg(F.sum("gmv").alias("total"), reach(0.5, "reach_50"), reach(0.8, "reach_80")))
+    return rows.select(
+        "segment", "merchants", F.round(F.col("gmv").cast("double"), 2).alias("gmv_usd"), _percent("gmv", "total").alias("gmv_share"), _percent("fpd30", "eligible").alias("fpd30_rate"),
+        F.round(F.col("outstanding").cast("double"), 2).alias("outstanding_usd"), _percent("par30", "outstanding").alias("par30_rate"), "reach_50", "reach_80",
+    )
 
 
-@key("answer_identity", "select (select count(*) from fx_customers) as ids, count(*) as people, (select count(*) from fx_customers) - count(*) as redundant_ids, count(*) filter (where has_conflict) as conflicts from d_people")
+@key("answer_identity", """select (select count(*) from fx_customers) as ids, count(*) as people, (select count(*) from fx_customers) - count(*) as redundant_ids, count(*) filter (where has_conflict) as conflicts, count(*) filter (where n_ids > 1) as people_with_more_ids,
+  count(*) filter (where n_countries > 1) as people_in_more_countries, (select count(distinct concat(document_number, '|', country)) from fx_customers) as alternative_people,
+  (select count(*) - count(distinct concat(document_number, '|', country)) from fx_customers) as alternative_redundant_ids
+from d_people left join (select document_number, nc as n_countries from d_ids) i using (document_number)""")
 def _(m: Models) -> DataFrame:
-    people = m.people.agg(F.count("*").alias("people"), F.sum("n_ids").alias("ids"), F.count_if("has_conflict").alias("conflicts"))
-    return people.select("ids", "people", (F.col("ids") - F.col("people")).alias("redundant_ids"), "conflicts")
+    """People by document number; the alternative rule tells them apart by document and country."""
+    people = m.people.agg(F.count("*").alias("people"), F.sum("n_ids").alias("ids"), F.count_if("has_conflict").alias("conflicts"), F.count_if(F.col("n_ids") > 1).alias("people_with_more_ids"))
+    pairs = m.fx_customers.groupBy("document_number", "country").agg(F.count("*").alias("n")).groupBy("document_number").agg(F.count("*").alias("countries"))
+    other = pairs.agg(F.count_if(F.col("countries") > 1).alias("people_in_more_countries"), F.sum("countries").alias("alternative_people"))
+    return people.crossJoin(other).select(
+        "ids", "people", (F.col("ids") - F.col("people")).alias("redundant_ids"), "conflicts", "people_with_more_ids", "people_in_more_countries", "alternative_people",
+        (F.col("ids") - F.col("alternative_people")).alias("alternative_redundant_ids"),
+    )
 
 
 # Scalar functions over the views ----------------------------------------------------------------------------------

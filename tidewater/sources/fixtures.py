@@ -36,6 +36,14 @@ union all
 select loan_id*1000 + installment_number*2 + 1, cast(loan_id as varchar(20)), cast(due_date as timestamp) + interval '20' day,
   cast(-amount_due as decimal(18,2)), 'core_v2', 'REVERSED', loan_id*1000 + installment_number*2
 from fx_installments where l_tax <= 0.06 and l_returnflag = 'R' and due_date >= date '1998-07-01'
+""",
+    "fx_payments_raw": """
+select cast(payment_id as varchar(20)) as payment_id, loan_ref, paid_at_utc, amount_raw, source_system, status, reversed_payment_id, case payment_id % 3 when 0 then 'PSE' when 1 then 'NEQUI' else 'PIX' end as payment_method from fx_payments
+union all
+select cast(payment_id as varchar(20)), loan_ref, paid_at_utc, amount_raw, source_system, status, reversed_payment_id, case payment_id % 3 when 0 then 'PSE' when 1 then 'NEQUI' else 'PIX' end from fx_payments where payment_id % 50 = 7
+union all
+select cast(payment_id as varchar(20)), loan_ref, paid_at_utc + interval '1' day, case when payment_id % 3 = 0 then amount_raw + 1 else amount_raw end, source_system, case when payment_id % 5 = 0 then 'PENDING' else status end, reversed_payment_id,
+  case payment_id % 3 when 0 then 'PSE' when 1 then 'NEQUI' else 'PIX' end from fx_payments where payment_id % 77 = 5
 """,
     "fx_rates": """
 select rate_date, currency, cast(base + (extract(year from rate_date)*372 + extract(month from rate_date)*31 + extract(day from rate_date)) % 97 as decimal(18,6)) as units_per_usd
@@ -43,9 +51,10 @@ from (select distinct disbursed_date as rate_date from fx_loans) d cross join (s
 where extract(day from rate_date) % 7 not in (0, 6)
 """,
     "fx_merchants": """
-select s_suppkey as merchant_id, s_name as merchant_name, case when s_suppkey % 50 = 0 then null else concat('CAT', cast(s_nationkey % 5 as varchar(5))) end as category, date '1995-01-01' as valid_from from supplier
+select s_suppkey as merchant_id, s_name as merchant_name, case when s_suppkey % 50 = 0 then null else concat('CAT', cast(s_nationkey % 5 as varchar(5))) end as category, date '1992-01-01' as valid_from,
+  case when s_nationkey % 2 = 0 then 'CO' else 'BR' end as country from supplier
 union all
-select s_suppkey, upper(s_name), concat('CAT', cast((s_nationkey + 1) % 5 as varchar(5))), date '1998-01-01' from supplier where s_suppkey % 4 = 0
+select s_suppkey, upper(s_name), concat('CAT', cast((s_nationkey + 1) % 5 as varchar(5))), date '1998-01-01', case when s_nationkey % 2 = 0 then 'CO' else 'BR' end from supplier where s_suppkey % 4 = 0
 """,
     "fx_customers": """
 select c_custkey as customer_id, cast(c_custkey % (select cast(floor(0.97 * (max(c_custkey) + 1)) as bigint) from customer) as varchar(20)) as document_number,
@@ -61,14 +70,16 @@ select event_id as event_pk, user_id*20 + event_id % 20 as application_id, case
   user_id % 100 as merchant_id, case event_type when 'purchase' then 'APPROVED' when 'error' then 'REJECTED' else 'CREATED' end as status,
   cast(value as decimal(18,2)) as requested_amount,
   case when event_id % 41 = 0 then 'D' when event_type = 'signup' then 'I' else 'U' end as cdc_op,
-  date_trunc('second', ts) as event_at_utc, date_trunc('second', ts) + ((event_id * 7919) % 172800) * interval '1' second as ingested_at_utc
+  date_trunc('second', ts) as event_at_utc, date_trunc('second', ts) + ((event_id * 7919) % 172800) * interval '1' second as ingested_at_utc,
+  case when user_id % 2 = 0 then 'COP' else 'BRL' end as currency
 from events
 union all
 select 1000000000000 + application_id * 2 + step, application_id, case when step = 0 and application_id % 11 = 0 then 999999999 else customer_id end,
   case when application_id % 29 = 5 then merchant_id + 1 else merchant_id end,
   case when step = 0 then 'CREATED' when application_id % 13 = 3 then 'REJECTED' else 'APPROVED' end, principal,
   case when step = 0 then 'I' when application_id % 37 = 7 then 'D' else 'U' end,
-  cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day, cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day + ((application_id * 7919) % 172800) * interval '1' second
+  cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day, cast(disbursed_at_utc as timestamp) - (3 - step) * interval '1' day + ((application_id * 7919) % 172800) * interval '1' second,
+  case when application_id % 31 = 9 then case currency when 'COP' then 'BRL' else 'COP' end else currency end
 from fx_loans cross join (select 0 as step union all select 1) s
 where application_id % 17 <> 1
 """,

@@ -52,7 +52,7 @@ class Upsert:
     def __init__(self, spark: SparkSession, buckets: int = 8, lookback: str | None = None, root: str | None = None) -> None:
         self.spark, self.lookback = spark, lookback
         self.events = T._parse_datatype_string(
-            "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz"
+            "event_pk long, application_id long, customer_id_raw long, merchant_id long, status string, requested_amount decimal(18,2), cdc_op string, event_at_utc timestamp_ntz, ingested_at_utc timestamp_ntz, currency string"
         )
         schemas = {"partials": cdc_partials(spark.createDataFrame([], self.events)).schema}
         self.store = BucketStore(spark, "application_id", schemas, buckets, root)
