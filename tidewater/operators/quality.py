@@ -169,9 +169,18 @@ def outcome(checks: Sequence[tuple[str, str, str, str, DataFrame]]) -> DataFrame
     return rows.withColumn("status", status)
 
 
-def matrix(results: DataFrame) -> DataFrame:
-    """Checks by model and dimension."""
-    return results.groupBy("model").pivot("dimension", list(DIMENSIONS)).agg(F.count(F.lit(1))).na.fill(0)
+def matrix(results: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Checks by model and dimension; of each model also how many there are, how many warn or fail, the dimensions covered and the worst status.
+
+    Models without any check stand with zeros and the status ``none``.
+    """
+    all_models = results.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    counts = results.groupBy("model").pivot("dimension", list(DIMENSIONS)).agg(F.count(F.lit(1)))
+    state = results.groupBy("model").agg(
+        F.count("*").alias("checks"), F.count_if(F.col("status") == "warn").alias("warnings"), F.count_if(F.col("status") == "error").alias("errors"), F.countDistinct("dimension").alias("covered")
+    )
+    worst = F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warn").when(F.col("checks") > 0, "pass").otherwise("none")
+    return all_models.join(counts, "model", "left").join(state, "model", "left").na.fill(0).withColumn("status", worst)
 
 
 def greedy_fifo(payments: DataFrame, installments: DataFrame) -> DataFrame:

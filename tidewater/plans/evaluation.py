@@ -54,6 +54,20 @@ union all select id, 'secondary', gold_secondary, pred_reason, gold_secondary =
 NAMED["d_classes"] = "select gold_reason, count(*) as size, greatest(least(2, count(*))::double, count(*) * 60.0::double / (select count(*) from fx_predictions)) as want from fx_predictions group by 1"
 NAMED["d_quota"] = """select gold_reason, least(size, low + case when row_number() over (order by want - low desc, gold_reason) <= (select 60 - sum(least(size, floor(want))) from d_classes) then 1 else 0 end) as quota from (select *, least(size, floor(want)) as low from d_classes) x"""
 key("stratified_sample", "select id, gold_reason from (select id, p.gold_reason, quota, row_number() over (partition by p.gold_reason order by substr(md5(id), 1, 13), id) as r from fx_predictions p join d_quota q on q.gold_reason = p.gold_reason) x where r <= quota")(lambda m: E.stratified_sample(m.fx_predictions, "gold_reason", 60))
+_HARD = "gold_secondary is not null and gold_reason <> pred_reason"
+NAMED["d_draws"] = f"select id, gold_reason as label, substr(md5(id), 1, 13) as draw, {_HARD} as hard from fx_predictions"
+NAMED["d_hard"] = "select id, label from d_draws where hard order by draw, id limit 90"
+NAMED["d_pools"] = """select c.label, c.size, coalesce(h.have, 0) as have, c.size - coalesce(h.have, 0) as pool, least(c.size - coalesce(h.have, 0), greatest(0, 2 - coalesce(h.have, 0))) as low
+from (select label, count(*) as size from d_draws group by 1) c left join (select label, count(*) as have from d_hard group by 1) h using (label)"""
+NAMED["d_filled"] = """select label, count(*) as more from (select label, want - j as deficit, row_number() over (order by want - j desc, label desc) as r from (
+  select label, size::double / (select sum(size) from d_pools)::double * 90 - have - low as want, unnest(generate_series(1, least(pool - low, 90))) as j from d_pools where pool > low) u) v
+where r <= 90 - (select sum(have + low) from d_pools) group by 1"""
+key("hard_first_sample", """select id, label, tier from (select *, row_number() over (order by case tier when 'hard' then 0 when 'least' then 1 else 2 end, label, id) as place from (
+  select id, label, 'hard' as tier from d_hard union all
+  select d.id, d.label, case when r <= low then 'least' else 'fill' end from (select *, row_number() over (partition by label order by draw, id) as r from d_draws where id not in (select id from d_hard)) d
+    join d_pools p on p.label = d.label left join d_filled f on f.label = d.label where r <= low + coalesce(more, 0)) x) y where place <= 90""")(
+    lambda m: E.hard_first_sample(m.fx_predictions, "gold_reason", F.expr(_HARD), 90)
+)
 key("capped_sample", "select id, gold_reason from (select id, gold_reason, row_number() over (partition by gold_reason order by id) as r from fx_predictions) x where r <= 10 order by id limit 30")(lambda m: E.capped_sample(m.fx_predictions.select("id", "gold_reason"), "gold_reason", 30, 10))
 
 

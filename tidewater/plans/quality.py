@@ -179,7 +179,11 @@ def _checks(m: Models) -> DataFrame:
 NAMED["d_checks"] = """select *, case when failures = 0 then 'pass' when severity = 'warn' then 'warn' else 'error' end as status from (
   """ + "\n  union all ".join(f"select '{name}' as \"check\", '{model}' as model, '{dimension}' as dimension, '{severity}' as severity, (select count(*) from {_failing_sql(name)}) as failures" for name, (model, dimension, severity, _) in CHECKS.items()) + ") c"
 key("dq_audit_rows", 'select "check", model, dimension, severity, failures, status from d_checks')(_checks)
-key("dq_matrix", "select model, " + ", ".join(f"count(*) filter (where dimension = '{d}') as {d}" for d in Q.DIMENSIONS) + " from d_checks group by 1")(lambda m: Q.matrix(_checks(m)))
+#: All models that checks may be about.
+MODELS = ("allocation", "applications", "calendar", "customers", "facts", "installments", "loans", "merchants", "monthly", "payments", "people", "series", "snapshot", "status")
+key("dq_matrix", "select model, " + ", ".join(f"count(*) filter (where dimension = '{d}') as {d}" for d in Q.DIMENSIONS) + """, count("check") as checks, count(*) filter (where status = 'warn') as warnings, count(*) filter (where status = 'error') as errors,
+  count(distinct dimension) as covered, case when count(*) filter (where status = 'error') > 0 then 'error' when count(*) filter (where status = 'warn') > 0 then 'warn' when count("check") > 0 then 'pass' else 'none' end as status
+from (select unnest([""" + ", ".join(f"'{m}'" for m in MODELS) + "]) as model) m left join d_checks using (model) group by 1")(lambda m: Q.matrix(_checks(m), MODELS))
 
 
 @key("dq_failing_rows", "\nunion all ".join(f"select '{name}' as \"check\", '{CHECKS[name][2]}' as severity, cast(k as varchar) as failing from (select * from {_failing_sql(name)}) g(k)" for name in CHECKS))
@@ -243,6 +247,26 @@ def _(m: Models) -> DataFrame:
     return out
 
 
+STORED = ("dq_fifo_no_skip", "dq_scd2_one_current", "dq_accepted_range", "dq_source_cutover", "dq_calendar_complete")
+
+
+def _stored_sql(run: str, name: str, seeded: bool) -> str:
+    sql = re.sub(r"\bd_(\w+)", lambda w: f"s_{w[1]}" if seeded and w[1] in SEEDS else w[0], MADE[name][1])
+    return f"select '{run}' as run, '{name}' as \"check\", '{CHECKS[name][2]}' as severity, cast(k as varchar) as failing from (select * from ({sql}) f) g(k)"
+
+
+@key("dq_stored_rows", "\nunion all ".join(_stored_sql(run, name, seeded) for run, seeded in (("first", False), ("second", True)) for name in STORED))
+def _(m: Models) -> DataFrame:
+    """Whole failing rows of two runs in the audit sink, read back: the first run was seeded and then run again on sound models, the second is seeded."""
+    sink = Q.AuditSink(m.spark)
+    failing = lambda of: {name: (CHECKS[name][2], MADE[name][0](of)) for name in STORED}
+    sink.write("first", failing(Seeded(m)))
+    sink.write("second", failing(Seeded(m)))
+    sink.write("first", failing(m))
+    first_column = F.regexp_extract("row", '^\\{"[^"]*":"?([^",}]*)', 1)
+    return sink.read().select("run", "check", "severity", first_column.alias("failing"))
+
+
 @key("crosscheck_independent", """select loan_id, installment_number, cast(round(paid_any * 100) as bigint) as paid_cents, cast(round(paid_any * 100) as bigint) as greedy_cents, true as same
 from d_status where amount_due > 0""")
 def _(m: Models) -> DataFrame:
@@ -275,39 +299,10 @@ C, _if = F.col, F.count_if
 _w = lambda cond: f"count(*) filter (where {cond})"
 both = lambda cond: (f"count_if({cond})", _w(cond))
 
-key("profile_timestamp_shapes", "select regexp_replace(event_at_utc, '[0-9]', '9', 'g') as shape, count(*) as n, min(event_at_utc) as example from fx_cdc_raw group by 1")(
-    lambda m: m.fx_cdc_raw.groupBy(value_shape(C("event_at_utc")).alias("shape")).agg(F.count("*").alias("n"), F.min("event_at_utc").alias("example"))
-)
 key("value_shape", "select regexp_replace(loan_ref, '[0-9]', '9', 'g') as shape, count(*) as n from fx_payments group by 1")(lambda m: m.fx_payments.groupBy(value_shape(C("loan_ref")).alias("shape")).agg(F.count("*").alias("n")))
 
 
-@key("profile_duplicates", " union all ".join(f"select '{t}' as extract, (select count(*) from {t}) as total, (select count(*) from (select distinct * from {t}) d) as distinct_rows, (select count(*) from (select 1 from {t} group by {k} having count(*) > 1) g) as duplicate_keys" for t, k in (("fx_merchants", "merchant_id"), ("fx_customers", "document_number"), ("fx_cdc", "application_id"))))
-def _(m: Models) -> DataFrame:
-    out = None
-    for name, k in (("fx_merchants", "merchant_id"), ("fx_customers", "document_number"), ("fx_cdc", "application_id")):
-        df = getattr(m, name)
-        row = df.agg(F.count("*").alias("total")).crossJoin(df.distinct().agg(F.count("*").alias("distinct_rows"))).crossJoin(Q.not_unique(df, [k]).agg(F.count("*").alias("duplicate_keys")))
-        row = row.select(F.lit(name).alias("extract"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-long("profile_cdc", lambda m: m.fx_cdc, "fx_cdc", events=("count(*)", "count(*)"), applications=("count(distinct application_id)", "count(distinct application_id)"), inserts=both("cdc_op = 'I'"), updates=both("cdc_op = 'U'"), deletes=both("cdc_op = 'D'"),
-     placeholder=both("customer_id_raw = 999999999"), approved=both("status = 'APPROVED'"), rejected=both("status = 'REJECTED'"))
-long("profile_integrity", lambda m: m.validated, "d_validated", loans=("count(*)", "count(*)"), valid=both("is_valid_loan"), no_application=both("invalid_reason = 'NO_APPLICATION'"), deleted=both("invalid_reason = 'APPLICATION_DELETED'"), not_approved=both("invalid_reason = 'APPLICATION_NOT_APPROVED'"), principal_min=("min(principal)", "min(principal)"), principal_max=("max(principal)", "max(principal)"))
-long("profile_payments", lambda m: m.fx_payments, "fx_payments", rows=("count(*)", "count(*)"), legacy=both("source_system = 'legacy_v1'"), core=both("source_system = 'core_v2'"), reversed=both("status = 'REVERSED'"), prefixed=both("loan_ref like 'LN-%'"), refs=("count(distinct loan_ref)", "count(distinct loan_ref)"),
-     median_legacy=("median(case when source_system = 'legacy_v1' then double(amount_raw) end)", "median(amount_raw::double) filter (where source_system = 'legacy_v1')"))
 long("profile_calendar_gaps", lambda m: m.calendar, "d_calendar", days=("count(*)", "count(*)"), published=both("is_published"), missing=both("not is_published"), weekend_missing=("count_if(not is_published and dayofweek(rate_date) in (1, 7))", "count(*) filter (where not is_published and dayofweek(rate_date) in (0, 6))"), stalest=("max(days_stale)", "max(days_stale)"))
-long("profile_customers", lambda m: m.fx_customers, "fx_customers", ids=("count(*)", "count(*)"), documents=("count(distinct document_number)", "count(distinct document_number)"), untrimmed=both("city <> trim(city)"), sentinel_year=both("birth_year <= 1900"), negative_income=both("monthly_income = '-1'"), missing_income=both("monthly_income = 'N/A'"))
-long("profile_merchants", lambda m: m.fx_merchants, "fx_merchants", versions=("count(*)", "count(*)"), merchants=("count(distinct merchant_id)", "count(distinct merchant_id)"), no_category=both("category is null"), upper_names=("count_if(merchant_name = upper(merchant_name))", "count(*) filter (where merchant_name = upper(merchant_name))"))
-long("profile_cdc_resolution", lambda m: m.applications, "d_applications", applications=("count(*)", "count(*)"), valid=both("is_valid"), approved=both("is_approved"), deleted=both("is_deleted"), out_of_order=both("is_out_of_order"), unresolved=both("has_unresolved_customer"), events=("sum(n_events)", "sum(n_events)"))
-long("profile_scd2", lambda m: m.merchants, "d_merchants", versions=("count(*)", "count(*)"), current=both("is_current"), changes=both("is_category_change"), unknown=both("category = 'UNKNOWN'"), carried=both("category_origin = 'CARRIED_FORWARD'"))
-long("profile_identity", lambda m: m.people, "d_people", people=("count(*)", "count(*)"), ids=("sum(n_ids)", "sum(n_ids)"), shared=both("n_ids > 1"), conflicts=both("has_conflict"), no_income=both("income is null"))
-long("profile_loans", lambda m: m.facts, "d_facts", loans=("count(*)", "count(*)"), unrated=both("principal_usd is null"), no_version=both("merchant_sk is null"), cop=both("currency = 'COP'"), plan_rows=("sum(n_installments)", "sum(n_installments)"))
-long("profile_effective", lambda m: m.netted, "d_netted", rows=("count(*)", "count(*)"), effective=both("payment_class = 'EFFECTIVE'"), reversed_out=both("payment_class = 'REVERSED_OUT'"), reversal_rows=both("payment_class = 'REVERSAL_ROW'"), twice=both("n_reversal_rows > 1"))
-long("profile_fifo", lambda m: m.status, "d_status", installments=("count(*)", "count(*)"), settled=both("is_settled"), partial=both("is_partial"), overdue=both("is_overdue"), early=both("settled_date < due_date"), late=both("settled_date > due_date"), paid=("sum(paid)", "sum(paid)"))
-long("profile_snapshot", lambda m: m.snapshot, "d_snapshot", loans=("count(*)", "count(*)"), par30=both("is_par30"), settled=both("loan_status = 'SETTLED'"), gross=("sum(outstanding_gross)", "sum(outstanding_gross)"), net=("sum(outstanding_net)", "sum(outstanding_net)"))
-long("profile_merchant_month", lambda m: m.monthly, "d_monthly", rows=("count(*)", "count(*)"), active=both("is_active"), loans=("sum(loans)", "sum(loans)"), applications=("sum(applications)", "sum(applications)"), changes=both("is_category_change"))
 
 
 @key("profile_ts_parse", """select 'rows' as metric, count(*)::double as value from fx_cdc_raw union all select 'parsed', count(*) from d_parsed where ts is not null
@@ -328,16 +323,6 @@ def _(m: Models) -> DataFrame:
     return R.typed_distinct(m.fx_cdc_raw, application_id=C("application_id").cast("bigint"), customer_id=C("customer_id").cast("bigint"), status=C("status"), cdc_op=C("cdc_op"), ts=parse_utc_ts(C("event_at_utc")))
 
 
-@key("row_count_funnel", """select stage, n, n - lag(n) over (order by seq) as delta from (select 1 as seq, 'raw' as stage, count(*) as n from fx_payments union all select 2, 'settled', count(*) from d_netted where status = 'SETTLED'
-union all select 3, 'effective', count(*) from d_netted where payment_class = 'EFFECTIVE' union all select 4, 'allocated', count(distinct payment_id) from d_allocation) x""")
-def _(m: Models) -> DataFrame:
-    from pyspark.sql import Window
-
-    netted = m.netted.agg(F.count("*").alias("a"), _if(C("status") == "SETTLED").alias("b"), _if(C("payment_class") == "EFFECTIVE").alias("c")).crossJoin(m.allocation.agg(F.countDistinct("payment_id").alias("d")))
-    stages = netted.selectExpr("stack(4, 1, 'raw', a, 2, 'settled', b, 3, 'effective', c, 4, 'allocated', d) as (seq, stage, n)")
-    return stages.withColumn("delta", C("n") - F.lag("n").over(Window.orderBy("seq"))).drop("seq")
-
-
 QUERIES = {n: (lambda spark, sf_dir, build=build: build(models(spark, sf_dir))) for n, (build, _) in MADE.items()}
 ORACLES = {n: statement(sql) for n, (_, sql) in MADE.items()}
 assert not set(MADE) & set(_LENDING)
