@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 #: Words of greetings and of thanks.
-GREETING = "hola holaa holaaa buenas buenos dias tardes noches buen dia hey que tal saludos".split()
-THANKS = "ok oki okey listo vale gracias muchas todo bien perfecto genial super ya quedo resuelto lo de ayer hoy entendido dale".split()
+GREETING = (
+    "hola", "holaa", "holaaa", "buenas", "buenos", "dias", "tardes", "noches", "buen", "dia", "hey", "que", "tal", "saludos",
+)
+THANKS = (
+    "ok", "oki", "okey", "listo", "vale", "gracias", "muchas", "todo", "bien", "perfecto", "genial", "super", "ya", "quedo", "resuelto", "lo", "de", "ayer", "hoy", "entendido", "dale",
+)
 
 #: Praise, and words of a test message.
 PRAISE = r"amable|excelente|felicit|agradec\w*\s+(?:a|al|la|el)|muy buen[ao]|s[uú]per bien|sigan as[ií]|me ayud[oó]|me atendi[oó]|r[aá]pid[oa]|f[aá]cil de usar|cliente fiel"
@@ -30,7 +34,9 @@ REFERENCE = r"(?:referencia|ref\.?|n[uú]mero de transacci[oó]n|transacci[oó]n
 MASKED = r"\b\d[\d\.]*[xX]{2,}[\dxX\.]*\b"
 METHOD = r"\b(?:PSE|Nequi|Daviplata|Efecty|Baloto|Bancolombia|Davivienda|corresponsal(?:es)? bancarios?|transferencia|tarjeta de cr[eé]dito|tarjeta d[eé]bito|tarjeta|efectivo|banco)\b"
 AGENT = r"\b(?:la asesora|el asesor|asesora|asesor)\s+([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+|[a-záéíóúñ]{3,})\b"
-NOT_AGENTS = "humano real que me de para por fue es muy".split()
+NOT_AGENTS = (
+    "humano", "real", "que", "me", "de", "para", "por", "fue", "es", "muy",
+)
 CARD = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
 _MONTHS = "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
 _DAYS = "lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo"
@@ -144,7 +150,9 @@ FORBIDDEN = (
 )
 
 #: Words that tell Spanish, and words that tell English.
-SPANISH = "de la el que en tu te para por con los las un una puedes nos si del al es se no lo tus mas desde hasta".split()
+SPANISH = (
+    "de", "la", "el", "que", "en", "tu", "te", "para", "por", "con", "los", "las", "un", "una", "puedes", "nos", "si", "del", "al", "es", "se", "no", "lo", "tus", "mas", "desde", "hasta",
+)
 ENGLISH = r"\b(the|please|your|you|we|thanks|hello|and|with)\b"
 
 #: What is left of a template: brackets, and words in capitals.
@@ -157,3 +165,25 @@ NUMBER_WORDS = {
 }
 UNIT = r"(?:d[ií]as?|horas?|minutos?|semanas?|mes(?:es)?|veces|vez|intentos?|a[nñ]os?|cuotas?|pagos?)"
 WORD_NUMBER = rf"\b({'|'.join(NUMBER_WORDS)})\s+{UNIT}\b"
+
+#: Sections of the policy that a reply to a reason may cite, in this order; other reasons have none.
+SECTIONS = {
+    "consulta_saldo_cuotas": ("pagos_y_cuotas.saldo_y_cuotas",),
+    "fecha_de_pago": ("pagos_y_cuotas.fechas_de_pago",),
+    "no_puede_pagar": ("mora_y_centrales.no_puede_pagar", "mora_y_centrales.mora_e_intereses"),
+    "refinanciacion_acuerdo": ("mora_y_centrales.no_puede_pagar",),
+    "pago_no_aplicado": ("pagos_y_cuotas.pagos_no_aplicados",),
+    "metodos_de_pago": ("pagos_y_cuotas.metodos_de_pago",),
+    "mora_intereses": ("mora_y_centrales.mora_e_intereses", "mora_y_centrales.reporte_centrales"),
+    "reporte_centrales": ("mora_y_centrales.reporte_centrales", "mora_y_centrales.paz_y_salvo"),
+    "cuenta_y_app": ("cuenta_app_seguridad.acceso_otp", "cuenta_app_seguridad.cuenta_bloqueada", "cuenta_app_seguridad.app_no_funciona"),
+    "datos_personales": ("datos_certificados_pqr.actualizacion_datos",),
+    "certificados_extractos": ("datos_certificados_pqr.certificados_extractos", "mora_y_centrales.paz_y_salvo"),
+    "fraude_seguridad": ("cuenta_app_seguridad.fraude_seguridad",),
+    "queja_reclamo": ("datos_certificados_pqr.pqr",),
+    "cancelacion": ("datos_certificados_pqr.cancelacion", "pagos_y_cuotas.pago_anticipado"),
+    "pago_anticipado": ("pagos_y_cuotas.pago_anticipado",),
+}
+
+#: Sections that an override adds.
+EXTRA_SECTIONS = {"OVR_LEGAL": ("datos_certificados_pqr.pqr",)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,33 @@ def expectation_checks(df: DataFrame, expected: dict[str, tuple[str, str]]) -> D
     return df.select("id", rows.alias("c")).select("id", "c.*").withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
 
 
+def fixture_checks(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """``id, check, ok`` for every expectation of a message: fourteen kinds, each in a column ``e_...`` that is null where nothing is expected.
+
+    What came out stands beside: ``final_reason, action, priority, queue, reply_source, reply`` (null if none is sent), ``language, document_number, masked_values, calls, language_ok,
+    verified`` and one boolean for each flag. Checks of a reply that must hold for any reply are made only if there is one. A null outcome is not what was expected.
+    """
+    flag = F.coalesce(*[F.when(F.col("e_flag") == f, F.col(f)) for f in flags])
+    reply, sent = F.coalesce("reply", F.lit("")), F.col("reply").isNotNull()
+    text = lambda c: F.col(c).cast("string")
+    equal = lambda name, expected, actual: F.when(F.col(expected).isNotNull(), F.struct(F.concat(F.lit(name + " "), text(expected)).alias("check"), (F.col(expected) == F.col(actual)).alias("ok")))
+    holds = lambda name, expected, ok, only=None: F.when(F.coalesce(F.col(expected), F.lit(False)) & (F.lit(True) if only is None else only), F.struct(F.lit(name).alias("check"), ok.alias("ok")))
+    masked = F.array_contains("masked_values", F.col("e_masked_kept")) & ~F.contains(reply, F.col("e_masked_kept")) | ~sent
+    single = F.array_compact(F.array(
+        F.when(F.col("e_flag").isNotNull(), F.struct(F.concat(F.lit("flag "), F.col("e_flag")).alias("check"), flag.alias("ok"))),
+        equal("reason", "e_reason", "final_reason"), equal("action", "e_action", "action"), equal("priority", "e_priority", "priority"), equal("queue", "e_queue", "queue"),
+        holds("no reply sent", "e_no_reply", ~sent), equal("reply source", "e_reply_source", "reply_source"), equal("language", "e_language", "language"),
+        holds("reply in Spanish", "e_reply_language_es", F.col("language_ok"), sent), holds("document number not extracted", "e_document_number_none", F.col("document_number").isNull()),
+        F.when(F.col("e_masked_kept").isNotNull(), F.struct(F.lit("masked value kept masked").alias("check"), masked.alias("ok"))),
+        equal("llm calls ==", "e_llm_calls", "calls"), holds("verifier passed", "e_verifier_passed_if_reply", F.col("verified"), sent),
+    ))
+    needles = F.transform(
+        F.coalesce("e_reply_must_not_contain", F.array().cast("array<string>")),
+        lambda x: F.struct(F.concat(F.lit("reply does not contain "), x).alias("check"), (~F.contains(F.lower(reply), F.lower(x))).alias("ok")),
+    )
+    return df.select("id", F.inline(F.concat(single, needles))).withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
 def stratified_sample(df: DataFrame, label: str, n: int, least: int = 2) -> DataFrame:
     """``n`` rows: ``least`` of each class, the rest in proportion, largest remainder first; rows by hash of the id.
 

@@ -170,7 +170,7 @@ def entities(df: DataFrame, text: str = "text") -> DataFrame:
     second = F.get(methods, F.lit(1))
     out = out.withColumn("payment_method", F.when((F.lower(F.get(methods, F.lit(0))) == "banco") & second.isNotNull(), second).otherwise(F.get(methods, F.lit(0))))
     agent = first(t, P.AGENT, 1, "(?U)")
-    out = out.withColumn("named_agent", F.when(~F.lower(agent).isin(P.NOT_AGENTS), agent))
+    out = out.withColumn("named_agent", F.when(~F.lower(agent).isin(*P.NOT_AGENTS), agent))
     return verbatim(out, text)
 
 
@@ -323,6 +323,14 @@ def gap_routed(routed: DataFrame) -> DataFrame:
     }).drop("_gap", "_up")
 
 
+def allowed_sections(routed: DataFrame) -> DataFrame:
+    """What `route` gives, with ``allowed``: the sections of the reason, then of its secondary reasons, then what the override adds, each once and in this order."""
+    table = lambda of: F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    own = F.flatten(F.transform(F.concat(F.array("final_reason"), F.coalesce("final_secondary", none)), lambda r: F.coalesce(F.element_at(table(P.SECTIONS), r), none)))
+    return routed.withColumn("allowed", F.array_distinct(F.concat(own, F.coalesce(F.element_at(table(P.EXTRA_SECTIONS), F.coalesce("override", F.lit(""))), none))))
+
+
 def signal_counts(df: DataFrame) -> DataFrame:
     """``signal, n, example``: messages that show each signal and the smallest id of these, in one pass; a signal never seen has n 0."""
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
@@ -363,7 +371,7 @@ def reply_checks(replies: DataFrame, sections: DataFrame) -> DataFrame:
     digits = lambda c: F.regexp_replace(c, r"\D", "")
     echo = (F.length(digits(F.col("document_number"))) >= 5) & F.contains(digits(F.col("reply")), digits(F.col("document_number")))
     words = F.size(F.filter(F.split("reply", r"\s+"), lambda w: w != ""))
-    spanish = F.size(F.filter(tokens, lambda t: t.isin(P.SPANISH)))
+    spanish = F.size(F.filter(tokens, lambda t: t.isin(*P.SPANISH)))
     contacts = F.regexp_extract_all("reply", F.lit(r"(?i)[\w.+-]+@[\w-]+\.[\w.-]+|https?://\S+|www\.\S+"), F.lit(0))
     bad = F.lit(False)
     for phrase in P.FORBIDDEN:
@@ -394,13 +402,38 @@ def batch_summary(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.section", "e.key").agg(F.count("*").alias("n"))
 
 
+CASE = ("auto_reply_and_route", "route_to_human")
+
+
+def batch_totals(gapped: DataFrame, duplicates: DataFrame, groups: DataFrame, prices: dict[str, float]) -> DataFrame:
+    """``measure, value`` for a whole batch: work, replies, gaps, copies, doubts, tokens and cost. ``gapped`` is what `gap_routed` gives, with a column of tokens for each price."""
+    reply, gap = F.col("reply_source") != "none", F.size("gaps") > 0
+    cost = sum((F.col(c) * p / 1e6 for c, p in prices.items()), F.lit(0.0))
+    measures = {
+        "messages": F.count("*"), "replies_ready": F.count_if(reply), "auto_answerable": F.count_if(reply & F.col("action").isin(*AUTO)), "cases_opened": F.count_if(F.col("action").isin(*CASE)),
+        "drafts": F.count_if(F.col("reply_source") == "llm"), "gaps_no_policy": F.count_if(gap & (F.col("coverage") == "none")), "gaps_partly_covered": F.count_if(gap & (F.col("coverage") != "none")),
+        "low_confidence": F.count_if(F.col("confidence") < CONFIDENCE), "unclassified": F.count_if(F.col("final_reason").isNull()), **{c: F.sum(c) for c in prices}, "cost_usd": F.round(F.sum(cost), 6),
+    }
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("k")).agg(F.count("*").alias("near_groups"), F.coalesce(F.sum("k"), F.lit(0)).alias("near_messages"), F.coalesce(F.max("k"), F.lit(0)).alias("largest_group"))
+    one = gapped.agg(*[c.cast("double").alias(n) for n, c in measures.items()]).withColumn("auto_answerable_share", F.when(F.col("messages") > 0, F.round(F.col("auto_answerable") / F.col("messages"), 4)).otherwise(0.0))
+    one = one.crossJoin(duplicates.agg(F.count("duplicate_of").alias("exact_duplicates"))).crossJoin(sizes)
+    return one.selectExpr(f"stack({len(one.columns)}, " + ", ".join(f"'{c}', cast({c} as double)" for c in one.columns) + ") as (measure, value)")
+
+
+def queue_matrix(routed: DataFrame) -> DataFrame:
+    """Cases by queue and priority."""
+    cases = routed.where(F.col("action").isin(*CASE) & (F.col("queue") != "none"))
+    return cases.groupBy("queue").agg(*[F.count_if(F.col("priority") == p).alias(f"p{p}") for p in range(5)], F.count("*").alias("cases"))
+
+
 def reason_breakdown(df: DataFrame) -> DataFrame:
-    """Per reason: number, share, replies ready, cases, mean confidence."""
+    """Per reason: number, share, replies ready, cases, mean and least confidence."""
     total = df.agg(F.count("*").alias("t"))
     per = df.groupBy("final_reason").agg(
-        F.count("*").alias("n"), F.count_if(F.col("reply_source") != "none").alias("ready"), F.count_if(F.col("queue") != "none").alias("cases"), F.round(F.avg("confidence"), 6).alias("confidence")
+        F.count("*").alias("n"), F.count_if(F.col("reply_source") != "none").alias("ready"), F.count_if(F.col("queue") != "none").alias("cases"), F.round(F.avg("confidence"), 6).alias("confidence"),
+        F.min("confidence").alias("least_confidence"),
     )
-    return per.crossJoin(total).select("final_reason", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), "ready", "cases", "confidence")
+    return per.crossJoin(total).select("final_reason", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), "ready", "cases", "confidence", "least_confidence")
 
 
 def usage_rollup(calls: DataFrame, prices: dict[str, float]) -> DataFrame:

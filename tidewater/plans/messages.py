@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import patterns as P
 from tidewater.functions import scalar as S
+from tidewater.operators import evaluate as E
 from tidewater.operators import messages as M
 from tidewater.plans.lending import Models, models
 from tidewater.sources.oracle import NAMED, statement
@@ -244,13 +245,41 @@ key("route_decision", "select id, final_reason, override, action, queue from d_r
 key("priority_calc", "select id, priority, sla_hours from d_routed")(lambda m: M.route(_final(m)).select("id", "priority", "sla_hours"))
 key("reply_source_resolution", "select id, template, reply_source from d_routed")(lambda m: M.route(_final(m)).select("id", "template", "reply_source"))
 NAMED["d_gaps"] = "select id, final_reason, list_filter([" + ", ".join(f"case when final_reason = {_q(r)} and {_has('text', p)} then {_q(g)} end" for r, p, g in P.GAPS) + "], lambda x: x is not null) as gaps from d_final"
-key("known_gap_detection", """select id, array_to_string(gaps, ';') as gaps, case when up then 'auto_reply_and_route' else action end as action, case when up and queue = 'none' then general else queue end as queue,
+NAMED["d_gapped"] = """select id, final_reason, coverage, reply_source, confidence, priority, input_tokens, output_tokens, cached_tokens, gaps, case when up then 'auto_reply_and_route' else action end as action, case when up and queue = 'none' then general else queue end as queue,
   concat_ws(',', override, case when lost then 'NO_REPLY_SOURCE' end, case when len(gaps) > 0 then 'KNOWN_GAP' end, case when up then 'GAP_ROUTED' end) as codes
-from (select r.* exclude (act), g.gaps, len(g.gaps) > 0 and r.action = 'auto_reply' and r.reply_source <> 'none' as up from d_routed r join d_gaps g using (id)) x""")(
+from (select r.* exclude (act), g.gaps, len(g.gaps) > 0 and r.action = 'auto_reply' and r.reply_source <> 'none' as up from d_routed r join d_gaps g using (id)) x"""
+key("known_gap_detection", "select id, array_to_string(gaps, ';') as gaps, action, queue, codes from d_gapped")(
     lambda m: M.gap_routed(M.route(_final(m))).select("id", F.array_join("gaps", ";").alias("gaps"), "action", "queue", F.array_join("codes", ",").alias("codes"))
 )
-key("gap_details", "select final_reason, count(*) as n, count(distinct gap) as kinds from (select final_reason, unnest(gaps) as gap from d_gaps) x group by 1")(
-    lambda m: M.known_gaps(_final(m)).select("final_reason", F.explode("gaps").alias("gap")).groupBy("final_reason").agg(F.count("*").alias("n"), F.countDistinct("gap").alias("kinds"))
+_LISTED = lambda of: "case {0} " + " ".join(f"when {_q(k)} then [{', '.join(map(_q, v))}]" for k, v in of.items()) + " else [] end"
+NAMED["d_sections"] = f"select id, {_LISTED(P.SECTIONS).format('final_reason')} || {_LISTED(P.SECTIONS).format('final_second')} || {_LISTED(P.EXTRA_SECTIONS).format('override')} as l from d_over"
+key("allowed_sections", "select id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ';') as allowed from d_sections")(
+    lambda m: M.allowed_sections(M.route(_final(m))).select("id", F.array_join("allowed", ";").alias("allowed"))
+)
+_PRICES = {"input_tokens": 3.0, "output_tokens": 15.0, "cached_tokens": 0.3}
+_GROUPED = """select id, group_id from (select id, dense_rank() over (order by head_at, head_id) as group_id from (
+  select id, min_by(received_at_utc, (received_at_utc, id)) over w as head_at, min_by(id, (received_at_utc, id)) over w as head_id, count(*) over w as n from (
+    select t.id, t.received_at_utc, coalesce(c.component, s.rep) as component from d_tokens t join d_sets s on s.tokens = t.tokens left join d_components c on c.node = s.rep) x
+  window w as (partition by component)) y where n > 1) z"""
+NAMED["d_totals"] = f"""select count(*)::double as messages, count(*) filter (where reply_source <> 'none') as replies_ready, count(*) filter (where reply_source <> 'none' and action like 'auto%') as auto_answerable, count(*) filter (where action in ('auto_reply_and_route', 'route_to_human')) as cases_opened,
+  count(*) filter (where reply_source = 'llm') as drafts, count(*) filter (where len(gaps) > 0 and coverage = 'none') as gaps_no_policy, count(*) filter (where len(gaps) > 0 and coverage <> 'none') as gaps_partly_covered,
+  count(*) filter (where confidence < 0.6) as low_confidence, count(*) filter (where final_reason is null) as unclassified, sum(input_tokens) as input_tokens, sum(output_tokens) as output_tokens, sum(cached_tokens) as cached_tokens,
+  round(sum(input_tokens * 3.0::double / 1e6 + output_tokens * 15.0::double / 1e6 + cached_tokens * 0.3::double / 1e6), 6) as cost_usd,
+  round(count(*) filter (where reply_source <> 'none' and action like 'auto%')::double / count(*)::double, 4) as auto_answerable_share,
+  (select count(*) from (select case when whole <> '' then first_value(id) over (partition by whole order by received_at_utc, id) else id end as f, id from d_tokens) q where f <> id) as exact_duplicates,
+  (select count(*) from (select group_id from ({_GROUPED}) g group by 1) h) as near_groups, (select count(*) from ({_GROUPED}) g) as near_messages, (select coalesce(max(k), 0) from (select count(*) as k from ({_GROUPED}) g group by group_id) h) as largest_group
+from d_gapped"""
+_MEASURES = ("messages", "replies_ready", "auto_answerable", "cases_opened", "drafts", "gaps_no_policy", "gaps_partly_covered", "low_confidence", "unclassified", "input_tokens", "output_tokens", "cached_tokens", "cost_usd", "auto_answerable_share", "exact_duplicates", "near_groups", "near_messages", "largest_group")
+key("batch_totals", " union all ".join(f"select '{n}' as measure, {n}::double as value from d_totals" for n in _MEASURES))(
+    lambda m: M.batch_totals(M.gap_routed(M.route(_final(m))), M.exact_duplicates(m.fx_messages), M.near_duplicate_groups(m.fx_messages), _PRICES)
+)
+key("queue_priority_matrix", "select queue, " + ", ".join(f"count(*) filter (where priority = {p}) as p{p}" for p in range(5)) + ", count(*) as cases from d_gapped where action in ('auto_reply_and_route', 'route_to_human') and queue <> 'none' group by 1")(
+    lambda m: M.queue_matrix(M.gap_routed(M.route(_final(m))))
+)
+key("gap_details", """select final_reason, coverage, count(*) as n, count(distinct gap) as kinds, string_agg(distinct gap, '; ' order by gap) as texts from (select final_reason, coverage, unnest(gaps) as gap from d_gapped) x group by 1, 2""")(
+    lambda m: M.gap_routed(M.route(_final(m))).select("final_reason", "coverage", F.explode("gaps").alias("gap")).groupBy("final_reason", "coverage").agg(
+        F.count("*").alias("n"), F.countDistinct("gap").alias("kinds"), F.array_join(F.array_sort(F.collect_set("gap")), "; ").alias("texts")  # texts of the policy's few known gaps
+    )
 )
 
 
@@ -274,10 +303,50 @@ key("reply_policy_checks", "select * from d_checked")(lambda m: _checked(m).sele
 key("reply_outcome", "select id, array_to_string(list_filter([" + ", ".join(f"case when not {c}_ok then 'VERIFIER_{c.upper()}' end" for c in M.CHECKS) + "], lambda x: x is not null), ',') as codes, case when " + " and ".join(f"{c}_ok" for c in M.CHECKS) + " then 'auto_reply' else 'route_to_human' end as final_action from d_checked")(
     lambda m: M.reply_outcome(_checked(m)).select("id", F.array_join("verifier_codes", ",").alias("codes"), "final_action")
 )
+#: What is expected of messages, from a number made of each; the same text on both sides.
+_EXPECTED = {
+    "e_flag": "case h % 5 when 0 then 'requests_human' when 1 then 'fraud_or_security' when 2 then 'vulnerable_customer' end", "e_reason": "case when h % 3 = 0 then reason end", "e_action": "case h % 4 when 0 then 'route_to_human' when 1 then 'auto_reply' end",
+    "e_priority": "case when h % 3 = 1 then h % 5 end", "e_queue": "case h % 7 when 0 then 'cx_general' when 1 then 'none' end", "e_no_reply": "case when h % 8 = 0 then true end", "e_reply_source": "case when h % 9 < 3 then 'llm' end",
+    "e_language": "case when h % 4 = 2 then 'es' end", "e_reply_language_es": "case when h % 2 = 0 then true end", "e_document_number_none": "case when h % 12 < 4 then true end", "e_masked_kept": "case when h % 13 < 3 then '1.0xx.xxx.xxx' end",
+    "e_llm_calls": "case when h % 14 < 5 then 1 + h % 2 end", "e_verifier_passed_if_reply": "case when h % 3 = 2 then true end",
+}
+_LANGUAGE = "case when lower(text) like '% der %' then 'de' when lower(text) like '% les %' then 'fr' when lower(text) like '% el %' or lower(text) like '%hola%' then 'es' else 'en' end"
+_PASSED = " and ".join(f"{c}_ok" for c in M.CHECKS)
+NAMED["d_outcomes"] = f"""select r.id, r.final_reason, r.priority, r.reply_source, g.action, g.queue, case when r.reply_source <> 'none' then f.reply end as reply, {_LANGUAGE.replace('text', 'r.text')} as language, e.document_number, regexp_extract_all(r.text, {_q('(?i)' + P.MASKED)}) as masked_values,
+  case when r.reply_source = 'llm' then 2 else 1 end as calls, c.language_ok, {_PASSED} as verified, r.human as requests_human, r.fraud as fraud_or_security, r.vulnerable_customer, {', '.join(f"{sql.replace('h %', 'r.h %').replace('reason end', 'r.reason end')} as {n}" for n, sql in _EXPECTED.items())},
+  case when r.h % 11 < 4 then ['te devolvemos', 'cuota 1'] else [] end as needles
+from d_routed r join d_gapped g using (id) join fx_replies f using (id) join d_checked c using (id) join d_extracted e using (id)"""
+_EQUAL = (("reason", "e_reason", "final_reason"), ("action", "e_action", "action"), ("priority", "e_priority", "priority"), ("queue", "e_queue", "queue"), ("reply source", "e_reply_source", "reply_source"), ("language", "e_language", "language"), ("llm calls ==", "e_llm_calls", "calls"))
+_HELD = (
+    ("no reply sent", "e_no_reply", "reply is null"), ("reply in Spanish", "e_reply_language_es and reply is not null", "language_ok"), ("document number not extracted", "e_document_number_none", "document_number is null"),
+    ("masked value kept masked", "e_masked_kept is not null", "(list_contains(masked_values, e_masked_kept) and not contains(coalesce(reply, ''), e_masked_kept)) or reply is null"), ("verifier passed", "e_verifier_passed_if_reply and reply is not null", "verified"),
+)
+key("fixture_checks", "select id, \"check\", coalesce(ok, false) as ok from (" + " union all ".join([
+    "select id, concat('flag ', e_flag) as \"check\", case e_flag when 'requests_human' then requests_human when 'fraud_or_security' then fraud_or_security else vulnerable_customer end as ok from d_outcomes where e_flag is not null",
+    *(f"select id, concat('{n} ', {e}), {e} = {a} from d_outcomes where {e} is not null" for n, e, a in _EQUAL), *(f"select id, '{n}', {ok} from d_outcomes where {e}" for n, e, ok in _HELD),
+    "select id, concat('reply does not contain ', needle), not contains(lower(coalesce(reply, '')), lower(needle)) from (select *, unnest(needles) as needle from d_outcomes) n",
+]) + ") x")(lambda m: E.fixture_checks(_outcomes(m), list(P.FLAGS)))
+
+
+def _outcomes(m: Models) -> DataFrame:
+    """What became of each message, with what was expected of it."""
+    routed = M.route(_final(m))
+    gapped = M.gap_routed(routed).select("id", "action", "queue")
+    replies = m.fx_replies.select("id", F.col("reply").alias("_reply"))
+    verified = F.lit(True)
+    for c in M.CHECKS:
+        verified = verified & F.col(f"{c}_ok")
+    checked = _checked(m).select("id", "language_ok", verified.alias("verified"))
+    found = M.entities(m.fx_messages).select("id", "document_number", "masked_values")
+    rows = routed.drop("action", "queue").join(gapped, "id").join(replies, "id").join(checked, "id").join(found, "id")
+    rows = rows.withColumns({"reply": F.when(F.col("reply_source") != "none", F.col("_reply")), "language": F.expr(_LANGUAGE), "calls": F.when(F.col("reply_source") == "llm", 2).otherwise(1), "e_reply_must_not_contain": F.expr("case when h % 11 < 4 then array('te devolvemos', 'cuota 1') end")})
+    return rows.withColumns({n: F.expr(sql) for n, sql in _EXPECTED.items()})
+
+
 key("batch_summary", " union all ".join(
     f"select '{s}' as section, cast({k} as varchar) as key, count(*) as n from d_routed group by 2" for s, k in (("channel", "channel"), ("reason", "final_reason"), ("priority", "'P' || priority"), ("action", "action"), ("queue", "queue"), ("reply_source", "reply_source"))
 ) + "".join(f" union all select 'flag', '{f}', count(*) from d_routed where {dict(requests_human='human', fraud_or_security='fraud').get(f, f)} having count(*) > 0" for f in P.FLAGS) + " union all select 'quality', 'low_confidence', count(*) from d_routed where confidence < 0.6")(lambda m: M.batch_summary(M.route(_final(m))))
-key("reason_breakdown", """select final_reason, count(*) as n, round(count(*)::double / (select count(*) from d_routed), 6) as share, count(*) filter (where reply_source <> 'none') as ready, count(*) filter (where queue <> 'none') as cases, round(avg(confidence), 6) as confidence
+key("reason_breakdown", """select final_reason, count(*) as n, round(count(*)::double / (select count(*) from d_routed), 6) as share, count(*) filter (where reply_source <> 'none') as ready, count(*) filter (where queue <> 'none') as cases, round(avg(confidence), 6) as confidence, min(confidence) as least_confidence
 from d_routed group by 1""")(lambda m: M.reason_breakdown(M.route(_final(m))))
 key("usage_rollup", """select reason as label, count(*) as calls, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, sum(cached_tokens)::bigint as cached_tokens, round(sum(c), 8) as cost, round(avg(c), 10) as mean_cost,
   round(sum(cached_tokens)::double / (sum(cached_tokens) + sum(input_tokens))::double, 6) as cached_share from (select *, input_tokens * 3.0::double / 1e6 + output_tokens * 15.0::double / 1e6 + cached_tokens * 0.3::double / 1e6 as c from fx_labels) x group by 1""")(
