@@ -284,14 +284,14 @@ key("gap_details", """select final_reason, coverage, count(*) as n, count(distin
 
 
 def _checked(m: Models) -> DataFrame:
-    replies = m.fx_replies.select("id", "reply", "message", F.array_compact(F.array("cited")).alias("citations"), F.array(F.lit("s1"), F.lit("s2")).alias("allowed"), "document_number")
+    replies = m.fx_replies.select("id", "reply", "message", F.array_compact(F.array("cited")).alias("citations"), F.array("allowed").alias("allowed"), "document_number")
     return M.reply_checks(replies, m.fx_sections)
 
 
 _DIGITS = r"list_transform(regexp_extract_all({0}, '\d[\d.,]*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
 _WORDED = "list_transform(regexp_extract_all({0}, " + _q("(?i)" + P.WORD_NUMBER).replace("{", "{{").replace("}", "}}") + ", 1), lambda x: case lower(x) " + " ".join(f"when '{w}' then '{n}'" for w, n in P.NUMBER_WORDS.items()) + " end)"
 _NUM = f"({_DIGITS} || {_WORDED})"
-NAMED["d_checked"] = f"""select r.id, cited in ('s1', 's2') is true as citations_ok,
+NAMED["d_checked"] = f"""select r.id, (cited = allowed) is true and s.section_id is not null as citations_ok,
   len(list_filter({_NUM.format('reply')}, lambda x: not list_contains({_DIGITS.format("coalesce(body, '')")} || {_NUM.format('message')}, x))) = 0 as numbers_ok,
   not ({' or '.join(f"contains(array_to_string(regexp_extract_all(strip_accents(lower(reply)), '[a-z0-9]+'), ' '), {_q(p)})" for p in P.FORBIDDEN)}) as forbidden_phrases_ok,
   not coalesce(contains(regexp_replace(reply, '[^0-9]', '', 'g'), document_number), false) and not regexp_matches(reply, {_q(P.CARD)}) as no_document_echo_ok,

@@ -132,11 +132,11 @@ from (select *, length(text) * 13 + length(id) as h from fx_messages) x
     "fx_replies": """
 select id, concat('Hola, de la cuota ', cast(h % 4 as varchar(5)), ' de tu plan te informamos que ya fue recibida y que ', case when h % 6 = 0 then 'te devolvemos' when h % 6 = 1 then 'escribe a x@y.co por' else 'revisamos' end, ' el pago ', case when h % 9 = 0 then '[nombre]' else 'hoy' end,
     case when h % 7 = 1 then ' por segunda vez' when h % 11 = 1 then ', thanks' when h % 13 = 1 then ' y envíanos tu clave' when h % 17 = 1 then ' TODO' when h % 19 = 1 then ' con el documento 99887123' else '' end) as reply,
-  text as message, case h % 5 when 0 then null when 1 then 's1' when 2 then 's3' else 's2' end as cited, case when h % 8 = 0 then '99887123' end as document_number
+  text as message, case when h % 5 > 0 then concat('s', cast(1 + h % 150 as varchar(20))) end as cited, case when h % 3 > 0 then concat('s', cast(1 + h % 150 as varchar(20))) else 's0' end as allowed, case when h % 8 = 0 then '99887123' end as document_number
 from fx_labels
 """,
     "fx_sections": """
-select 's1' as section_id, 'cuota 1 y 2 y x@y.co' as body from region where r_regionkey = 0 union all select 's2', 'plan 3' from region where r_regionkey = 0 union all select 's3', 'nada' from region where r_regionkey = 0
+select concat('s', cast(doc_id as varchar(20))) as section_id, concat(min(text), case when doc_id % 4 = 0 then ' Escribe a x@y.co' when doc_id % 4 = 1 then ' La cuota 1 y 2' else '' end) as body from documents where doc_id is not null group by doc_id
 """,
 }
 
