@@ -20,14 +20,17 @@ from tidewater.llm.common import bound_batches, release, uniform
 from tidewater.sources.shared import written
 
 ORDERS = (2, 3, 4)
-#: Bounds of the fit: texts of each language, landmarks of each language, characters of a text used for fitting.
+#: Bounds of the fit: texts of each language and of all, landmarks of each language, characters of a text used for fitting.
 PER_LANGUAGE = 400
+ALL_TEXTS = 20_000
 LANDMARKS = 40
 FIT_CHARS = 20_000
 RIDGE = 1e-3
 #: Sharpness of the softmax that turns regression values into a score.
 SHARPNESS = 4.0
 SLICE = 1 << 18
+#: Cells of one presence matrix, at most: 128 MB.
+CELLS = 1 << 25
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _SLOT_BITS = 20
 
@@ -68,6 +71,7 @@ class Model:
     grams: np.ndarray  # distinct n-gram numbers of the landmarks
     weights: np.ndarray  # (n-grams, languages)
     slots: list[np.ndarray] = field(default_factory=list)
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def __post_init__(self) -> None:
         left = np.arange(len(self.grams))
@@ -77,10 +81,7 @@ class Model:
             table[slot] = left
             self.slots.append(table)
             left = left[table[slot] != left]
-        if len(left):
-            keep = np.setdiff1d(np.arange(len(self.grams)), left)
-            self.grams, self.weights, self.slots = self.grams[keep], self.weights[keep], []
-            self.__post_init__()
+        self.rest = left[np.argsort(self.grams[left])]  # no room in any table: searched by order
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``codes`` whose n-gram a landmark has, and its number."""
@@ -95,14 +96,20 @@ class Model:
             where, codes = where[other], codes[other]
             if not len(codes):
                 break
+        if len(codes) and len(self.rest):
+            order = self.grams[self.rest]
+            place = np.minimum(np.searchsorted(order, codes), len(order) - 1)
+            same = order[place] == codes
+            at.append(where[same])
+            found.append(self.rest[place[same]])
         return np.concatenate(at), np.concatenate(found)
 
     def features(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """Batches ``(first, end, presence matrix)`` with rows of length one (zero without a known n-gram)."""
-        first = 0
+        first, most = 0, max(1, min(128, CELLS // max(1, len(self.grams))))
         while first < len(texts):
             end, size = first, 0
-            while end < len(texts) and (end == first or (size + len(texts[end]) <= SLICE and end - first < 128)):
+            while end < len(texts) and (end == first or (size + len(texts[end]) <= SLICE and end - first < most)):
                 size += len(texts[end])
                 end += 1
             matrix = np.zeros((end - first, len(self.grams)), np.float32)
@@ -171,7 +178,7 @@ def fit_model(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge:
 def labelled_sample(docs: DataFrame, text: str, lang: str, train: Column | None, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """The ``per_language`` labelled texts of each language with the smallest draws by a hash of the text, in a fixed order.
 
-    Copies count as one text, so a language has all its texts in the sample up to that number. Of a text of more than
+    More than ALL_TEXTS / ``per_language`` languages share ALL_TEXTS evenly, so the sample is bounded whatever the labels. Copies count as one text, so a language has all its texts in the sample up to that number. Of a text of more than
     FIT_CHARS characters a piece of that length stands for it, from a place drawn by another hash.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), (train if train is not None else F.lit(True)).alias("train"))
@@ -180,6 +187,7 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, train: Column | None,
     counts = {r["lang"]: r["n"] for r in draws.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, ALL_TEXTS // len(counts)))
     by_lang = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("lang"))
     few = draws.where(F.col("draw") <= by_lang({own: min(1.0, (2.0 * per_language + 100) / n) for own, n in counts.items()})).collect()
     cuts = {own: sorted(r["draw"] for r in few if r["lang"] == own)[:per_language][-1] for own in counts}
