@@ -80,12 +80,12 @@ RAW = {
     f"select '{t}' as relation, " + " || '-' || ".join(f"cast({c} as varchar)" for c in ids) + f" as row_id, '{t}.parquet' as source_file, true as stamped from {t}" for t, ids in RAW.items()
 ))
 def _(m: Models) -> DataFrame:
-    """Every row of the raw relations with the file it came from, stamped with the time of the build."""
+    """Every row of the raw relations with the file it came from; ``stamped`` holds the time of the build against that of the file."""
     rows = None
     for name, ids in RAW.items():
         raw = m.spark.read.parquet(f"{m.sf_dir}/{name}.parquet").select(
             F.lit(name).alias("relation"), F.concat_ws("-", *[F.col(c).cast("string") for c in ids]).alias("row_id"),
-            F.col("_metadata.file_name").alias("source_file"), F.current_timestamp().isNotNull().alias("stamped"),
+            F.col("_metadata.file_name").alias("source_file"), (F.current_timestamp() >= F.col("_metadata.file_modification_time")).alias("stamped"),
         )
         rows = raw if rows is None else rows.unionByName(raw)
     return rows
@@ -104,15 +104,44 @@ def _(m: Models) -> DataFrame:
     return rows.withColumn("cost", F.round(F.col("input_tokens") * 3.0 / 1e6 + F.col("output_tokens") * 15.0 / 1e6, 8))
 
 
-@key("gold_labels", "select id, coalesce(case when h % 3 = 1 then second_reason end, reason) as label, (case when h % 3 = 1 then second_reason end) is null as from_pre_label from fx_labels")
+_KNOWN = f"({', '.join(_q(r[0]) for r in P.REASONS)})"
+
+
+@key("gold_labels", f"""select id, label, from_pre_label, label in {_KNOWN} as known, case when label not in {_KNOWN} then label end as rejected from (
+  select id, coalesce(case when h % 11 = 0 then 'sin_categoria' when h % 3 = 1 then second_reason end, reason) as label, (case when h % 11 = 0 then 'sin_categoria' when h % 3 = 1 then second_reason end) is null as from_pre_label from fx_labels) x""")
 def _(m: Models) -> DataFrame:
-    """Labels by hand as CSV whose files start with a byte order mark, written from a table and read back; a blank cell takes the label set before."""
+    """Labels by hand as CSV whose files start with a byte order mark, written from a table and read back; a blank cell takes the label set before, one outside the policy is rejected."""
     path = new_path(m.spark, "gold")
-    given = F.when(F.col("h") % 3 == 1, F.col("second_reason")).otherwise(F.when(F.col("h") % 3 == 2, F.lit("  ")))
+    given = F.when(F.col("h") % 11 == 0, "sin_categoria").when(F.col("h") % 3 == 1, F.col("second_reason")).otherwise(F.when(F.col("h") % 3 == 2, F.lit("  ")))
     m.fx_labels.select(F.col("id").alias("\ufeffid"), F.col("reason").alias("pre_label"), given.alias("gold")).write.csv(path, header=True, ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False)
     read = m.spark.read.schema("id string, pre_label string, gold string").csv(path, header=True)
     gold = F.nullif(F.trim("gold"), F.lit(""))
-    return read.select("id", F.coalesce(gold, "pre_label").alias("label"), gold.isNull().alias("from_pre_label"))
+    rows = read.select("id", F.coalesce(gold, "pre_label").alias("label"), gold.isNull().alias("from_pre_label"))
+    known = F.col("label").isin(*[r[0] for r in P.REASONS])
+    return rows.withColumns({"known": known, "rejected": F.when(~known, F.col("label"))})
+
+
+@key("message_lines_scan", """select id, channel, text, cast(null as varchar) as corrupt from fx_messages
+union all select null, null, null, concat('{"id": "', id, '", "channel') from fx_messages where length(text) % 5 = 0""")
+def _(m: Models) -> DataFrame:
+    """Messages as JSON lines with blank and broken lines between them, written from a table and read back: blank ones are skipped, broken ones come as they stand."""
+    path = new_path(m.spark, "lines")
+    odd = F.length("text") % 5 == 0
+    lines = F.array(F.to_json(F.struct("id", "channel", "text")), F.when(F.length("text") % 3 == 0, F.lit("")), F.when(F.length("text") % 3 == 1, F.lit("   ")), F.when(odd, F.concat(F.lit('{"id": "'), "id", F.lit('", "channel'))))
+    m.fx_messages.select(F.explode(F.array_compact(lines)).alias("value")).write.text(path)
+    return m.spark.read.schema("id string, channel string, text string, corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
+
+
+@key("result_records", """select id, action, priority, queue, reply_source, codes, len(gaps) as n_gaps, input_tokens from d_gapped""")
+def _(m: Models) -> DataFrame:
+    """Results as nested JSON lines, one record a message, written and read back."""
+    path = new_path(m.spark, "results")
+    rows = M.gap_routed(M.route(_final(m)))
+    decision = F.struct("action", "priority", "queue", "codes", "gaps")
+    rows.select("id", decision.alias("decision"), F.struct(F.col("reply_source").alias("source")).alias("draft_reply"), F.struct("input_tokens", "output_tokens").alias("processing")).write.json(path)
+    schema = "id string, decision struct<action:string,priority:int,queue:string,codes:array<string>,gaps:array<string>>, draft_reply struct<source:string>, processing struct<input_tokens:long,output_tokens:long>"
+    read = m.spark.read.schema(schema).json(path, mode="FAILFAST")
+    return read.select("id", "decision.action", "decision.priority", "decision.queue", F.col("draft_reply.source").alias("reply_source"), F.array_join("decision.codes", ",").alias("codes"), F.size("decision.gaps").alias("n_gaps"), "processing.input_tokens")
 
 
 @key("section_split", r"""select doc, concat(doc, '.', place) as section_id, trim(regexp_extract(part, '^([^\n]*)', 1)) as heading, trim(regexp_replace(part, '^[^\n]*\n?', '')) as body
