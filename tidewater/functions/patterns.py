@@ -78,29 +78,29 @@ TOPICS = (
 
 #: Signals of the message profile; a message can show several.
 SIGNALS = {
-    "credit number": r"cr[eé]dito (n[uú]mero |numero )?\d{3,}|credito \d{3,}|n[uú]mero de cr[eé]dito \d+",
-    "document number": r"documento (es )?(el )?\d{6,}|documento \d|cc \d|\b\d{10}\b",
-    "masked identifier": r"\d\.?[0-9x]*x{2,}|X{3}",
-    "amount": r"\$\s?\d|\b\d{1,3}\.\d{3}\b|\b\d{5,7}\b(?:$|[^\d ]| $| \D)|\d+ ?mil\b",
-    "transaction or reference": r"\bref(erencia)?\.? ?\w*\d|transacci[oó]n \w+",
-    "explicit date": r"\b\d{1,2} de \w+|\bel (lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo)\b|\bayer\b|\bhace \d+ d[ií]as",
-    "bank or payment rail": r"bancolombia|nequi|daviplata|efecty|baloto|pse\b|corresponsal|transferencia",
-    "several intents": r"\by de paso\b|adem[aá]s|tambi[eé]n|\bdos cosas|\btres cosas|\b1\)|\bvarias cosas|aprovecho",
-    "urgency": r"urgente|ya mismo|!!|inmediat",
-    "fraud or security": r"fraude|robaron|hackear|suplantaci|phishing|estafa|clonaron|no reconozco|perd[ií] mi celular|movimientos raros",
-    "legal threat or harassment": r"superintendencia|acoso|habeas|borren mis datos|qu[eé] datos m[ií]os",
-    "hardship": r"sin trabajo|sin empleo|hospital|enferm|no puedo pagar|no me alcanza|situaci[oó]n (econ[oó]mica )?(dif[ií]cil|complicada)|pr[oó]rroga",
+    "credit number mentioned": r"cr[eé]dito (n[uú]mero |numero )?\d{3,}|credito \d{3,}|n[uú]mero de cr[eé]dito \d+",
+    "document number mentioned": r"documento (es )?(el )?\d{6,}|documento \d|cc \d|\b\d{10}\b",
+    "masked identifier (xx / XXX)": r"\d\.?[0-9x]*x{2,}|X{3}",
+    "amount mentioned": r"\$\s?\d|\b\d{1,3}\.\d{3}\b|\b\d{5,7}\b(?! ?\d)|\d+ ?mil\b",
+    "transaction / reference mentioned": r"\bref(erencia)?\.? ?\w*\d|transacci[oó]n \w+",
+    "explicit date mentioned": r"\b\d{1,2} de \w+|\bel (lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo)\b|\bayer\b|\bhace \d+ d[ií]as",
+    "bank / payment rail named": r"bancolombia|nequi|daviplata|efecty|baloto|pse\b|corresponsal|transferencia",
+    "multi-intent markers": r"\by de paso\b|adem[aá]s|tambi[eé]n|\bdos cosas|\btres cosas|\b1\)|\bvarias cosas|aprovecho",
+    "urgency words": r"urgente|ya mismo|!!|inmediat",
+    "fraud / security signals": r"fraude|robaron|hackear|suplantaci|phishing|estafa|clonaron|no reconozco|perd[ií] mi celular|movimientos raros",
+    "legal / regulatory threat or harassment": r"superintendencia|acoso|habeas|borren mis datos|qu[eé] datos m[ií]os",
+    "hardship / vulnerability": r"sin trabajo|sin empleo|hospital|enferm|no puedo pagar|no me alcanza|situaci[oó]n (econ[oó]mica )?(dif[ií]cil|complicada)|pr[oó]rroga",
     "asks for a human": r"asesor humano|persona real|agente|humano|alguien ah[ií]|con alguien",
-    "other business": r"celular(es)?\b|iphone|rappi|pizzer|clima|francia|\bclaro\b|domicilio|parqueadero|seguros? de veh|hipotecari|carros|cuentas de ahorro",
-    "credit bureau": r"datacr[eé]dito|cifin|centrales|report",
-    "certificates": r"certificad|extracto|paz y salvo|retenci[oó]n|tributario",
-    "password": r"contrase[nñ]a|clave",
-    "address": r"direcci[oó]n",
-    "application status": r"solicitud de cr[eé]dito|estado de mi solicitud",
-    "interest or fee dispute": r"tasa de inter[eé]s|cuota de manejo|intereses (excesivos|muy altos|abusiv)|cobro (adicional|extra)|seguro q",
-    "prepayment": r"adelantar|pagar (la totalidad|todo el cr[eé]dito|todo de una)|pago anticipado|saldar|abono a capital",
-    "greeting, thanks or gibberish": r"^(hola|buenas|ok gracias|todo bien gracias.*|gracias.*|\?+|\.\.\.|asd\w*.*|ggg .*|aksjd.*|hola\?\?.*)$",
-    "mojibake": r"Ã",
+    "out of scope / other business": r"celular(es)?\b|iphone|rappi|pizzer|clima|francia|\bclaro\b|domicilio|parqueadero|seguros? de veh|hipotecari|carros|cuentas de ahorro",
+    "credit-bureau terms": r"datacr[eé]dito|cifin|centrales|report",
+    "certificates / statements": r"certificad|extracto|paz y salvo|retenci[oó]n|tributario",
+    "password mentioned (KB: login is document + OTP)": r"contrase[nñ]a|clave",
+    "address change (not in KB)": r"direcci[oó]n",
+    "application status (not in taxonomy)": r"solicitud de cr[eé]dito|estado de mi solicitud",
+    "interest / fee dispute (not in taxonomy)": r"tasa de inter[eé]s|cuota de manejo|intereses (excesivos|muy altos|abusiv)|cobro (adicional|extra)|seguro q",
+    "prepayment / early settlement (not in taxonomy)": r"adelantar|pagar (la totalidad|todo el cr[eé]dito|todo de una)|pago anticipado|saldar|abono a capital",
+    "greeting / thanks only or gibberish": r"^(hola|buenas|ok gracias|todo bien gracias.*|gracias.*|\?+|\.\.\.|asd\w*.*|ggg .*|aksjd.*|hola\?\?.*)$",
+    "mojibake (encoding)": r"Ã",
 }
 
 #: Reason, policy coverage, action, queue, priority, source of a reply.
@@ -137,10 +137,10 @@ SLA_HOURS = (1, 4, 24, 48, None)
 
 #: Known holes of the policy, by reason.
 GAPS = (
-    ("metodos_de_pago", r"\bnequi\b|\bdaviplata\b|\bbaloto\b|link de pago|cuenta bancaria|n[uú]mero de cuenta", "payment rail not in the policy"),
-    ("cuenta_y_app", r"contrase[nñ]a|password|clave de (?:la |mi )?app|recuperar(?:la)? (?:la )?(?:clave|contrase[nñ]a)", "no password flow in the policy"),
-    ("datos_personales", r"direcci[oó]n|ciudad de residencia|\bbarrio\b", "address changes not covered"),
-    ("certificados_extractos", r"retenci[oó]n|certificado de deuda|desglose|saldo a la fecha|capital e intereses", "certificate not in the policy"),
+    ("metodos_de_pago", r"\bnequi\b|\bdaviplata\b|\bbaloto\b|link de pago|cuenta bancaria|n[uú]mero de cuenta", "Payment rails other than PSE, cards, Efecty and bank correspondents (Nequi, Daviplata, Baloto, transfers, payment links) are not in the policy."),
+    ("cuenta_y_app", r"contrase[nñ]a|password|clave de (?:la |mi )?app|recuperar(?:la)? (?:la )?(?:clave|contrase[nñ]a)", "The policy has no password flow (login is document + OTP); a support case is opened."),
+    ("datos_personales", r"direcci[oó]n|ciudad de residencia|\bbarrio\b", "Address changes are not covered by the policy (only phone and e-mail)."),
+    ("certificados_extractos", r"retenci[oó]n|certificado de deuda|desglose|saldo a la fecha|capital e intereses", "Only paz y salvo / al día, the payment statement and the interest certificate exist in the policy; other certificates need an agent."),
 )
 
 #: Phrases that a reply must not hold.
@@ -158,13 +158,15 @@ ENGLISH = r"\b(the|please|your|you|we|thanks|hello|and|with)\b"
 #: What is left of a template: brackets, and words in capitals.
 PLACEHOLDER = r"[\[\]{}<>]|\bX{3,}\b|\bNOMBRE\b|\bTODO\b|\bFIXME\b|\bTBD\b"
 
-#: Numbers and ordinals in words, which count as numbers before a unit ("first" is idiom and left out).
+#: Numbers, and ordinals, in words, which count as numbers before a unit ("first" is idiom and left out).
 NUMBER_WORDS = {
-    "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "diez": "10", "quince": "15", "veinte": "20", "treinta": "30",
-    "sesenta": "60", "segunda": "2", "segundo": "2", "tercera": "3", "tercer": "3", "cuarta": "4", "cuarto": "4", "quinta": "5", "quinto": "5",
+    "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "diez": "10", "quince": "15", "veinte": "20", "treinta": "30", "sesenta": "60",
+}
+ORDINALS = {
+    "segunda": "2", "segundo": "2", "tercera": "3", "tercer": "3", "cuarta": "4", "cuarto": "4", "quinta": "5", "quinto": "5",
 }
 UNIT = r"(?:d[ií]as?|horas?|minutos?|semanas?|mes(?:es)?|veces|vez|intentos?|a[nñ]os?|cuotas?|pagos?)"
-WORD_NUMBER = rf"\b({'|'.join(NUMBER_WORDS)})\s+{UNIT}\b"
+WORD_NUMBER = rf"\b({'|'.join([*NUMBER_WORDS, *ORDINALS])})\s+{UNIT}\b"
 
 #: Sections of the policy that a reply to a reason may cite, in this order; other reasons have none.
 SECTIONS = {

@@ -363,7 +363,7 @@ def reply_checks(replies: DataFrame, sections: DataFrame) -> DataFrame:
     cited = cited.groupBy("id").agg(F.concat_ws("\n", F.sort_array(F.collect_list("body"))).alias("_body"), F.collect_set("section_id").alias("_known"))
     df = replies.join(cited, "id", "left").withColumn("_body", F.coalesce("_body", F.lit("")))
     digits_in = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d[\d.,]*"), F.lit(0)), lambda x: F.regexp_replace(x, r"\D", "")))
-    in_words = F.create_map(*[F.lit(x) for pair in P.NUMBER_WORDS.items() for x in pair])
+    in_words = F.create_map(*[F.lit(x) for pair in (P.NUMBER_WORDS | P.ORDINALS).items() for x in pair])
     worded = lambda c: F.transform(F.regexp_extract_all(c, F.lit("(?iuU)" + P.WORD_NUMBER), F.lit(1)), lambda x: F.element_at(in_words, F.lower(x)))
     numbers = lambda c: F.concat(digits_in(c), worded(c))
     tokens = canonical_tokens(F.col("reply"))

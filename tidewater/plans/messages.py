@@ -219,7 +219,7 @@ key("message_profile", """select channel, count(*) as n, min(length(text)) as sh
 
 key("signal_counts", " union all ".join(
     f"select {_q(n)} as signal, count(*) as n, min(id) as example from fx_messages where {test}"
-    for n, test in [*((n, _has("text", p)) for n, p in P.SIGNALS.items()), ("capitals", r"length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1)")]
+    for n, test in [*((n, _has("text", p.replace(r"(?! ?\d)", r"(?:$|[^\d ]| $| \D)"))) for n, p in P.SIGNALS.items()), ("capitals", r"length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1)")]
 ))(lambda m: M.signal_counts(m.fx_messages))
 key("message_shapes", """select 'channel' as measure, channel as value, count(*) as n from fx_messages group by 2
 union all select 'timestamp', regexp_replace(cast(received_at_utc as varchar), '[0-9]', '9', 'g'), count(*) from fx_messages group by 2""")(
@@ -318,7 +318,7 @@ def _checked(m: Models) -> DataFrame:
 
 
 _DIGITS = r"list_transform(regexp_extract_all({0}, '\d[\d.,]*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
-_WORDED = "list_transform(regexp_extract_all({0}, " + _q("(?i)" + P.WORD_NUMBER).replace("{", "{{").replace("}", "}}") + ", 1), lambda x: case lower(x) " + " ".join(f"when '{w}' then '{n}'" for w, n in P.NUMBER_WORDS.items()) + " end)"
+_WORDED = "list_transform(regexp_extract_all({0}, " + _q("(?i)" + P.WORD_NUMBER).replace("{", "{{").replace("}", "}}") + ", 1), lambda x: case lower(x) " + " ".join(f"when '{w}' then '{n}'" for w, n in (P.NUMBER_WORDS | P.ORDINALS).items()) + " end)"
 _NUM = f"({_DIGITS} || {_WORDED})"
 NAMED["d_checked"] = f"""select r.id, (cited = allowed) is true and s.section_id is not null as citations_ok,
   len(list_filter({_NUM.format('reply')}, lambda x: not list_contains({_DIGITS.format("coalesce(body, '')")} || {_NUM.format('message')}, x))) = 0 as numbers_ok,
