@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import patterns as P
 from tidewater.functions.scalar import canonical_tokens, content_hash
 from tidewater.operators.graph import connected_components
-from tidewater.operators.relational import in_ranges
+from tidewater.operators.relational import at_ranks, in_ranges
 from tidewater.sources.shared import written
 
 CONFIDENCE = 0.6
@@ -386,9 +386,27 @@ def reply_checks(replies: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def reply_outcome(checked: DataFrame) -> DataFrame:
-    """A failed check sends the message to a person, with a code for each."""
-    codes = F.array_compact(F.array(*[F.when(~F.col(f"{c}_ok"), F.lit(f"VERIFIER_{c.upper()}")) for c in CHECKS]))
-    return checked.withColumn("verifier_codes", codes).withColumn("final_action", F.when(F.size("verifier_codes") > 0, "route_to_human").otherwise("auto_reply"))
+    """``reply_codes, final_action, policy_gap`` of drafted replies; ``checked`` has what `reply_checks` gives, and may have ``can_answer`` and ``uncovered``.
+
+    A draft that can't answer goes to a person, and what it leaves uncovered is the gap, or that the sections don't answer. Of the others a failed check sends the message to
+    a person, with a code for each; one that passes but leaves points uncovered is sent, and the points are a gap that opens a case.
+    """
+    given = set(checked.columns)
+    able = F.coalesce("can_answer", F.lit(False)) if "can_answer" in given else F.lit(True)
+    open_points = F.nullif("uncovered", F.lit("")) if "uncovered" in given else F.lit(None).cast("string")
+    failed = F.array_compact(F.array(*[F.when(~F.col(f"{c}_ok"), F.lit(f"VERIFIER_{c.upper()}")) for c in CHECKS]))
+    df = checked.withColumn("_failed", failed).withColumn("_passed", F.size("_failed") == 0)
+    gap = F.when(~able, F.coalesce(open_points, F.lit("The allowed sections do not answer the request."))).when(F.col("_passed"), open_points)
+    codes = F.when(~able, F.array(F.lit("DRAFT_NOT_ANSWERABLE"))).when(F.col("_passed"), F.array_compact(F.array(F.lit("DRAFT_VERIFIED"), F.when(open_points.isNotNull(), "GAP_ROUTED")))).otherwise(F.col("_failed"))
+    action = F.when(~able | ~F.col("_passed"), "route_to_human").when(open_points.isNotNull(), "auto_reply_and_route").otherwise("auto_reply")
+    return df.withColumns({"reply_codes": codes, "final_action": action, "policy_gap": gap}).drop("_failed", "_passed")
+
+
+def length_profile(df: DataFrame, key: str = "channel") -> DataFrame:
+    """``channel, n, shortest, median, p90, longest`` of text lengths by channel and of all, by place in order: the median at n // 2 and p90 at 0.9 n, from zero."""
+    rows = df.select(F.explode(F.array(F.col(key), F.lit("(all)"))).alias(key), F.length("text").alias("_w"))
+    ranks = {"shortest": F.lit(1), "median": F.floor(F.col("n") / 2) + 1, "p90": F.floor(F.col("n") * 0.9) + 1}
+    return at_ranks(rows, [key], "_w", ranks).select(key, "n", "shortest", "median", "p90", F.col("max").alias("longest"))
 
 
 def batch_summary(df: DataFrame) -> DataFrame:

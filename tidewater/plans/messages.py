@@ -209,11 +209,12 @@ key("entity_merge", "select l.id, coalesce(e.payment_method, case when contains(
 key("pii_scan", f"select id, document_number is not null or regexp_matches(text, {_q(P.CARD)}) as pii from d_extracted")(lambda m: M.entities(m.fx_messages).select("id", M.pii_present(F.col("text"), F.col("document_number")).alias("pii")))
 NAMED["d_topics"] = "select id, case " + " ".join(f"when {_has('text', p)} then {_q(n)}" for n, p in P.TOPICS) + " else '(no keyword match)' end as topic from fx_messages"
 key("keyword_bucketing", "select topic, count(*) as n, min(id) as example from d_topics group by 1")(lambda m: m.fx_messages.select("id", M.topic(F.col("text")).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("example")))
-key("message_profile", """select channel, count(*) as n, min(length(text)) as shortest, median(length(text)) as median, quantile_disc(length(text), 0.9) as p90, max(length(text)) as longest,
-  round(count(*) filter (where length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 1))::double / count(*), 6) as capitals from fx_messages group by 1""")(
-    lambda m: m.fx_messages.withColumn("w", F.length("text")).groupBy("channel").agg(
-        F.count("*").alias("n"), F.min("w").alias("shortest"), F.median("w").alias("median"), F.expr("percentile_disc(0.9) within group (order by w)").cast("bigint").alias("p90"), F.max("w").alias("longest"),
-        F.round(F.count_if(F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) > 0.5 * F.greatest(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.lit(1))) / F.count("*"), 6).alias("capitals")
+_CAPITALS = r"length(regexp_replace(text, '[^\p{Lu}]', ''@)) > 0.5 * greatest(length(regexp_replace(text, '[^\p{L}]', ''@)), 1)"
+NAMED["d_lengths"] = "select unnest([channel, '(all)']) as channel, length(text) as w, " + _CAPITALS.replace("@", ", 'g'") + " as shouted from fx_messages"
+key("message_profile", """select channel, count(*) as n, min(w) as shortest, max(w) filter (where r = floor(c / 2.0::double) + 1) as median, max(w) filter (where r = floor(c * 0.9::double) + 1) as p90, max(w) as longest, round(count(*) filter (where shouted)::double / count(*), 6) as capitals
+from (select *, row_number() over (partition by channel order by w) as r, count(*) over (partition by channel) as c from d_lengths) x group by 1""")(
+    lambda m: M.length_profile(m.fx_messages).join(
+        m.fx_messages.select(F.explode(F.array("channel", F.lit("(all)"))).alias("channel"), F.expr(_CAPITALS.replace("@", "").replace("\\", "\\\\")).alias("s")).groupBy("channel").agg(F.round(F.avg(F.col("s").cast("int")), 6).alias("capitals")), "channel"
     )
 )
 
@@ -221,10 +222,11 @@ key("signal_counts", " union all ".join(
     f"select {_q(n)} as signal, count(*) as n, min(id) as example from fx_messages where {test}"
     for n, test in [*((n, _has("text", p.replace(r"(?! ?\d)", r"(?:$|[^\d ]| $| \D)"))) for n, p in P.SIGNALS.items()), ("capitals", r"length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1)")]
 ))(lambda m: M.signal_counts(m.fx_messages))
-key("message_shapes", """select 'channel' as measure, channel as value, count(*) as n from fx_messages group by 2
-union all select 'timestamp', regexp_replace(cast(received_at_utc as varchar), '[0-9]', '9', 'g'), count(*) from fx_messages group by 2""")(
+_SENDER = "case when sender like '+%' then 'phone' when sender like 'cliente|_%' escape '|' then 'client_id' else 'email' end"
+key("message_shapes", f"""select 'channel' as measure, channel as value, count(*) as n from fx_messages group by 2
+union all select 'timestamp', regexp_replace(cast(received_at_utc as varchar), '[0-9]', '9', 'g'), count(*) from fx_messages group by 2 union all select 'sender', {_SENDER}, count(*) from fx_messages group by 2""")(
     lambda m: m.fx_messages.select(F.inline(F.array(
-        F.struct(F.lit("channel").alias("measure"), F.col("channel").alias("value")),
+        F.struct(F.lit("channel").alias("measure"), F.col("channel").alias("value")), F.struct(F.lit("sender").alias("measure"), F.expr(_SENDER).alias("value")),
         F.struct(F.lit("timestamp").alias("measure"), F.regexp_replace(F.col("received_at_utc").cast("string"), "[0-9]", "9").alias("value")),
     ))).groupBy("measure", "value").agg(F.count("*").alias("n"))
 )
@@ -313,7 +315,7 @@ key("gap_details", """select final_reason, coverage, count(*) as n, count(distin
 
 
 def _checked(m: Models) -> DataFrame:
-    replies = m.fx_replies.select("id", "reply", "message", F.array_compact(F.array("cited")).alias("citations"), F.array("allowed").alias("allowed"), "document_number")
+    replies = m.fx_replies.select("id", "reply", "message", F.array_compact(F.array("cited")).alias("citations"), F.array("allowed").alias("allowed"), "document_number", "uncovered", "can_answer")
     return M.reply_checks(replies, m.fx_sections)
 
 
@@ -329,8 +331,12 @@ NAMED["d_checked"] = f"""select r.id, (cited = allowed) is true and s.section_id
   not regexp_matches(reply, {_q(P.PLACEHOLDER)}) as no_placeholders_ok, not contains(reply, '@') or contains(coalesce(body, ''), 'x@y.co') as contact_details_ok
 from fx_replies r left join fx_sections s on s.section_id = r.cited"""
 key("reply_policy_checks", "select * from d_checked")(lambda m: _checked(m).select("id", *[f"{c}_ok" for c in M.CHECKS]))
-key("reply_outcome", "select id, array_to_string(list_filter([" + ", ".join(f"case when not {c}_ok then 'VERIFIER_{c.upper()}' end" for c in M.CHECKS) + "], lambda x: x is not null), ',') as codes, case when " + " and ".join(f"{c}_ok" for c in M.CHECKS) + " then 'auto_reply' else 'route_to_human' end as final_action from d_checked")(
-    lambda m: M.reply_outcome(_checked(m)).select("id", F.array_join("verifier_codes", ",").alias("codes"), "final_action")
+_FAILED = "list_filter([" + ", ".join(f"case when not {c}_ok then 'VERIFIER_{c.upper()}' end" for c in M.CHECKS) + "], lambda x: x is not null)"
+key("reply_outcome", f"""select id, array_to_string(case when not can_answer then ['DRAFT_NOT_ANSWERABLE'] when len(failed) = 0 then list_filter(['DRAFT_VERIFIED', case when uncovered is not null then 'GAP_ROUTED' end], lambda x: x is not null) else failed end, ',') as codes,
+  case when not can_answer or len(failed) > 0 then 'route_to_human' when uncovered is not null then 'auto_reply_and_route' else 'auto_reply' end as final_action,
+  case when not can_answer then coalesce(uncovered, 'The allowed sections do not answer the request.') when len(failed) = 0 then uncovered end as policy_gap
+from (select c.id, {_FAILED} as failed, can_answer, uncovered from d_checked c join fx_replies r using (id)) x""")(
+    lambda m: M.reply_outcome(_checked(m)).select("id", F.array_join("reply_codes", ",").alias("codes"), "final_action", "policy_gap")
 )
 #: What is expected of messages, from a number made of each; the same text on both sides.
 _EXPECTED = {
