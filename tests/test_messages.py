@@ -43,6 +43,39 @@ def test_signals_and_topics(spark):
     texts = ["GRITO URGENTE", "debo 123456 hoy", "12345 6", "xyz", None, ""]
     df = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "id string, text string")
     got = {r["signal"]: (r["n"], r["example"]) for r in M.signal_counts(df).collect()}
-    assert got["urgency"] == (1, "m0") and got["capitals"] == (1, "m0") and got["amount"] == (1, "m1") and got["password"] == (0, None)
+    assert got["urgency words"] == (1, "m0") and got["capitals"] == (1, "m0") and got["amount mentioned"] == (1, "m1") and got["password mentioned (KB: login is document + OTP)"] == (0, None)
     assert M.signal_counts(df.where("false")).where("n = 0 and example is null").count() == len(got)
     assert [r[0] for r in df.select(M.topic(F.coalesce("text", F.lit("")))).distinct().collect()] == ["(no keyword match)"]
+
+
+def test_sections_are_united_in_order(spark):
+    rows = [("a", "mora_intereses", ["reporte_centrales", "mora_intereses"], None), ("b", "queja_reclamo", [], "OVR_LEGAL"), ("c", "cancelacion", None, "OVR_LEGAL"), ("d", "no_such_reason", ["ruido"], None)]
+    found = M.allowed_sections(spark.createDataFrame(rows, "id string, final_reason string, final_secondary array<string>, override string"))
+    assert {r["id"]: r["allowed"] for r in found.collect()} == {
+        "a": ["mora_y_centrales.mora_e_intereses", "mora_y_centrales.reporte_centrales", "mora_y_centrales.paz_y_salvo"], "b": ["datos_certificados_pqr.pqr"],
+        "c": ["datos_certificados_pqr.cancelacion", "pagos_y_cuotas.pago_anticipado", "datos_certificados_pqr.pqr"], "d": [],
+    }
+
+
+def test_uncovered_points_open_a_case(spark):
+    good = dict.fromkeys((f"{c}_ok" for c in M.CHECKS), True)
+    rows = [
+        {"id": "sent", **good, "can_answer": True, "uncovered": None}, {"id": "partly", **good, "can_answer": True, "uncovered": "hours"},
+        {"id": "failed", **good, "numbers_ok": False, "can_answer": True, "uncovered": "hours"}, {"id": "unable", **good, "can_answer": False, "uncovered": ""},
+    ]
+    schema = "id string, " + ", ".join(f"{c}_ok boolean" for c in M.CHECKS) + ", can_answer boolean, uncovered string"
+    got = {r["id"]: (r["reply_codes"], r["final_action"], r["policy_gap"]) for r in M.reply_outcome(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()}
+    assert got == {
+        "sent": (["DRAFT_VERIFIED"], "auto_reply", None), "partly": (["DRAFT_VERIFIED", "GAP_ROUTED"], "auto_reply_and_route", "hours"),
+        "failed": (["VERIFIER_NUMBERS"], "route_to_human", None), "unable": (["DRAFT_NOT_ANSWERABLE"], "route_to_human", "The allowed sections do not answer the request."),
+    }
+
+
+def test_lengths_by_place_in_order(spark):
+    rows = [("a" if i % 3 else "b", "x" * i) for i in range(1, 31)]
+    got = {r["channel"]: tuple(r)[1:] for r in M.length_profile(spark.createDataFrame(rows, "channel string, text string")).collect()}
+    expected = {}
+    for name in ("a", "b", "(all)"):
+        lens = sorted(len(t) for c, t in rows if name in (c, "(all)"))
+        expected[name] = (len(lens), lens[0], lens[len(lens) // 2], lens[int(len(lens) * 0.9)], lens[-1])
+    assert got == expected

@@ -4,9 +4,9 @@ import pytest
 from conftest import SF
 from verify import compare
 
-from tidewater.plans import evaluation, lending, messages, quality
+from tidewater.plans import evaluation, lending, messages, profiles, quality
 
-NAMES = [n for plan in (lending, quality, messages, evaluation) for n in plan.QUERIES]
+NAMES = [n for plan in (lending, quality, profiles, messages, evaluation) for n in plan.QUERIES]
 
 
 @pytest.mark.parametrize("name", NAMES)
