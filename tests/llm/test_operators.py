@@ -550,8 +550,17 @@ def test_run(spark):
 
 
 def test_stages_odd(spark, odd, none):
-    plain = odd.select(*[c.split()[0] for c in DOCS.split(", ")])
-    for docs in (plain, plain.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).count()
-    assert none.count() == 0 and json.dumps([])
+    """Nulls, repeats, long and empty texts and columns that clash with the operators' own names, stage by stage."""
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+        rows = stage(spark, odd, SF)
+        if name != "packing":
+            assert sorted(rows.columns) == sorted(odd.columns)
+        kept[name] = Counter(r["doc_id"] for r in rows.select("doc_id").collect())
+    everyone = Counter(r[0] for r in ODD)
+    assert not kept["language_id"] & Counter({1: 1, 2: 1, 5: 1, 8: 1}) and not kept["language_id"] - everyone
+    assert not kept["toxicity"] - everyone and kept["toxicity"].total() >= 8
+    assert kept["simhash_dedup"] == Counter([1, 3, None, 5, 6, 7, 8])  # without words: 1 and 2; equal texts: 3 twice and 4
+    assert set(kept["source_mix"]) <= set(everyone)
+    assert set(kept["packing"]) == set(everyone)

@@ -202,7 +202,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as struct ``d`` with ``lang_pred`` and ``score`` (0 to 1), from whole texts, without a shuffle.
 
     Text that is null or has no letters is ``und`` with score 0; text with letters but no n-gram of any landmark gets the
-    first learned language with score 0. The model is sent to executors once; its size is bounded by the landmarks.
+    first learned language with score 0. The model is sent to executors once; its size is bounded by the landmarks. Each row is judged by itself: repeated
+    rows get equal results, rows with a null id and columns of any name pass through, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bound_batches(spark)

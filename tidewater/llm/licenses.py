@@ -292,7 +292,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     Whole texts are scanned, each row on its own, without a shuffle. ``n_base`` counts every place of a base phrase,
     ``first_word`` and ``last_word`` are the smallest and largest start (null without one), ``spans`` are the covered template
     spans in words, ``score`` is 1 with a base phrase and else the largest share of a template covered. Null and empty
-    texts have no words and empty labels.
+    texts have no words and empty labels. Repeated rows get equal scans, rows with a null id and columns of any name pass through, and an
+    empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
     return docs.select(F.struct("*").alias("d"), _scan(F.col(text)).alias("s"))

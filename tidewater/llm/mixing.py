@@ -80,7 +80,7 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: s
 
 
 def emit(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = SEED, most: int = MOST) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns; see mixed."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns, whatever their names; see mixed. An empty table gives an empty one."""
     told = rates(docs.select(F.col(source).alias("source"), word_count(text).alias("size")), most=most)
     rows = docs.select(F.struct("*").alias("d"), F.col(source).alias("src"), _draw(doc_id, text, seed).alias("draw"))
     many = _copies(rows, rows["src"], told).where("copies > 0")

@@ -298,7 +298,7 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     Every row is packed whole, repeated rows and rows with a null id each for themselves; null and empty texts have one
     token, END_ID. ``sequence_id`` holds the partition's number above 32 bits, and rows stand in a fixed order, so a task run
-    again gives the same rows. Tokens are shuffled once, by content. Padding can only fall in sequences shorter than ``window``, whose
+    again gives the same rows. Columns beside id and text are not read; an empty table gives no pieces. Tokens are shuffled once, by content. Padding can only fall in sequences shorter than ``window``, whose
     lengths are powers of two.
     """
     spark = docs.sparkSession

@@ -140,7 +140,7 @@ def corpus_rollup(docs: DataFrame, tokenizer: str | None = None, revised: tuple[
     all rows are taken back and one row per text put in again, so hot texts meet only in partial minima. ``recount``
     moves the remaining documents of ``revised`` languages to the tokenizer in the file ``tokenizer`` (version BPE), or to
     ``pieces-2`` without one. Null text counts no tokens and null texts are copies of each other; null source or language is
-    a key of its own. Of copies with equal ids one stays.
+    a key of its own. Of copies with equal ids one stays. An empty table gives no totals; columns beside those named are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)

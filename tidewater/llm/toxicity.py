@@ -231,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as struct ``d`` with ``score``, the probability of the toxic label, from all windows of the text.
 
-    Null and empty texts have no window and get the probability of gain zero. No shuffle; the model is a few kilobytes.
+    Null and empty texts have no window and get the probability of gain zero. No shuffle; the model is a few kilobytes. Each row is scored by itself:
+    repeated rows get equal scores, rows with a null id and columns of any name pass through, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bound_batches(spark)
