@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bound_batches, uniform
-from tidewater.llm.vectors import matrix, modal_length, usable
+from tidewater.llm.vectors import lengths, matrix, usable
 from tidewater.sources.shared import written
 
 K = 20
@@ -188,14 +188,21 @@ def search(table: DataFrame, queries: Column, vec_id: str = "vec_id", vec: str =
     """``query_id, rank, vec_id, score``: for rows where ``queries`` holds, the k rows found with the largest inner products.
 
     All usable rows are indexed and are candidates, a query's own id excepted; ties go to the smaller id. Rows with a null
-    id, or vectors that are null, zero, non-finite in a component or of another length than most, take no part.
+    id, or vectors that are null, zero or non-finite in a component, take no part; vectors of several lengths are searched among those of their own, one index a length.
     Fewer candidates than k give fewer rows, none give none. Rows with equal ids count as one.
     """
-    spark = table.sparkSession
-    bound_batches(spark)
+    bound_batches(table.sparkSession)
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"), queries.alias("q")).where(usable("v") & F.col("vec_id").isNotNull())
-    dim = modal_length(rows, "v")
-    rows = written(rows.where(F.size("v") == dim), "rows")
+    out = None
+    for dim in lengths(rows, "v") or [0]:
+        found = _search(written(rows.where(F.size("v") == dim), "rows"), k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """The search among rows ``vec_id, v, q`` of one length."""
+    spark = rows.sparkSession
     totals = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     n = totals["n"]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

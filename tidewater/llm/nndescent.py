@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bound_batches, uniform
-from tidewater.llm.vectors import groups, matrix, modal_length, usable
+from tidewater.llm.vectors import groups, lengths, matrix, usable
 from tidewater.operators.graph import connected_components
 from tidewater.sources.shared import written
 
@@ -201,16 +201,24 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     """``vec_id, n_links, component_id, kept`` for each row.
 
     Equal vectors are collapsed first and counted as linked with each other. Vectors that are null, zero, or hold null or
-    non-finite components, or have another length than most, and rows with a null id, link with nothing (a null id has a null
-    component). Repeated rows count as linked copies and give repeated rows. An empty table gives no rows.
+    non-finite components, and rows with a null id, link with nothing (a null id has a null component). Vectors of several lengths are
+    compared with those of their own, one run a length. Repeated rows count as linked copies and give repeated rows. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    bound_batches(spark)
-    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).alias("v"), usable(vec).alias("ok"))
-    dim = modal_length(base.where("ok"), "v")
-    base = base.withColumn("ok", F.col("ok") & (F.size("v") == dim) & F.col("vec_id").isNotNull())
+    bound_batches(rows.sparkSession)
+    base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).alias("v"), (usable(vec) & F.col(vec_id).isNotNull()).alias("ok"))
     base = base.select("vec_id", F.when(F.col("ok"), F.col("v")).alias("v"))
-    classes = base.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    found = base.where("v is not null")
+    named = None
+    for dim in lengths(found, "v") or [0]:
+        own = _classes(found.where(F.size("v") == dim), dim, threshold, rounds)
+        named = own if named is None else named.unionByName(own)
+    out = base.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _classes(rows: DataFrame, dim: int, threshold: float, rounds: int) -> DataFrame:
+    """``v, component_id, n_links`` of each distinct vector among rows ``vec_id, v`` of one length."""
+    classes = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
 
     @F.pandas_udf("array<double>")
     def unit(vecs: pd.Series) -> pd.Series:
@@ -244,8 +252,6 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
             raise RuntimeError(f"{seen['found']} of {seen['n']} audited links found after {AUDITS} audits")
     members = component.join(classes, F.col("node") == F.col("id")).select("component", "id", "vec", "copies")
     links = link_counts(members, threshold)
-    named = classes.join(component, F.col("node") == F.col("id"), "left").join(links, "id", "left").select(
+    return classes.join(component, F.col("node") == F.col("id"), "left").join(links, "id", "left").select(
         "v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = base.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -20,10 +20,9 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.zeros((0, 0))
 
 
-def modal_length(rows: DataFrame, vec: str) -> int:
-    """The most common vector length; vectors of other lengths can't be compared with these."""
-    top = rows.groupBy(F.size(vec).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return top["n"] if top else 0
+def lengths(rows: DataFrame, vec: str) -> list[int]:
+    """The vector lengths there are, the most common first; vectors are compared with those of their own length, one run a length."""
+    return [r["n"] for r in rows.groupBy(F.size(vec).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").collect()]
 
 
 def groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
