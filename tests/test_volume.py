@@ -4,7 +4,9 @@ import datetime as dt
 import os
 from decimal import Decimal as D
 
-from tidewater.operators import lending
+from pyspark.sql import functions as F
+
+from tidewater.operators import lending, messages
 from tidewater.sources.shared import new_path, written, written_in_buckets
 
 
@@ -33,3 +35,16 @@ def test_shared_tables_are_zstd(spark):
     written_in_buckets(rows, "bucketed", "loan_id", paths[1])
     files = [f for p in paths for f in os.listdir(p.removeprefix("file:")) if f.endswith(".parquet")]
     assert files and all("zstd" in f for f in files)
+
+
+def test_pairs_are_judged_where_they_meet(spark):
+    """Only pairs at the threshold leave a bucket, each once, and no set is joined to a pair afterwards."""
+    shared = [f"w{i}" for i in range(9)]
+    rows = [(f"a{k}", shared + [f"x{k}"]) for k in range(30)] + [(f"b{k}", shared[:2] + [f"y{k}{i}" for i in range(5)]) for k in range(30)]
+    sets = spark.createDataFrame(rows, "rep string, tokens array<string>")
+    ordered = messages.prefix_sets(sets, 0.6)
+    for block in (500, 7):
+        met = messages.met_in_buckets(ordered.select("rep", "n", "tokens", "prefix", F.explode("buckets").alias("bucket")), 0.6, block)
+        assert sorted((r["a"], r["b"], r["jaccard"]) for r in met.collect()) == sorted((a, b, round(9 / 11, 6)) for a, _ in rows[:30] for b, _ in rows[:30] if a < b)
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert "tokens_x" in plan and "Aggregate [a#" not in plan
