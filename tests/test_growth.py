@@ -2,7 +2,10 @@
 
 from decimal import Decimal as D
 
+import pytest
+
 from tidewater.operators import quality as Q
+from tidewater.operators import relational as R
 from tidewater.plans import lending
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +37,11 @@ def test_excess_of_payments_needs_no_join_and_goes_over_loans(spark):
     by_payment = _plan_of(Q.allocation_excess(m.allocation, m.payments, ["payment_id"], "amount"))
     assert by_payment.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning" not in _plan_of(Q.allocation_excess(m.allocation, m.installments, ["loan_id", "installment_number"], "amount_due"))
+
+
+@pytest.mark.parametrize("cuts", [[3.0], [-1.0, 0.0, 2.5], [float(i) for i in range(R.PIECES + 1)], [0.0, float("nan")]])
+def test_pieces_by_halving_are_those_by_counting(spark, cuts):
+    values = sorted({v + d for v in cuts for d in (-0.5, 0.0, 0.5)} - {float("nan")}) + [float("nan"), float("inf"), float("-inf")]
+    rows = R._in_pieces(spark.createDataFrame([(cuts, v) for v in values], "cuts array<double>, _v double"))
+    counted = rows.selectExpr("_p", "size(filter(cuts, c -> c < _v)) + size(filter(cuts, c -> c <= _v)) as p")
+    assert all(r["_p"] == r["p"] for r in counted.collect()) and "filter(" not in _plan_of(rows)
