@@ -7,6 +7,7 @@ import pytest
 from tidewater.operators import quality as Q
 from tidewater.operators import relational as R
 from tidewater.plans import lending
+from tidewater.sources import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,18 @@ def test_pieces_by_halving_are_those_by_counting(spark, cuts):
     rows = R._in_pieces(spark.createDataFrame([(cuts, v) for v in values], "cuts array<double>, _v double"))
     counted = rows.selectExpr("_p", "size(filter(cuts, c -> c < _v)) + size(filter(cuts, c -> c <= _v)) as p")
     assert all(r["_p"] == r["p"] for r in counted.collect()) and "filter(" not in _plan_of(rows)
+
+
+def test_store_keeps_rows_where_they_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.streaming.store import BucketStore
+
+    rows = spark.range(1000).select(F.col("id").alias("loan_id"), (F.col("id") * 2).alias("x"))
+    store = BucketStore(spark, "loan_id", {"t": rows.schema}, buckets=20)
+    store.commit(0, {"t": rows}, list(range(20)))
+    folder = [n for n in shared.names(spark, store.root) if n.startswith("data-")][0]
+    files = {b: [n for n in shared.names(spark, f"{store.root}/{folder}/t/{b}") if n.startswith("part-")] for b in shared.names(spark, f"{store.root}/{folder}/t") if b.startswith("bucket=")}
+    assert all(len(f) == 1 for f in files.values()) and len(files) > 15
+    assert all(int(f[0][5:10]) == int(b[7:]) for b, f in files.items())  # a bucket is the partition of its number
+    assert store.read("t").count() == 1000

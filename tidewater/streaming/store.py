@@ -30,7 +30,8 @@ class BucketStore:
 
     @property
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        """The partition that Spark deals the key to, so rows that are dealt over as many partitions are written as they are, one file a bucket."""
+        return F.pmod(F.hash(self.key), F.lit(self.buckets)).cast("int")
 
     def _manifests(self) -> list[str]:
         return [n for n in names(self.spark, self.root) if n.startswith("manifest-")]
@@ -60,8 +61,8 @@ class BucketStore:
             return False
         folder = f"data-{batch_id:012d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]]).withColumn("bucket", self.bucket)
-            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/{name}")
+            rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]])
+            rows.repartition(self.buckets, self.key).withColumn("bucket", self.bucket).write.partitionBy("bucket").parquet(f"{self.root}/{folder}/{name}")
         filled = {(int(b[7:]), name) for name in tables for b in names(self.spark, f"{self.root}/{folder}/{name}") if b.startswith("bucket=")}
         folders = {k: f for k, f in self._folders().items() if not (k[0] in touched and k[1] in tables)} | dict.fromkeys(filled, folder)
         aside = f"{self.root}/aside-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidewater.functions.scalar import canonical_tokens, content_hash
 from tidewater.operators import messages as M
 from tidewater.operators.lending import cdc_merged, cdc_partials, cdc_resolved, fifo_allocation
-from tidewater.sources.shared import names, new_path
+from tidewater.sources.shared import dealt_over, names, new_path
 from tidewater.streaming.store import BucketStore
 
 
@@ -25,11 +25,11 @@ def first_copies(messages: DataFrame, horizon: str = "10 days") -> DataFrame:
     return rows.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["hash"])
 
 
-def as_stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
-    """``df`` written as files and read back as a stream of them."""
+def as_stream(spark: SparkSession, df: DataFrame, files: int = 4, per_batch: int = 1) -> DataFrame:
+    """``df`` written as files and read back as a stream of them, ``per_batch`` at a time."""
     path = new_path(spark, "stream")
     df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def run(stream: DataFrame, name: str = "sink") -> DataFrame:
@@ -83,6 +83,7 @@ class FifoStream:
 
     Plan, payments so far and allocation stand in the same buckets of loans. A batch lays out anew the loans it has payments of, from the buckets they
     are in; other loans of those buckets are carried over and other buckets are not read. A payment that comes again under its id counts once.
+    Within a batch all rows are dealt over as many partitions as there are buckets, so what is laid out is written where it is.
     """
 
     def __init__(self, spark: SparkSession, installments: DataFrame, buckets: int = 8, root: str | None = None) -> None:
@@ -97,9 +98,13 @@ class FifoStream:
         if self.store.known(batch_id):
             return
         batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.money])
+        with dealt_over(self.spark, self.store.buckets), dealt_over(batch.sparkSession, self.store.buckets):
+            self._lay_out(batch, batch_id)
+
+    def _lay_out(self, batch: DataFrame, batch_id: int) -> None:
         touched = self.store.touched(batch)
         loans = batch.select("loan_id").distinct()
-        payments = self.store.read("payments", touched).unionByName(batch).dropDuplicates(["loan_id", "payment_id"])
+        payments = self.store.read("payments", touched).unionByName(batch).repartition(self.store.buckets, "loan_id").dropDuplicates(["loan_id", "payment_id"])
         again = fifo_allocation(payments.join(loans, "loan_id", "left_semi"), self.store.read("plan", touched).join(loans, "loan_id", "left_semi"))
         kept = self.store.read("allocation", touched).join(loans, "loan_id", "left_anti")
         self.store.commit(batch_id, {"payments": payments, "allocation": kept.unionByName(again)}, touched)
